@@ -1,0 +1,4 @@
+"""Intentionally empty: every workload here is a batch job.
+
+Incremental behaviour is limited to append tables, see ``martlet.sources.writers``.
+"""
