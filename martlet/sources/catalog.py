@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from martlet.operators.joins import top_one
 
 METADATA_COLUMNS = ("Description", "Hidden", "Data_Category", "Type")
 
@@ -25,8 +26,7 @@ def pending_tables(wanted: DataFrame, existing: DataFrame, key: str = "Name") ->
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Newest row per key. ``order`` should end in a unique column so that ties are settled."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return top_one(df, keys, *order)
 
 
 def latest_version(df: DataFrame, column: str) -> DataFrame:
