@@ -82,10 +82,14 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], by:
     c = F.col(column).cast("double")
     counted = df.filter(c.isNotNull()).groupBy(*by, c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     running = global_running_sum(counted, "_n", *by, "_v", name="_upto")
-    ends = running.groupBy(*by).agg(
-        F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start")
-    )
-    placed = running.join(ends, by) if by else running.crossJoin(F.broadcast(ends))
+    if by:
+        ends = running.groupBy(*by).agg(
+            F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start")
+        )
+        placed = running.join(ends, by)
+    else:
+        size = running.agg(F.sum("_n")).scalar()
+        placed = running.withColumns({"_size": size, "_start": F.lit(0)})
     lower = F.col("_upto") - F.col("_n") - F.col("_start")
     upper = F.col("_upto") - F.col("_start")
     picks = []
@@ -113,7 +117,7 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
     inside = (F.col("_v") >= F.col("q1") - 1.5 * spread) & (F.col("_v") <= F.col("q3") + 1.5 * spread)
     return (
-        values.join(F.broadcast(quartiles) if _is_tiny(quartiles) else quartiles, by)
+        values.join(quartiles, by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
@@ -122,11 +126,6 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     )
 
 
-def _is_tiny(df: DataFrame, rows: int = 10_000) -> bool:
-    """True when a table has been checked to have few rows; reads at most ``rows + 1`` of them."""
-    return len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, standard deviation, minimum and maximum per column, one row each, in one pass."""
     def facts(c: str) -> Column:
@@ -145,9 +144,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def metric_summary(df: DataFrame, column: str) -> DataFrame:
     """Distribution of a column as metric rows ``column_min``, ``column_25p``, ... for the run history."""
-    basics = describe(df, [column])
-    quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75])
-    one_row = basics.crossJoin(F.broadcast(quartiles))  # one row on each side
+    quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75]).select(F.struct("*")).scalar()
+    one_row = describe(df, [column]).withColumn("_q", quartiles).select("*", "_q.*")
     names = {"min": "min", "25p": "q0", "50p": "q1", "75p": "q2", "max": "max", "mean": "mean", "stddev": "stddev"}
     pairs = [
         F.struct(F.lit(f"{column}_{n}").alias("metric_name"), F.coalesce(F.col(c), F.lit(0.0)).alias("value"))
