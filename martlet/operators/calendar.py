@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from martlet.functions.columns import date_key
 from martlet.operators.holidays import MONDAY_TO_FRIDAY, holidays
+from martlet.sources.readers import literal_table
 
 CALENDAR_KINDS = ("Calendar", "FiscalGregorian", "FiscalWeekly")
 # Weeks in the three months of a quarter.
@@ -22,7 +23,7 @@ QUARTER_PATTERNS = {"445": (4, 4, 5), "454": (4, 5, 4), "544": (5, 4, 4)}
 
 def year_bounds(spark: SparkSession, first_year: int, last_year: int, as_of: dt.date) -> DataFrame:
     """One row (first_year, last_year, as_of) that configures a calendar."""
-    return spark.range(1).select(
+    return spark.range(0, 1, 1, 1).select(
         F.lit(first_year).alias("first_year"), F.lit(last_year).alias("last_year"), F.lit(as_of).alias("as_of")
     )
 
@@ -258,7 +259,7 @@ def custom_periods(
     """Explicit fiscal years. The first one must start on the first day of the week unless unchecked."""
     if check and periods and (min(p[1] for p in periods).isoweekday() % 7) != first_dow:
         raise ValueError("custom fiscal periods do not start on the first day of the week")
-    return spark.createDataFrame(periods, "fw_year_number int, fw_start_of_year date, fw_end_of_year date")
+    return literal_table(spark, periods, "fw_year_number int, fw_start_of_year date, fw_end_of_year date")
 
 
 def fiscal_weeks(periods: DataFrame, pattern: str = "445", first_dow: int = 0) -> DataFrame:

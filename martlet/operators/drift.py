@@ -196,13 +196,13 @@ def alert_text(df: DataFrame) -> DataFrame:
         F.lit("\n  Type: "), F.col("drift_type"),
         F.lit("\n  Current: "), number("current_value"),
         F.lit(" (vs "), number("reference_value"),
-        F.lit(", "), F.coalesce(F.format_string("%+.1f%%", change), F.lit("n/a")), F.lit(")"),
+        F.lit(", "), F.when(change.isNotNull(), F.format_string("%+.1f%%", change)).otherwise("n/a"), F.lit(")"),
         F.lit("\n  Score: "), number("drift_score"),
         F.lit("\n  Dataset: "), F.col("current_dataset_version"),
         F.lit(" (current) vs "), F.col("reference_dataset_version"), F.lit(" (reference)"),
         F.lit("\n  Time: "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
     )
-    return df.withColumn("alert_text", F.when(change.isNull(), F.regexp_replace(text, "null%", "n/a")).otherwise(text))
+    return df.withColumn("alert_text", text)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.operators.joins import generate, top_one
+from martlet.sources.readers import literal_table
 
 MONDAY_TO_FRIDAY = (1, 2, 3, 4, 5)  # 0 = Sunday
 
@@ -220,7 +221,8 @@ def holiday_rules(spark: SparkSession, country: str | None = None) -> DataFrame:
     if country and country not in HOLIDAY_RULES:
         raise ValueError(f"no holiday rules for country {country!r}")
     chosen = HOLIDAY_RULES if country is None else {country: HOLIDAY_RULES[country]} if country else {}
-    return spark.createDataFrame([(code, *rule) for code, rules in chosen.items() for rule in rules], RULE_SCHEMA)
+    rows = [(code, *rule) for code, rules in chosen.items() for rule in rules]
+    return literal_table(spark, rows, RULE_SCHEMA)
 
 
 def easter(year: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from martlet.functions.columns import divide_or_null, percent_of
 from martlet.operators.aggregates import gini
 from martlet.session import ensure_checkpoint_dir
+from martlet.sources.readers import literal_table
 
 DEFAULT_ALS = {"rank": 50, "maxIter": 10, "regParam": 0.1, "alpha": 1.0, "implicitPrefs": True, "seed": 42}
 # The ranges searched and the grid tried for ALS.
@@ -295,6 +296,6 @@ def _trials(df: DataFrame, maps: list[dict], metrics: list[float]) -> DataFrame:
         (i, *[float({p.name: v for p, v in m.items()}[n]) for n in names], float(metric))
         for i, (m, metric) in enumerate(zip(maps, metrics))
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "trial int, " + ", ".join(f"{n} double" for n in names) + ", rmse double"
+    return literal_table(
+        df.sparkSession, rows, "trial int, " + ", ".join(f"{n} double" for n in names) + ", rmse double"
     )

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlet.sources.readers import literal_table
+
 
 def add_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
     """Append a few literal rows that follow the schema of ``df``."""
-    return df.union(df.sparkSession.createDataFrame(rows, df.schema))
+    return df.union(literal_table(df.sparkSession, rows, df.schema))
 
 
 def common(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -25,8 +25,24 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str] | T.StructType | str) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
+def literal_table(spark: SparkSession, rows: list[tuple], schema: list[str] | T.StructType | str) -> DataFrame:
+    """A few literal rows. They become part of the plan, so no Python worker has to read them."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if isinstance(schema, T.StructType):
+        cells = [(f.name, f.dataType) for f in schema.fields]
+    else:
+        cells = [(name, None) for name in schema]
+    if not rows:
+        kinds = [F.lit(None).cast(kind or T.StringType()).alias(name) for name, kind in cells]
+        return spark.range(0).select(*kinds)
+
+    def cell(value, name, kind):
+        literal = F.lit(value)
+        return (literal if kind is None else literal.cast(kind)).alias(name)
+
+    structs = [F.struct(*[cell(v, *c) for v, c in zip(row, cells)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def table_name_of(file_name: str) -> str:
