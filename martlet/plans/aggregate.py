@@ -16,6 +16,9 @@ def r(column: str, places: int = 6):
     return F.round(column, places).alias(column)
 
 
+# Added before means are rounded, here and in SQL, so that exact ties do not hang on the order of a sum.
+OFF_TIES = 1e-7
+
 # -- aggregations -------------------------------------------------------------------------------------
 
 
@@ -167,10 +170,10 @@ def preference_by_max_price(t: Tables):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", r("preference", 8))
 
 
-@query("A12", with_("SELECT customer_id, round(avg(price), 4) AS customer_avg_price FROM delivered_fact GROUP BY 1", FACT, DELIVERED_FACT))
+@query("A12", with_("SELECT customer_id, round(avg(price) + 1e-7, 4) AS customer_avg_price FROM delivered_fact GROUP BY 1", FACT, DELIVERED_FACT))
 def average_price_per_customer(t: Tables):
     return A.mean_per(t.delivered(), "customer_id", "price", "customer_avg_price").withColumn(
-        "customer_avg_price", F.round("customer_avg_price", 4)
+        "customer_avg_price", F.round(F.col("customer_avg_price") + OFF_TIES, 4)
     )
 
 
@@ -246,7 +249,7 @@ def interaction_matrix_statistics(t: Tables):
 
 SCORES = """scores AS (
   SELECT start_time AS timestamp, metric_name, value - lag(value) OVER w AS drift_score
-  FROM runs QUALIFY lag(value) OVER w IS NOT NULL WINDOW w AS (PARTITION BY metric_name ORDER BY start_time))"""
+  FROM runs WINDOW w AS (PARTITION BY metric_name ORDER BY start_time) QUALIFY lag(value) OVER w IS NOT NULL)"""
 
 
 @query(
@@ -405,7 +408,7 @@ def runs_with_previous(t: Tables):
     "W5",
     with_(
         """SELECT metric_name, run_id, value, CAST(row_number() OVER w AS INTEGER) AS rn FROM runs
-           QUALIFY row_number() OVER w <= 2 WINDOW w AS (PARTITION BY metric_name ORDER BY start_time DESC)""",
+           WINDOW w AS (PARTITION BY metric_name ORDER BY start_time DESC) QUALIFY row_number() OVER w <= 2""",
         RUNS,
     ),
 )

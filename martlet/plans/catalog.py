@@ -2,7 +2,9 @@
 
 from martlet.plans import (  # noqa: F401 - importing registers the queries
     aggregate,
+    calendars,
     relational,
+    semantic,
 )
 from martlet.plans.registry import QUERIES
 
