@@ -18,6 +18,9 @@ RULE_SCHEMA = (
 )
 
 
+SUBSTITUTE = 7  # place of the substitute code in a rule
+
+
 def _rule(kind, name, month=0, day=0, weekday=0, nth=0, offset=0, substitute=0, priority=100, since=0, until=0):
     return (kind, month, day, weekday, nth, offset, name, substitute, priority, since, until)
 
@@ -340,5 +343,8 @@ def holidays(
     """Holidays and observed substitutes (country, date, holiday_name) of the given years (column ``year``)."""
     rules = holiday_rules(years.sparkSession, country)
     raw = raw_holidays(years, rules)
-    most = max((len(r) for r in HOLIDAY_RULES.values()), default=0)
-    return all_holidays(one_holiday_per_date(raw), substitute_holidays(raw, most, working_days))
+    generated = one_holiday_per_date(raw)
+    chosen = HOLIDAY_RULES.values() if country is None else [HOLIDAY_RULES.get(country, [])]
+    if not any(rule[SUBSTITUTE] for of_country in chosen for rule in of_country):
+        return generated.select("country", "date", "holiday_name")
+    return all_holidays(generated, substitute_holidays(raw, max(map(len, chosen)), working_days))

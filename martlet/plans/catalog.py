@@ -3,8 +3,12 @@
 from martlet.plans import (  # noqa: F401 - importing registers the queries
     aggregate,
     calendars,
+    forecasts,
+    monitoring,
+    recommend,
     relational,
     semantic,
+    texts,
 )
 from martlet.plans.registry import QUERIES
 

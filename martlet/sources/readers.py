@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,23 +27,22 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: list[str] | T.StructType | str) -> DataFrame:
-    """A few literal rows. They become part of the plan, so no Python worker has to read them."""
+    """A few literal rows. Handed over as Arrow they become part of the plan: no Python worker reads them."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if isinstance(schema, T.StructType):
-        cells = [(f.name, f.dataType) for f in schema.fields]
-    else:
-        cells = [(name, None) for name in schema]
-    if not rows:
-        kinds = [F.lit(None).cast(kind or T.StringType()).alias(name) for name, kind in cells]
-        return spark.range(0).select(*kinds)
-
-    def cell(value, name, kind):
-        literal = F.lit(value)
-        return (literal if kind is None else literal.cast(kind)).alias(name)
-
-    structs = [F.struct(*[cell(v, *c) for v, c in zip(row, cells)]) for row in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    names = schema if isinstance(schema, list) else schema.fieldNames()
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    table = pa.table([pa.array(list(c)) for c in columns], names=list(names))
+    if isinstance(schema, list):
+        return spark.createDataFrame(table)
+    return spark.createDataFrame(table.cast(_arrow_schema(schema)), schema)
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(),
+             "boolean": pa.bool_(), "date": pa.date32(), "timestamp": pa.timestamp("us", "UTC"),
+             "timestamp_ntz": pa.timestamp("us"), "float": pa.float32()}
+    return pa.schema([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
 def table_name_of(file_name: str) -> str:
