@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.columns import divide_or_null, percent_of
-from martlet.operators.aggregates import scale_by_max, split_overlap
-from martlet.operators.ordering import global_row_number
+from martlet.operators.aggregates import scale_by_max
+from martlet.operators.ordering import global_row_number, global_running_sum
 
 
 def index_ids(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -37,34 +37,79 @@ def interactions(fact: DataFrame, ts: str = "order_purchase_timestamp") -> tuple
     )
 
 
+def _in_train(df: DataFrame, ratio: float, seed: int) -> Column:
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000))
+    return bucket < int(ratio * 1_000_000)
+
+
 def random_split(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of the row, so that recomputed tasks put every row on the same side again.
 
     Identical rows go to the same side, which also keeps copies of a row out of both.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000))
-    in_train = bucket < int(ratio * 1_000_000)
+    in_train = _in_train(df, ratio, seed)
     return df.filter(in_train), df.filter(~in_train)
 
 
-def random_split_stats(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Sizes and user and item overlap of a split, as one row."""
-    sizes = train.agg(F.count(F.lit(1)).alias("train_size")).withColumn(
-        "test_size", test.agg(F.count(F.lit(1))).scalar()
+def random_split_stats(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
+    """Sizes and user and item overlap of :func:`random_split`, as one row from one pass and one shuffle."""
+    ids = F.array(
+        F.struct(F.lit("users").alias("kind"), F.col("userId").alias("id")),
+        F.struct(F.lit("items").alias("kind"), F.col("itemId").alias("id")),
+    )
+    marked = df.select(F.inline(ids), _in_train(df, ratio, seed).alias("_train"))
+    per_id = marked.groupBy("kind", "id").agg(
+        F.count_if("_train").alias("_train"), F.count_if(~F.col("_train")).alias("_test")
+    )
+    train, test = F.col("_train"), F.col("_test")
+
+    def of(kind: str, test_: Column) -> Column:
+        return F.count_if((F.col("kind") == kind) & test_)
+
+    columns = [
+        F.sum(F.when(F.col("kind") == "users", train)).alias("train_size"),
+        F.sum(F.when(F.col("kind") == "users", test)).alias("test_size"),
+    ]
+    for kind in ("users", "items"):
+        columns += [
+            of(kind, train > 0).alias(f"train_{kind}"),
+            of(kind, test > 0).alias(f"test_{kind}"),
+            of(kind, (train > 0) & (test > 0)).alias(f"common_{kind}"),
+        ]
+    return per_id.agg(*columns).withColumns(
+        {
+            "user_overlap_percentage": percent_of("common_users", "test_users"),
+            "item_overlap_percentage": percent_of("common_items", "test_items"),
+        }
     )
-    users = split_overlap(train, test, "userId", "users").select(F.struct("*")).scalar()
-    items = split_overlap(train, test, "itemId", "items").select(F.struct("*")).scalar()
-    return sizes.withColumns({"_u": users, "_i": items}).select("train_size", "test_size", "_u.*", "_i.*")
 
 
 def time_split(df: DataFrame, ts: str, test_ratio: float, *ties: Column | str) -> DataFrame:
     """Mark each row ``train`` or ``test`` (column ``split``) by its place in time.
 
-    The oldest ``int(n * (1 - test_ratio))`` rows train. Ties in time are settled by ``ties``.
+    The oldest ``int(n * (1 - test_ratio))`` rows train. Only times and their counts are put in order to find
+    the time at the cut; rows before and after it are told apart where they are. Rows at that very time are
+    numbered by ``ties``.
     """
-    numbered = global_row_number(df, F.col(ts), *ties, name="_rn")
-    cutoff = F.floor(df.agg(F.count(F.lit(1))).scalar() * (1.0 - test_ratio))
-    return numbered.withColumn("split", F.when(F.col("_rn") <= cutoff, "train").otherwise("test")).drop("_rn")
+    known = df.filter(F.col(ts).isNotNull())
+    counted = known.groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
+    running = global_running_sum(counted, "_n", "_ts", name="_upto")
+    cutoff = F.floor(running.agg(F.sum("_n")).scalar() * (1.0 - test_ratio))
+    at_cut = (
+        running.filter(F.col("_upto") > cutoff).orderBy("_ts").limit(1)
+        .select("_ts", (cutoff - F.col("_upto") + F.col("_n")).alias("_fit"))
+        .first()
+    )
+    if at_cut is None:  # no test rows wanted
+        return known.withColumn("split", F.lit("train"))
+    time = F.lit(at_cut["_ts"]).cast(df.schema[ts].dataType)
+    apart = known.filter(F.col(ts) != time).withColumn("split", F.when(F.col(ts) < time, "train").otherwise("test"))
+    level = known.filter(F.col(ts) == time)
+    if not at_cut["_fit"]:
+        return apart.unionByName(level.withColumn("split", F.lit("test")))
+    numbered = global_row_number(level, *(ties or [F.xxhash64(*df.columns)]), name="_rn")
+    side = F.when(F.col("_rn") <= at_cut["_fit"], "train").otherwise("test")
+    return apart.unionByName(numbered.withColumn("split", side).drop("_rn"))
 
 
 def cold_start(df: DataFrame, key: str, threshold: int, inclusive: bool = False) -> DataFrame:

@@ -128,11 +128,21 @@ def _fact_aggregate(m: Measure) -> Column:
     return {"sum": F.sum, "average": F.avg, "distinct": F.countDistinct}[m.kind](m.column)
 
 
-def _review_aggregate(m: Measure) -> Column:
-    if m.kind == "count":
-        return F.sum("_rows")
-    total, count = _REVIEW_PARTS[m.column]
-    return divide_or_null(F.sum(total), F.sum(count))
+def _order_parts(m: Measure) -> list[Column]:
+    """Sum and count of an additive fact measure per group and order."""
+    value = F.lit(1) if m.kind == "count" else F.col(m.column)
+    return [F.sum(value).alias(f"_sum_{m.name}"), F.count(value).alias(f"_count_{m.name}")]
+
+
+def _from_parts(m: Measure) -> Column:
+    """Measure of a group from the parts of its orders."""
+    if m.source == "fact":
+        total, count = f"_sum_{m.name}", f"_count_{m.name}"
+    elif m.kind == "count":
+        total, count = "_rows", "_rows"
+    else:
+        total, count = _REVIEW_PARTS[m.column]
+    return divide_or_null(F.sum(total), F.sum(count)) if m.kind == "average" else F.sum(total)
 
 
 def _outer(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -169,14 +179,19 @@ def evaluate(
     visible = visible_fact(model, by, filters, date_role)
     results = []
     of_fact = [m for m in chosen if m.source == "fact"]
-    if of_fact:
-        results.append(visible.groupBy(*by).agg(*[_fact_aggregate(m).alias(m.name) for m in of_fact]))
     of_reviews = [m for m in chosen if m.source == "reviews"]
     if of_reviews:
-        # Every order once per group, whatever its number of items.
-        orders = visible.select(*by, "order_id").distinct()
-        joined = orders.join(reviews_per_order(model.reviews), "order_id")
-        results.append(joined.groupBy(*by).agg(*[_review_aggregate(m).alias(m.name) for m in of_reviews]))
+        # Every order once per group, whatever its number of items. Additive fact measures ride along, so
+        # the fact is read once; the order key of the fact's own join also serves the grouping and the reviews.
+        additive = [m for m in of_fact if m.kind != "distinct"]
+        of_fact = [m for m in of_fact if m.kind == "distinct"]
+        parts = [p for m in additive for p in _order_parts(m)] or [F.count(F.lit(1)).alias("_items")]
+        orders = visible.groupBy(*by, "order_id").agg(*parts)
+        how = "left" if additive else "inner"
+        joined = orders.join(reviews_per_order(model.reviews), "order_id", how)
+        results.append(joined.groupBy(*by).agg(*[_from_parts(m).alias(m.name) for m in additive + of_reviews]))
+    if of_fact:
+        results.append(visible.groupBy(*by).agg(*[_fact_aggregate(m).alias(m.name) for m in of_fact]))
     of_forecast = [m for m in chosen if m.source == "forecast"]
     if of_forecast:
         results.append(_evaluate_forecast(model, of_forecast, by, filters))

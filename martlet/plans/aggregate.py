@@ -580,7 +580,11 @@ def catalog_by_price(t: Tables):
     return K.catalog_sort(listed, "price_desc")
 
 
-@query("K7")
+@query(
+    "K7",
+    """SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS product_segment, p_retailprice AS list_price,
+              p_size AS stock FROM part""",
+)
 def catalog_shuffled(t: Tables):
     return K.catalog_sort(t.products(), "newest")
 

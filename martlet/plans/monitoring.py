@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from martlet.operators import drift as D
 from martlet.plans.registry import query, with_
 from martlet.plans.tables import RUNS, Tables
+from martlet.sources.readers import scan_path
+from martlet.sources.writers import append_path
 
 WATCHED = ("click", "purchase", "view", "error")
 DIRECTIONS = {"error": False}
@@ -126,6 +128,26 @@ def alert_records(t: Tables):
     return _rounded(named, "drift_score")
 
 
+@query(
+    "S6 D6",
+    with_(
+        """SELECT metric_name, round(drift_score, 6) AS drift_score, severity, start_time AS timestamp, run_id, cv AS current_dataset_version FROM drifts""",
+        RUNS,
+        RECENT,
+        PAIRED,
+        DRIFTS,
+    ),
+)
+def alerts_appended(t: Tables):
+    found = D.sudden_drift(D.metric_history(t.runs()), "events", WATCHED, THRESHOLD, directions=DIRECTIONS)
+    path = t.scratch("alerts")
+    append_path(D.alerts(found, F.to_timestamp_ntz("run_id", F.lit("yyyyMMdd"))), path)
+    stored = scan_path(t.spark, path)
+    return _rounded(
+        stored.select("metric_name", "drift_score", "severity", "timestamp", "run_id", "current_dataset_version"), "drift_score"
+    )
+
+
 @query(
     "D7 P11",
     with_(
@@ -208,16 +230,52 @@ def alert_texts(t: Tables):
     return D.alert_text(records).select("metric_name", "alert_text")
 
 
-@query("D14 D11")
+WATCHED_SCORES = """watched AS (
+  SELECT start_time AS timestamp, metric_name, value - lag(value) OVER w AS drift_score
+  FROM runs WHERE metric_name IN ('click', 'purchase', 'view', 'error')
+  WINDOW w AS (PARTITION BY metric_name ORDER BY start_time) QUALIFY lag(value) OVER w IS NOT NULL)"""
+
+
+@query(
+    "D14 D11",
+    with_(
+        f"""SELECT metric_name, round(avg(drift_score), 4) AS drift_mean, round(stddev(drift_score), 4) AS drift_std,
+                   round(max(drift_score), 4) AS drift_max, round(min(drift_score), 4) AS drift_min, 'abs_diff' AS statistical_test,
+                   {THRESHOLD}::DOUBLE AS threshold, round(max(drift_score), 4) > {THRESHOLD}::DOUBLE AS above_threshold
+            FROM watched GROUP BY 1""",
+        RUNS,
+        WATCHED_SCORES,
+    ),
+)
 def monitor_summary(t: Tables):
     return MONITOR.summary(D.metric_history(t.runs()))
 
 
-@query("D14 D12")
+@query(
+    "D14 D12",
+    with_(
+        "SELECT timestamp, "
+        + ", ".join(f"round(max(drift_score) FILTER (WHERE metric_name = '{m}'), 6) AS {m}" for m in WATCHED)
+        + " FROM watched GROUP BY 1",
+        RUNS,
+        WATCHED_SCORES,
+    ),
+)
 def monitor_score_pivot(t: Tables):
-    return MONITOR.score_pivot(D.metric_history(t.runs()))
+    return _rounded(MONITOR.score_pivot(D.metric_history(t.runs())), *WATCHED)
 
 
-@query("D14 S6")
+@query(
+    "D14 D6",
+    with_(
+        f"""SELECT metric_name, round(drift_score, 6) AS drift_score, CASE WHEN abs(drift_score) > 2 * {THRESHOLD}::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+                   start_time AS timestamp, run_id FROM paired WHERE drift_score <= -{THRESHOLD}::DOUBLE""",
+        RUNS,
+        RECENT,
+        PAIRED,
+    ),
+)
 def monitor_check(t: Tables):
-    return MONITOR.check(D.metric_history(t.runs()), F.to_timestamp("run_id", F.lit("yyyyMMdd")))
+    """With the usual directions a rising error mean counts as good."""
+    found = MONITOR.check(D.metric_history(t.runs()), F.to_timestamp_ntz("run_id", F.lit("yyyyMMdd")))
+    return _rounded(found.select("metric_name", "drift_score", "severity", "timestamp", "run_id"), "drift_score")

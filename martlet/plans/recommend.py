@@ -63,7 +63,7 @@ def interaction_set(t: Tables):
 @query("R4")
 def random_split_overlap(t: Tables):
     pairs, _, _ = I.interactions(t.delivered())
-    return I.random_split_stats(*I.random_split(pairs, 0.8, 42))
+    return I.random_split_stats(pairs, 0.8, 42)
 
 
 @query(

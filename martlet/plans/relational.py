@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -110,11 +111,35 @@ def readers_snapshot(t: Tables, root: str):
     )
 
 
-@query("S12")
+@query(
+    "S10 S13 S4 S8",
+    """SELECT name, true AS exported, rows FROM (
+         SELECT 'my_customers' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'products', count(*) FROM part
+         UNION ALL SELECT 'sellers', count(*) FROM supplier)""",
+)
+def model_exported_and_listed(t: Tables):
+    database = f"martlet_{uuid.uuid4().hex}"
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{t.scratch('database')}'")
+    model = {"My Customers": t.customers(), "products": t.products(), "sellers": t.sellers()}
+    outcome = writers.export_model(t.spark, model, database).withColumn("name", F.lower("table_name"))
+    sizes = U.stack(
+        {n: readers.scan_table(t.spark, f"{database}.{n}").agg(F.count(F.lit(1)).alias("rows")) for n in ("my_customers", "products", "sellers")},
+        "name",
+    )
+    listed = catalog.list_tables(t.spark, database).select(F.col("Name").alias("name"))
+    return listed.join(outcome, "name").join(sizes, "name").select("name", "exported", "rows")
+
+
+@query("S12", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def export_sample_csv(t: Tables):
     path = t.scratch("sample")
-    writers.export_sample(t.scan("orders").orderBy("o_orderkey"), 100, path)
-    return readers.read_csv(t.spark, path)
+    writers.export_sample(t.scan("orders").orderBy(F.desc("o_totalprice"), "o_orderkey"), 100, path)
+    return readers.read_csv(t.spark, path).select(
+        F.col("o_orderkey").cast("long"),
+        F.col("o_custkey").cast("long"),
+        "o_totalprice",
+        F.col("o_orderdate").cast("timestamp_ntz"),
+    )
 
 
 @query("S14 U5", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -297,7 +322,10 @@ def catalog_text_search(t: Tables):
     return P.text_search(t.scan("part"), ["p_name", "p_type", "p_brand"], "RED").select("p_partkey", "p_name")
 
 
-@query("P17")
+@query(
+    "P17",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate FROM lineitem""",
+)
 def numeric_and_date_columns(t: Tables):
     return P.select_types(t.scan("lineitem"), ["number", "datetime"], drop_all_null=True)
 

@@ -143,9 +143,12 @@ def several_columns_enriched(t: Tables):
     return E.enrich_columns(docs, "doc_id", ["lang", "source"], mark_english).select("doc_id", "lang_en", "source_en")
 
 
-@query("X10")
+@query(
+    "X10",
+    "SELECT p_name, list_transform(string_split('a,e,i,o,u,n,r,s,t', ','), lambda c: length(p_name) - length(replace(p_name, c, '')) + 0.5::DOUBLE) AS embeddings FROM (SELECT DISTINCT p_name FROM part)",
+)
 def category_vectors(t: Tables):
-    return E.embed(t.scan("part"), "p_name", letter_vector)
+    return E.embed(t.scan("part"), "p_name", letter_vector).select("p_name", "embeddings")
 
 
 @query("X11")
