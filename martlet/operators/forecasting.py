@@ -21,6 +21,7 @@ from martlet.operators.aggregates import exact_quantiles
 from martlet.operators.projections import exclude_month, where_between, where_eq
 from martlet.operators.topk import drop_last_period
 from martlet.operators.windows import fill
+from martlet.session import shuffle_width
 
 HORIZONS = {"day": 31, "week": 4, "month": 1}
 SEASONS = {"day": 7, "week": 52, "month": 12}
@@ -49,20 +50,30 @@ def _label(freq: str) -> Column:
     return {"day": F.col("date"), "week": week_end_sunday("date"), "month": F.last_day("date")}[freq]
 
 
-def _steps(freq: str, first: Column, last: Column) -> Column:
+def _gap(freq: str, following: Column) -> Column:
+    """Labels from a row's own date up to the step before ``following``."""
+    date = F.col("date")
     if freq == "month":
-        months = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+        last = F.coalesce(F.add_months(F.trunc(following, "month"), -1), F.trunc(date, "month"))
+        months = F.sequence(F.trunc(date, "month"), last, F.expr("interval 1 month"))
         return F.transform(months, lambda m: F.last_day(m))
-    days = {"day": "interval 1 day", "week": "interval 7 days"}[freq]
-    return F.sequence(first, last, F.expr(days))
+    days = {"day": 1, "week": 7}[freq]
+    return F.sequence(date, F.coalesce(F.date_sub(following, days), date), F.expr(f"interval {days} days"))
 
 
 def resample(df: DataFrame, freq: str, keys: Sequence[str] = (), value: str = "sales") -> DataFrame:
-    """Sum per day, week (labelled by its Sunday) or month (labelled by its end); empty steps are 0."""
+    """Sum per day, week (labelled by its Sunday) or month (labelled by its end); empty steps are 0.
+
+    Every row is followed by the empty steps up to the next one, so the rows are read once and never joined
+    to a list of dates. The window sees one series at a time, already summed per step.
+    """
     summed = df.groupBy(*keys, _label(freq).alias("date")).agg(F.sum(value).alias(value))
-    spans = summed.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    spine = spans.select(*keys, F.explode(_steps(freq, F.col("_a"), F.col("_b"))).alias("date"))
-    return spine.join(summed, [*keys, "date"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    spread = summed.withColumn("_next", following).select(
+        *keys, value, F.posexplode(_gap(freq, F.col("_next"))).alias("_pos", "date")
+    )
+    own = F.when(F.col("_pos") == 0, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+    return spread.select(*keys, "date", own.alias(value))
 
 
 def resample_day(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -201,6 +212,24 @@ def _error(actual: np.ndarray, predicted: np.ndarray) -> float:
     return float(np.mean(np.abs((actual[known] - predicted[known]) / actual[known])))
 
 
+def _fitter(horizon: int, season: int):
+    """Vectorised over series: every element of the input is one series of at most calendar length."""
+
+    @F.pandas_udf("predicted array<double>, model string, mape double")
+    def fit(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for y in series:
+            y = np.asarray(y, dtype=float)
+            train, test = (y[:-horizon], y[-horizon:]) if len(y) > horizon else (y, y[:0])
+            errors = {n: _error(test, f(train, horizon, season)[: len(test)]) for n, f in CANDIDATES.items()}
+            best = min(CANDIDATES, key=errors.get)  # first candidate on ties
+            error = errors[best] if np.isfinite(errors[best]) else None
+            rows.append((CANDIDATES[best](y, horizon, season), best, error))
+        return pd.DataFrame(rows, columns=["predicted", "model", "mape"])
+
+    return fit
+
+
 def forecast(
     series: DataFrame,
     freq: str = "day",
@@ -209,33 +238,29 @@ def forecast(
 ) -> DataFrame:
     """Forecast every resampled series ``horizon`` steps ahead: (keys, date, predicted_sales, model, mape).
 
-    The candidate with the smallest error on the last ``horizon`` known steps is fitted on everything.
+    The candidate with the smallest error on the last ``horizon`` known steps is fitted on everything. Each
+    series becomes one array in Spark, so Python sees batches of many series instead of one group at a time.
     """
     horizon = horizon or HORIZONS[freq]
-    season = SEASONS[freq]
-    keys = list(keys)
-    keyed = series if keys else series.withColumn("_all", F.lit(0))
-    group = keys or ["_all"]
-    key_types = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in group)
-    offsets = {"day": "D", "week": "7D", "month": "ME"}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["sales"].to_numpy(dtype=float)
-        train, test = (y[:-horizon], y[-horizon:]) if len(y) > horizon else (y, y[:0])
-        errors = {n: _error(test, f(train, horizon, season)[: len(test)]) for n, f in CANDIDATES.items()}
-        best = min(CANDIDATES, key=lambda n: errors[n])  # first candidate on ties
-        steps = pd.date_range(pd.Timestamp(pdf["date"].iloc[-1]), periods=horizon + 1, freq=offsets[freq])[1:]
-        out = {c: [pdf[c].iloc[0]] * horizon for c in group}
-        out["date"] = steps.date
-        out["predicted_sales"] = CANDIDATES[best](y, horizon, season)
-        out["model"] = best
-        out["mape"] = errors[best] if np.isfinite(errors[best]) else None
-        return pd.DataFrame(out)
-
-    schema = f"{key_types}, date date, predicted_sales double, model string, mape double"
-    out = keyed.select(*group, "date", F.col("sales").cast("double")).groupBy(*group).applyInPandas(fit, schema)
-    return out if keys else out.drop("_all")
+    step = F.struct("date", F.col("sales").cast("double").alias("sales"))
+    if keys:
+        # Fitting costs far more than its bytes suggest, so the width must not follow the bytes.
+        series = series.repartition(shuffle_width(series.sparkSession), *keys)
+    packed = series.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    fitted = packed.select(
+        *keys,
+        F.element_at("_steps", -1)["date"].alias("_last"),
+        _fitter(horizon, SEASONS[freq])(F.transform("_steps", lambda e: e["sales"])).alias("_fit"),
+    )
+    ahead = F.col("_pos") + 1
+    date = {
+        "day": F.date_add("_last", ahead),
+        "week": F.date_add("_last", ahead * 7),
+        "month": F.last_day(F.add_months("_last", ahead)),
+    }[freq]
+    return fitted.select(
+        *keys, "_last", F.posexplode("_fit.predicted").alias("_pos", "predicted_sales"), "_fit.model", "_fit.mape"
+    ).select(*keys, date.alias("date"), "predicted_sales", "model", "mape")
 
 
 def forecast_rows(predictions: DataFrame, prediction_ts) -> DataFrame:

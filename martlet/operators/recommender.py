@@ -16,9 +16,10 @@ from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
 from martlet.operators.aggregates import gini
-from martlet.session import ensure_checkpoint_dir
+from martlet.session import ensure_checkpoint_dir, shuffle_width
 from martlet.sources.readers import literal_table
 
+MAX_BLOCKS = 400
 DEFAULT_ALS = {"rank": 50, "maxIter": 10, "regParam": 0.1, "alpha": 1.0, "implicitPrefs": True, "seed": 42}
 # The ranges searched and the grid tried for ALS.
 SEARCH_SPACE = {
@@ -45,7 +46,9 @@ def als(nonnegative: bool = False, **params: Any) -> ALS:
 def fit_als(df: DataFrame, nonnegative: bool = False, **params: Any) -> ALSModel:
     # ALS cuts its own lineage every few iterations once a checkpoint folder is known.
     ensure_checkpoint_dir(df.sparkSession)
-    return als(nonnegative, **params).fit(df)
+    # Factor blocks are the unit of parallel work; pieces exchanged grow with their square.
+    blocks = min(max(shuffle_width(df.sparkSession), 10), MAX_BLOCKS)
+    return als(nonnegative, **params).setNumBlocks(blocks).fit(df)
 
 
 def predict(model: ALSModel, df: DataFrame) -> DataFrame:
