@@ -226,6 +226,45 @@ def fiscal_calendar(df: DataFrame, first_month: int = 1, label_rule: int = 1, fi
     )
 
 
+def fiscal_relative_positions(
+    df: DataFrame, as_of: Column, first_month: int = 1, first_dow: int = 0
+) -> DataFrame:
+    """Distance from the reference day in weeks, fiscal months, quarters and years."""
+    shift = first_month - 1
+
+    def fiscal_months(x: Column) -> Column:
+        moved = F.add_months(F.trunc(x, "month"), -shift)
+        return F.year(moved) * 12 + F.month(moved) - 1
+
+    here, there = fiscal_months(F.col("date")), fiscal_months(as_of)
+    return df.withColumns(
+        {
+            "fiscal_relative_week_pos": year_week_number(F.col("date"), first_dow) - year_week_number(as_of, first_dow),
+            "fiscal_relative_month_pos": here - there,
+            "fiscal_relative_quarter_pos": (F.floor(here / 3) - F.floor(there / 3)).cast("int"),
+            "fiscal_relative_year_pos": (F.floor(here / 12) - F.floor(there / 12)).cast("int"),
+        }
+    )
+
+
+def fiscal_week_relative_positions(weeks: DataFrame, as_of: Column) -> DataFrame:
+    """Distance of each day from the reference day in fiscal weeks, months, quarters and years; null when
+    the reference day lies outside of the weekly years."""
+    levels = {
+        "week": "fw_year_week_number",
+        "month": "fw_year_month_number",
+        "quarter": "fw_year_quarter_number",
+        "year": "fw_year_number",
+    }
+    now = weeks.filter(F.col("date") == as_of).agg(
+        F.struct(*[F.max(column).alias(level) for level, column in levels.items()]).alias("now")
+    )
+    placed = weeks.withColumn("_now", now.scalar())
+    return placed.withColumns(
+        {f"fw_relative_{level}_pos": F.col(column) - F.col(f"_now.{level}") for level, column in levels.items()}
+    ).drop("_now")
+
+
 def _fiscal_year_start(year: Column, first_month: int, week_rule: str, first_dow: int) -> Column:
     """First day of a fiscal year made of whole weeks."""
     anchor = F.make_date(year, F.lit(first_month), F.lit(1))
@@ -387,11 +426,14 @@ def calendar(
     in_range = F.col("year_number")
     if fiscal or kind == "FiscalGregorian":
         out = fiscal_calendar(out, first_month, label_rule, first_dow)
+        out = fiscal_relative_positions(out, F.col("as_of"), first_month, first_dow)
         in_range = F.col("fiscal_year_number") if kind == "FiscalGregorian" else in_range
     if fiscal or kind == "FiscalWeekly":
         if periods is None:
             periods = weekly_periods(bounds, first_month, label_rule, week_rule, first_dow)
-        out = out.join(fiscal_weeks(periods, pattern, first_dow), "date", "left")
+        weeks = fiscal_weeks(periods, pattern, first_dow)
+        today = bounds.select("as_of").scalar()
+        out = out.join(fiscal_week_relative_positions(weeks, today), "date", "left")
         in_range = F.col("fw_year_number") if kind == "FiscalWeekly" else in_range
     kept = out.filter(in_range.between(F.col("first_year"), F.col("last_year")))
     return kept.drop("first_year", "last_year", "as_of") if fiscal else kept.select(*plain)

@@ -416,9 +416,29 @@ def calendar_ranges(t: Tables):
     )
 
 
-@query("C14 C12")
+@query("C14 C12", _fiscal_week_sql((4, 4, 5), nearest=False))
 def calendar_by_fiscal_weeks(t: Tables):
-    return _with_sold(t, t.calendar(kind="FiscalWeekly", fiscal=True))
+    return _with_sold(t, t.calendar(kind="FiscalWeekly", fiscal=True)).select(*FW_COLUMNS)
+
+
+@query(
+    "C10 C11",
+    with_(
+        """, k AS (SELECT date, as_of, year(date + INTERVAL 6 MONTH) AS fy, year(as_of + INTERVAL 6 MONTH) AS cy,
+                    CASE WHEN month(date) >= 7 THEN month(date) - 6 ELSE month(date) + 6 END AS fm,
+                    CASE WHEN month(as_of) >= 7 THEN month(as_of) - 6 ELSE month(as_of) + 6 END AS cm
+                  FROM (SELECT date, as_of FROM days, bounds))
+           SELECT date, CAST((fy - cy) * 12 + fm - cm AS INTEGER) AS fiscal_relative_month_pos,
+                  CAST((fy - cy) * 4 + ceil(fm / 3) - ceil(cm / 3) AS INTEGER) AS fiscal_relative_quarter_pos,
+                  CAST(fy - cy AS INTEGER) AS fiscal_relative_year_pos FROM k""",
+        BOUNDS,
+        DAYS,
+    ).replace(") , k AS", "), k AS"),
+)
+def fiscal_relative_positions(t: Tables):
+    return t.calendar(fiscal=True, first_month=7).select(
+        "date", "fiscal_relative_month_pos", "fiscal_relative_quarter_pos", "fiscal_relative_year_pos"
+    )
 
 
 @query(

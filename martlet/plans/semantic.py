@@ -120,6 +120,31 @@ def grand_totals_of_measures(t: Tables):
     )
 
 
+@query(
+    "M1 M2 M5 M6 M10",
+    with_(
+        """SELECT customer_region, order_status, round(sum(price), 2) AS total_sales, count(*) AS total_orders,
+                  count(DISTINCT customer_id) AS total_active_customers, round(avg(hours) + 1e-9, 6) AS average_delivery_time
+           FROM fact LEFT JOIN customers USING (customer_id) WHERE customer_segment IN ('BUILDING', 'MACHINERY') AND order_status <> 'P'
+           GROUP BY 1, 2""",
+        FACT,
+        CUSTOMERS,
+    ),
+)
+def sales_measures_summed_by_key_first(t: Tables):
+    measures = ["total_sales", "total_orders", "total_active_customers", "average_delivery_time"]
+    filters = {"customer_segment": ["BUILDING", "MACHINERY"], "order_status": F.col("order_status") != "P"}
+    out = M.evaluate(t.model(), measures, ["customer_region", "order_status"], filters)
+    return out.select(
+        "customer_region",
+        "order_status",
+        F.round("total_sales", 2).alias("total_sales"),
+        "total_orders",
+        "total_active_customers",
+        off_ties("average_delivery_time"),
+    )
+
+
 @query(
     "M7 M10",
     with_(

@@ -56,6 +56,20 @@ def test_totals_and_filters(model):
     assert M.evaluate(model, ["average_delivery_time"]).first()[0] == pytest.approx((1 + 1 + 24 + 1 + 0) / 5)
 
 
+def test_predicates_on_dimension_columns(model):
+    out = M.evaluate(model, ["total_sales"], filters={"category": F.col("category") == "A"}).first()
+    assert out.total_sales == 33.0
+    both = M.evaluate(model, ["total_sales", "total_reviews"], filters={"category": F.col("category") == "A"}).first()
+    assert (both.total_sales, both.total_reviews) == (33.0, 2)
+
+
+def test_measures_by_key_equal_the_general_way(model):
+    general = M.evaluate(model, ["total_sales", "total_orders"], ["category", "date"]).groupBy("category")
+    want = {r.category: (r.s, r.n) for r in general.agg(F.sum("total_sales").alias("s"), F.sum("total_orders").alias("n")).collect()}
+    by_key = M.evaluate(model, ["total_sales", "total_orders"], ["category"]).collect()
+    assert {r.category: (r.total_sales, r.total_orders) for r in by_key} == want
+
+
 def test_only_named_measures_and_known_columns(model):
     with pytest.raises(ValueError):
         M.evaluate(model, ["median_sales"])
