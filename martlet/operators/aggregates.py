@@ -240,21 +240,29 @@ def matrix_stats(df: DataFrame, user: str, item: str) -> DataFrame:
     )
 
 
-def gini(df: DataFrame, count: str) -> DataFrame:
-    """``1 - 2 * sum((n + 1 - i) * v_i) / (n * sum(v))`` with v ascending; 0 for no rows.
+def popularity_stats(df: DataFrame, count: str) -> DataFrame:
+    """Number of groups, their total and their Gini coefficient, as one row from one pass.
 
-    Equal counts are folded into one row each. A fold of m values of size v after p smaller ones has the
-    ranks p+1 .. p+m, whose weights (n + 1 - i) add up to m * (n - p) - m * (m - 1) / 2.
+    The coefficient is ``1 - 2 * sum((n + 1 - i) * v_i) / (n * sum(v))`` with v ascending, and 0 for no rows.
+    Equal counts are folded into one row each. A fold of m values of size v after p smaller ones has the ranks
+    p+1 .. p+m, whose weights (n + 1 - i) add up to m * n - m * p - m * (m - 1) / 2.
     """
-    folds = df.groupBy(F.col(count).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    folds = df.groupBy(F.col(count).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
     # One row per distinct count: about sqrt(2 * rows counted) at most.
     smaller = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = folds.withColumn("p", F.coalesce(F.sum("m").over(smaller), F.lit(0.0)))
-    n = folds.agg(F.sum("m")).scalar()
-    m, p, v = F.col("m"), F.col("p"), F.col("v")
-    weighted = F.sum((m * (n - p) - m * (m - 1) / 2) * v)
-    total = F.sum(m) * F.sum(m * v)
-    return placed.agg(F.coalesce(1 - 2 * divide_or_null(weighted, total), F.lit(0.0)).alias("gini"))
+    placed = folds.withColumn("p", F.coalesce(F.sum("m").over(smaller), F.lit(0)))
+    m, p, v = F.col("m").cast("double"), F.col("p"), F.col("v")
+    whole = F.sum(m) * F.sum(m * v)
+    missing = F.sum((m * p + m * (m - 1) / 2) * v)
+    return placed.agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("groups"),
+        F.coalesce(F.sum(m * v), F.lit(0.0)).alias("total"),
+        F.coalesce(1 - 2 * divide_or_null(whole - missing, whole), F.lit(0.0)).alias("gini"),
+    )
+
+
+def gini(df: DataFrame, count: str) -> DataFrame:
+    return popularity_stats(df, count).select("gini")
 
 
 def coverage(recs: DataFrame, catalog: DataFrame, key: str = "product_id") -> DataFrame:

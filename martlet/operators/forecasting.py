@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 from martlet.functions.columns import date_key, divide_or_null, sample_skewness, week_end_sunday
 from martlet.operators.aggregates import exact_quantiles
 from martlet.operators.projections import exclude_month, where_between, where_eq
-from martlet.operators.topk import drop_last_period
 from martlet.operators.windows import fill
 from martlet.session import shuffle_width
 
@@ -85,9 +84,7 @@ def resample_week(df: DataFrame, keys: Sequence[str] = (), drop_last: bool = Tru
     weekly = resample(df, "week", keys)
     if not drop_last:
         return weekly
-    if not keys:
-        return drop_last_period(weekly, "date")
-    last = F.max("date").over(Window.partitionBy(*keys))
+    last = F.max("date").over(Window.partitionBy(*keys))  # a series at a time
     return weekly.withColumn("_last", last).filter(F.col("date") < F.col("_last")).drop("_last")
 
 
@@ -111,8 +108,9 @@ def holdout(df: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
 
 def holdout_share(df: DataFrame, share: float = 0.2) -> DataFrame:
     """The same with ``int(n * share)`` test rows of a single series."""
-    horizon = F.floor(df.agg(F.count(F.lit(1))).scalar() * share)
-    newest = Window.orderBy(F.desc("date"))  # one calendar-sized series
+    # One calendar-sized series.
+    horizon = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * share)
+    newest = Window.orderBy(F.desc("date"))
     return df.withColumn("split", F.when(F.row_number().over(newest) <= horizon, "test").otherwise("train"))
 
 

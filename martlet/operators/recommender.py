@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
-from martlet.operators.aggregates import gini
+from martlet.operators.aggregates import popularity_stats
 from martlet.session import ensure_checkpoint_dir, shuffle_width
 from martlet.sources.readers import literal_table
 
@@ -212,17 +212,11 @@ def ranking_metrics(actual: DataFrame, predicted: DataFrame, ks: Iterable[int] =
 def diversity(recs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Coverage of the catalog, Gini of item popularity and totals of a recommendation set, as one row."""
     popularity = recs.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-    products = catalog.agg(F.countDistinct("product_id")).scalar()
-    totals = recs.agg(
-        F.countDistinct("customer_id").alias("users_with_recommendations"),
-        F.count(F.lit(1)).alias("total_user_recommendations"),
-        F.countDistinct("product_id").alias("_recommended"),
-    )
-    return totals.select(
-        "users_with_recommendations",
-        "total_user_recommendations",
-        percent_of("_recommended", products).alias("catalog_coverage_percent"),
-        gini(popularity, "_n").scalar().alias("recommendation_gini"),
+    return popularity_stats(popularity, "_n").select(
+        recs.agg(F.countDistinct("customer_id")).scalar().alias("users_with_recommendations"),
+        F.col("total").cast("long").alias("total_user_recommendations"),
+        percent_of("groups", catalog.agg(F.countDistinct("product_id")).scalar()).alias("catalog_coverage_percent"),
+        F.col("gini").alias("recommendation_gini"),
     )
 
 

@@ -28,9 +28,12 @@ def pareto_cut(df: DataFrame, by: str, percent: float = 80.0) -> DataFrame:
     folds = counted.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
     larger = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
     placed = folds.withColumn("p", F.coalesce(F.sum(F.col("m") * F.col("v")).over(larger), F.lit(0)))
-    limit = df.agg(F.count(F.lit(1))).scalar() * (percent / 100.0)
+    everything = Window.partitionBy()  # again one row per distinct count
+    limit = F.sum(F.col("m") * F.col("v")).over(everything) * (percent / 100.0)
     fitting = F.greatest(F.lit(0), F.least(F.col("m"), F.floor((limit - F.col("p")) / F.col("v"))))
-    return placed.agg(F.sum(fitting).alias("groups_within"), F.sum("m").alias("groups")).withColumn(
+    return placed.withColumn("_fit", fitting).agg(
+        F.sum("_fit").alias("groups_within"), F.sum("m").alias("groups")
+    ).withColumn(
         "percent_of_groups", percent_of("groups_within", "groups")
     )
 
