@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_col(value: Column | str) -> Column:
@@ -18,6 +20,11 @@ def blank_as_null(value: Column | str) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def midnight(day: dt.date, kind: str | T.DataType = "timestamp_ntz") -> Column:
+    """Start of a day as a literal of a timestamp type, whatever the time zones of session and driver."""
+    return F.lit(f"{day.isoformat()} 00:00:00").cast(kind)
+
+
 def date_key(value: Column | str) -> Column:
     """Integer ``yyyymmdd`` key of a date or timestamp."""
     c = as_col(value)

@@ -95,20 +95,17 @@ def time_split(df: DataFrame, ts: str, test_ratio: float, *ties: Column | str) -
     counted = known.groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
     running = global_running_sum(counted, "_n", "_ts", name="_upto")
     cutoff = F.floor(running.agg(F.sum("_n")).scalar() * (1.0 - test_ratio))
-    at_cut = (
-        running.filter(F.col("_upto") > cutoff).orderBy("_ts").limit(1)
-        .select("_ts", (cutoff - F.col("_upto") + F.col("_n")).alias("_fit"))
-        .first()
-    )
-    if at_cut is None:  # no test rows wanted
+    at_cut = running.filter(F.col("_upto") > cutoff).orderBy("_ts").limit(1)
+    cut = at_cut.select((cutoff - F.col("_upto") + F.col("_n")).cast("long").alias("fit")).first()
+    if cut is None:  # no test rows wanted
         return known.withColumn("split", F.lit("train"))
-    time = F.lit(at_cut["_ts"]).cast(df.schema[ts].dataType)
+    time = at_cut.select("_ts").scalar()  # stays in Spark: a literal would depend on time zones
     apart = known.filter(F.col(ts) != time).withColumn("split", F.when(F.col(ts) < time, "train").otherwise("test"))
     level = known.filter(F.col(ts) == time)
-    if not at_cut["_fit"]:
+    if not cut.fit:
         return apart.unionByName(level.withColumn("split", F.lit("test")))
     numbered = global_row_number(level, *(ties or [F.xxhash64(*df.columns)]), name="_rn")
-    side = F.when(F.col("_rn") <= at_cut["_fit"], "train").otherwise("test")
+    side = F.when(F.col("_rn") <= cut.fit, "train").otherwise("test")
     return apart.unionByName(numbered.withColumn("split", side).drop("_rn"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlet.functions.columns import as_col
+from martlet.functions.columns import as_col, midnight
 
 
 def project(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
@@ -56,9 +56,7 @@ def where_between(df: DataFrame, column: str, low: dt.date, high: dt.date) -> Da
     if isinstance(df.schema[column].dataType, T.DateType):
         return df.filter(c.between(F.lit(low), F.lit(high)))
     kind = df.schema[column].dataType
-    start = F.lit(dt.datetime.combine(low, dt.time())).cast(kind)
-    end = F.lit(dt.datetime.combine(high + dt.timedelta(days=1), dt.time())).cast(kind)
-    return df.filter((c >= start) & (c < end))
+    return df.filter((c >= midnight(low, kind)) & (c < midnight(high + dt.timedelta(days=1), kind)))
 
 
 def exclude_month(df: DataFrame, column: str, year: int, month: int, min_year: int | None = None) -> DataFrame:

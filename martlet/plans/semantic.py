@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from martlet.functions.columns import midnight
 from martlet.operators import measures as M
 from martlet.operators import time_intelligence as TI
 from martlet.plans.registry import query, with_
@@ -27,9 +28,7 @@ def off_ties(column: str, places: int = 6):
 def daily_sales_measure(t: Tables):
     """Total sales of delivered orders per day of a period: the extract that feeds the forecast."""
     day = F.col("order_approved_at")
-    period = (day >= F.lit(dt.datetime(1997, 1, 1)).cast("timestamp_ntz")) & (
-        day < F.lit(dt.datetime(1998, 8, 31)).cast("timestamp_ntz")
-    )
+    period = (day >= midnight(dt.date(1997, 1, 1))) & (day < midnight(dt.date(1998, 8, 31)))
     out = M.evaluate(
         t.model(), ["total_sales"], ["date"], {"order_status": [DELIVERED], "order_approved_at": period}
     )

@@ -28,6 +28,15 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def abroad(spark):
+    """A session time zone with daylight saving that differs from the driver's."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 @pytest.fixture
 def frame(spark):
     """Build a small frame from rows and a DDL schema."""

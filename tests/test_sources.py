@@ -99,6 +99,11 @@ def test_millisecond_timestamps(frame):
     assert readers.cast_timestamps(df).first().t == dt.datetime(2024, 1, 1, 1, 2, 3, 456000)
 
 
+def test_milliseconds_in_the_hour_that_daylight_saving_skips(abroad, frame):
+    df = frame([(dt.datetime(2024, 3, 10, 2, 30, 0, 1234), 1)], "t timestamp_ntz, n int")
+    assert readers.cast_timestamps(df).first().t == dt.datetime(2024, 3, 10, 2, 30, 0, 1000)
+
+
 def test_literal_table_keeps_types_and_nulls(spark):
     df = readers.literal_table(spark, [(1, None), (2, "x")], "a int, b string")
     assert df.dtypes == [("a", "int"), ("b", "string")]
