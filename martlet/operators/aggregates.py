@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
-from martlet.operators.ordering import global_running_sum
+from martlet.operators.ordering import global_running_sum, null_safe_join
 
 
 def key_stats(df: DataFrame, keys: dict[str, str], per: str) -> DataFrame:
@@ -86,7 +86,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], by:
         ends = running.groupBy(*by).agg(
             F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start")
         )
-        placed = running.join(ends, by)
+        placed = null_safe_join(running, ends, by)
     else:
         size = running.agg(F.sum("_n")).scalar()
         placed = running.withColumns({"_size": size, "_start": F.lit(0)})
@@ -117,7 +117,7 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
     inside = (F.col("_v") >= F.col("q1") - 1.5 * spread) & (F.col("_v") <= F.col("q3") + 1.5 * spread)
     return (
-        values.join(quartiles, by)
+        null_safe_join(values, quartiles, [by])
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
@@ -194,7 +194,7 @@ def list_per(df: DataFrame, by: str, column: str, name: str = "values", max_len:
     pairs = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("_n"))
     sizes = pairs.groupBy(by).agg(F.sum("_n").alias("_size"))
     large = sizes.filter(F.col("_size") > max_len).select(by, F.ceil(F.col("_size") / max_len).alias("_parts"))
-    split = pairs.join(large, by, "left").withColumn(
+    split = null_safe_join(pairs, large, [by], "left").withColumn(
         "part", F.pmod(F.xxhash64(column), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
     )
     repeated = F.flatten(

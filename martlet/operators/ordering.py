@@ -7,6 +7,10 @@ the cluster and not on the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +22,13 @@ _PART, _POS, _BASE = "_part", "_pos", "_base"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other, as groups do."""
+    tagged = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = reduce(and_, [left[k].eqNullSafe(tagged[f"_r_{k}"]) for k in keys])
+    return left.join(tagged, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _lay_out(df: DataFrame, keys: list[Column]) -> DataFrame:
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     marked = ordered.withColumn(_POS, F.monotonically_increasing_id())
@@ -40,6 +51,18 @@ def global_row_number(df: DataFrame, *keys: Column | str, name: str = "row_numbe
     return numbered.withColumn(name, F.col(_BASE) + position + 1).drop(_PART, _POS, _BASE)
 
 
+def rank_within(df: DataFrame, keys: Sequence[str], *order: Column | str, name: str = "rank") -> DataFrame:
+    """Row number within each group, for groups of any size.
+
+    All rows are numbered in one order and every group starts where its first row is, so a group may span
+    tasks. For groups known to be small, or when only the first few rows count, a plain window is cheaper.
+    """
+    numbered = global_row_number(df, *keys, *order, name="_overall")
+    starts = numbered.groupBy(*keys).agg(F.min("_overall").alias("_first"))
+    placed = null_safe_join(numbered, starts, keys)
+    return placed.withColumn(name, F.col("_overall") - F.col("_first") + 1).drop("_overall", "_first")
+
+
 def global_running_sum(df: DataFrame, value: str, *keys: Column | str, name: str = "running_sum") -> DataFrame:
     """Running sum of ``value`` over all rows in the order of ``keys``."""
     rows = _lay_out(df, [as_col(k) for k in keys])

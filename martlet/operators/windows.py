@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
-from martlet.operators.ordering import global_running_sum
+from martlet.operators.ordering import global_running_sum, rank_within
 
 
 def pareto(df: DataFrame, by: str) -> DataFrame:
@@ -81,6 +81,5 @@ def fill(df: DataFrame, keys: list[str], order: str, column: str, direction: str
 
 
 def rank_recs(recs: DataFrame, user: str = "userId", item: str = "itemId", score: str = "score") -> DataFrame:
-    """Position of each recommendation within its user's list, best first."""
-    w = Window.partitionBy(user).orderBy(F.desc(score), F.col(item))
-    return recs.withColumn("rank", F.row_number().over(w))
+    """Position of each recommendation within its user's list, best first; lists may have any length."""
+    return rank_within(recs, [user], F.desc(score), F.col(item))

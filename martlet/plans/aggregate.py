@@ -483,7 +483,7 @@ def filled_daily_means(t: Tables):
 
 @query(
     "W10",
-    """SELECT user_id, event_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank
+    """SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank
        FROM events WHERE event_type = 'view'""",
 )
 def ranked_views_per_user(t: Tables):

@@ -90,11 +90,23 @@ def test_global_order_with_a_hot_key(frame):
     assert sums == want
 
 
+def test_rank_within_hot_and_null_groups(frame):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(20), i) for i in range(1500)]
+    out = W.rank_recs(frame(rows, "u string, s int, i int").repartition(5), "u", "i", "s").collect()
+    groups: dict = {}
+    for u, s, i in rows:
+        groups.setdefault(u, []).append((-s, i))
+    want = {i: n for members in groups.values() for n, (_, i) in enumerate(sorted(members), 1)}
+    assert {r.i: r["rank"] for r in out} == want
+
+
 @pytest.mark.parametrize("by", [None, ["g"]])
 def test_exact_quantiles(frame, by):
     rng = random.Random(2)
-    rows = [("hot" if rng.random() < 0.6 else rng.choice("xyz"), float(rng.randrange(100))) for _ in range(2000)]
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["x", "y", None]), float(rng.randrange(100))) for _ in range(2000)]
     out = A.exact_quantiles(frame(rows, "g string, v double"), "v", [0.0, 0.25, 0.5, 0.9, 1.0], by).collect()
+    assert len(out) == (1 if by is None else 4)
     for r in out:
         mine = [v for g, v in rows if by is None or g == r.g]
         want = np.quantile(mine, [0.0, 0.25, 0.5, 0.9, 1.0])
@@ -102,9 +114,10 @@ def test_exact_quantiles(frame, by):
 
 
 def test_list_per_splits_hot_keys_and_keeps_all(frame):
-    rows = [("hot", i % 40) for i in range(400)] + [("cold", 3), ("cold", 1), ("cold", 3)]
+    rows = [("hot", i % 40) for i in range(400)] + [("cold", 3), ("cold", 1), ("cold", 3), (None, 5)]
     out = A.list_per(frame(rows, "k string, v int"), "k", "v", max_len=50).collect()
     assert [r["values"] for r in out if r.k == "cold"] == [[1, 3, 3]]
+    assert [r["values"] for r in out if r.k is None] == [[5]]
     hot = [r for r in out if r.k == "hot"]
     assert len(hot) > 1 and len({r.part for r in hot}) == len(hot)
     assert sorted(v for r in hot for v in r["values"]) == sorted(v for k, v in rows if k == "hot")
