@@ -191,8 +191,10 @@ def list_per(df: DataFrame, by: str, column: str, name: str = "values", max_len:
     A key with more than ``max_len`` values gets several rows, numbered by ``part``; the values are
     spread over the parts by hash, so the parts together hold all of them. Other keys have part 0 only.
     """
-    pairs = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = pairs.groupBy(by).agg(F.sum("_n").alias("_size"))
+    known = df.filter(F.col(column).isNotNull())
+    pairs = known.groupBy(by, column).agg(F.count(F.lit(1)).alias("_n"))
+    # Mostly empty, in which case the adaptive plan drops the join.
+    sizes = known.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
     large = sizes.filter(F.col("_size") > max_len).select(by, F.ceil(F.col("_size") / max_len).alias("_parts"))
     split = null_safe_join(pairs, large, [by], "left").withColumn(
         "part", F.pmod(F.xxhash64(column), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")

@@ -102,10 +102,6 @@ def categories_with_added_rows(t: Tables):
 def dataset_snapshot(t: Tables):
     root = t.scratch("snapshots")
     writers.write_snapshot(t.scan("lineitem"), root, "1")
-    return readers_snapshot(t, root)
-
-
-def readers_snapshot(t: Tables, root: str):
     return writers.read_snapshot(t.spark, root, "1").agg(
         F.count(F.lit(1)).alias("items"), F.round(F.sum("l_extendedprice"), 2).alias("total")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from martlet.operators import enrichment as E
 from martlet.operators import segments as S
-from martlet.operators.projections import where_in
 from martlet.plans.registry import query
 from martlet.plans.tables import Tables
 
@@ -180,10 +179,7 @@ def named_segments(t: Tables):
 
 @query("X14", f"WITH {BRANDS} SELECT DISTINCT p_type, p_brand, 'Segment of ' || s AS segment FROM part JOIN b USING (p_type)")
 def brand_segment_map(t: Tables):
-    named = _named(t)
-    return named.select("p_type", "brands", "segment").transform(
-        lambda df: df.select("p_type", F.explode("brands").alias("p_brand"), "segment")
-    )
+    return _named(t).select("p_type", F.explode("brands").alias("p_brand"), "segment")
 
 
 @query("X14", f"WITH {BRANDS} SELECT p_brand, 'Segment of ' || s AS segment FROM b, (SELECT DISTINCT p_type, p_brand FROM part) p WHERE p.p_type = b.p_type")
