@@ -18,7 +18,7 @@ def database(spark, tmp_path):
 
 
 def test_table_name_of_file():
-    assert readers.table_name_of("/data/olist_order_items_dataset.csv") == "order_items"
+    assert readers.table_name_of("/data/shop_order_items_dataset.csv") == "order_items"
     assert readers.table_name_of("shop_orders_2020.csv") == "orders"
 
 
