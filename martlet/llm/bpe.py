@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import pieces_of, worker_state
+from martlet.llm.common import worker_state
 
 #: Fixed values of byte-level tokenizers: the pattern that splits a text, with Unicode's White_Space spelled out.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -26,8 +27,10 @@ PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 )
 _OTHER_WHITE = re.compile(rf"[{_WHITE}]".replace(" ", "").replace(r"\t-\r", r"\t\x0b-\r"))
-#: Entries that a worker's store of encoded runs holds before it starts anew; it bounds memory, not results.
-STORED_RUNS = 500_000
+#: Words and fragments that a worker keeps encoded before it starts anew; it bounds memory, not results.
+STORED_RUNS = 400_000
+#: Bytes of text that are handled together in a task.
+PART_BYTES = 4_000_000
 #: Fragments up to this many bytes are merged in a list, longer ones with a heap.
 SHORT = 96
 _NEVER = 1 << 30
@@ -178,7 +181,7 @@ class ByteBpe:
             if len(fragment) > SHORT:
                 self.fragments[fragment] = self._merge_long([self.byte_id[b] for b in fragment])
             else:
-                classes.setdefault((len(fragment) + 3) // 4, []).append(fragment)
+                classes.setdefault(((len(fragment) - 1) >> 2).bit_length(), []).append(fragment)
         for same in classes.values():
             for i in range(0, len(same), 20_000):
                 part = same[i : i + 20_000]
@@ -228,46 +231,57 @@ class ByteBpe:
         get = self.fragments.__getitem__
         return [b"".join([get(f) for word in of_run for f in parts[word]]) for of_run in words]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. Strings of added tokens become those tokens."""
-        plans, missing = [], set()
-        for text in texts:
-            sections = [text] if text else []
-            if text and any(token in text for token in self.added):
-                sections = self.split_added(text)
-            plan = []
-            for i, section in enumerate(sections):
-                if i % 2:
-                    plan.append(array("I", [self.added[section]]).tobytes())
-                elif "  " in section or section.endswith(" ") or _OTHER_WHITE.search(section):
-                    plan.append(section)  # unusual blanks: the pattern has to see the section as a whole
-                else:
-                    # One space between words belongs to the word behind it, whatever stands around.
-                    first, *rest = section.split(" ")
-                    plan.extend((first, rest))
-                    missing.update(rest)
-            plans.append(plan)
-        missing.difference_update(self.runs)
-        if len(self.runs) + len(missing) > STORED_RUNS:
+    def _special(self, text: str) -> bool:
+        """Whether blanks or added tokens ask for more than a split at single spaces."""
+        return "  " in text or text.endswith(" ") or bool(_OTHER_WHITE.search(text)) or any(t in text for t in self.added)
+
+    def _sections(self, text: str) -> bytes:
+        sections = self.split_added(text) if self.added else [text]
+        plain = iter(self._encode_runs(sections[::2]))
+        return b"".join(array("I", [self.added[s]]).tobytes() if i % 2 else next(plain) for i, s in enumerate(sections))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text begins (one more entry than texts).
+
+        One space between words belongs to the word behind it, whatever stands around, so texts are split at spaces and
+        each distinct word is encoded once. The first word of a text, and a text with unusual blanks or added tokens
+        as a whole, get an entry of their own.
+        """
+        strings = texts.fill_null("").to_pylist()
+        special = [self._special(t) for t in strings]
+        lists = pc.split_pattern(pa.array(["" if s else t for s, t in zip(special, strings)], pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        codes, known = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        new = [w for w in known if w not in self.runs]
+        if len(self.runs) + len(new) > STORED_RUNS:
             self.runs.clear()
-            missing = {w for plan in plans for part in plan if isinstance(part, list) for w in part}
-        new = list(missing)
+            new = known
         self.runs.update(zip(new, self._encode_runs([" " + w for w in new])))
-        whole = iter(self._encode_runs([part for plan in plans for part in plan if isinstance(part, str)]))
-        get = self.runs.__getitem__
-        return [
-            b"".join(part if isinstance(part, bytes) else next(whole) if isinstance(part, str) else b"".join(map(get, part)) for part in plan)
-            for plan in plans
-        ]
+        heads = iter(self._encode_runs([t.partition(" ")[0] for s, t in zip(special, strings) if not s]))
+        entries = [self.runs[w] for w in known]
+        entries += [self._sections(t) if s else next(heads) for s, t in zip(special, strings)]
+        begins = lists.offsets.to_numpy()
+        codes[begins[:-1]] = len(known) + np.arange(len(strings))
+        return _gather(entries, 4, np.uint32, codes, begins)
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_batch([text])[0]
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
-    def decode(self, ids: bytes) -> str:
-        """Text of packed ids; bytes that are no UTF-8 become replacement characters."""
-        numbers = array("I")
-        numbers.frombytes(ids)
-        return b"".join(map(self.piece.__getitem__, numbers)).decode("utf-8", "replace")
+    def decode_batch(self, ids: np.ndarray, begins: np.ndarray) -> list[str]:
+        """Texts of ids as :meth:`encode_batch` gives them; bytes that are no UTF-8 become replacement characters."""
+        data, places = _gather(self.piece, 1, np.uint8, ids, begins)
+        data, places = data.tobytes(), places.tolist()
+        return [data[i:j].decode("utf-8", "replace") for i, j in zip(places, places[1:])]
+
+
+def _gather(entries: list[bytes], width: int, dtype, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put together the entries that ``codes`` name; ``begins`` (places in codes) become places in the result."""
+    flat = np.frombuffer(b"".join(entries), dtype)
+    length = np.fromiter(map(len, entries), np.int64, len(entries)) // width
+    start = np.cumsum(length) - length
+    own = length[codes]
+    upto = np.concatenate([[0], np.cumsum(own)])
+    return flat[np.repeat(start[codes] - upto[:-1], own) + np.arange(upto[-1])], upto[begins]
 
 
 def _loaded(spec: str) -> ByteBpe:
@@ -284,31 +298,62 @@ def _spec_of(path: str) -> str:
         return file.read()
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", n: str = "n_tokens") -> DataFrame:
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """Parts of an array of about PART_BYTES bytes."""
+    size = pc.cumulative_sum(pc.binary_length(batch).cast("int64").fill_null(0)).to_numpy(zero_copy_only=False)
+    cuts = [0, *(1 + np.flatnonzero(np.diff(size // PART_BYTES))).tolist(), len(batch)]
+    return (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+def _packed(ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(begins) - 1, [None, pa.py_buffer((4 * begins).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+    )
+
+
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit token ids) and ``n`` (their number) to every row.
 
-    ``tokenizer`` is the path of a vocabulary file; it is read on the driver and sent once to each executor (its size is
-    that of the file, some MB). Null and empty texts have no ids. Columns of those names are replaced; repeated rows and
+    With ``decoded``, a column of that name gets the ids decoded again, in the same pass. ``tokenizer`` is the path of a
+    vocabulary file; it is read on the driver and sent once to each executor (its size is that of the file, some MB).
+    Null and empty texts have no ids and decode to an empty text. Columns of those names are replaced; repeated rows and
     other columns stay as they are; an empty table gives an empty table.
     """
     spec = df.sparkSession.sparkContext.broadcast(_spec_of(tokenizer))
+    again = decoded is not None
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _loaded(spec.value)
         for batch in texts:
-            yield pa.array([ids for part in pieces_of(batch) for ids in coder.encode_batch(part)], pa.binary())
-
-    packed = F.arrow_udf(run, "binary")(F.col(text))
-    return df.withColumn(ids, packed).withColumn(n, (F.octet_length(ids) / 4).cast("long"))
+            parts = []
+            for part in _slices(batch):
+                numbers, begins = coder.encode_batch(part)
+                columns = [_packed(numbers, begins)]
+                if again:
+                    columns.append(pa.array(coder.decode_batch(numbers, begins), pa.string()))
+                parts.append(pa.StructArray.from_arrays(columns, ["ids", "decoded"][: len(columns)]))
+            yield pa.concat_arrays(parts)
+
+    coded = F.arrow_udf(run, "ids binary" + ", decoded string" * again)(F.col(text))
+    kept = [c for c in df.columns if c not in (ids, n, decoded)]
+    out = df.select(*kept, coded.alias("_coded")).withColumn(ids, F.col("_coded.ids"))
+    if again:
+        out = out.withColumn(decoded, F.col("_coded.decoded"))
+    return out.withColumn(n, (F.octet_length(ids) / 4).cast("long")).drop("_coded")
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text``, what the ids stand for. Null ids give a null text; otherwise as :func:`encode`."""
+    """Add ``text``, what the packed ids stand for; null ids give a null text. Otherwise as :func:`encode`."""
     spec = df.sparkSession.sparkContext.broadcast(_spec_of(tokenizer))
 
     def run(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _loaded(spec.value)
         for batch in packed:
-            yield pa.array([None if b is None else coder.decode(b) for b in batch.to_pylist()], pa.string())
+            texts = []
+            for part in _slices(batch):
+                sizes = pc.binary_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+                numbers = np.frombuffer(b"".join(part.fill_null(b"").to_pylist()), "<u4")
+                texts += coder.decode_batch(numbers, np.concatenate([[0], np.cumsum(sizes // 4)]))
+            yield pc.if_else(batch.is_valid(), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
 
     return df.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))

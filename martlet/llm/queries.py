@@ -19,7 +19,7 @@ def default_tokenizer() -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: doc_id, n_tokens and digests of the ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, default_tokenizer()), default_tokenizer())
+    coded = bpe.encode(docs, default_tokenizer(), decoded="decoded")
     return coded.select(
         "doc_id",
         "n_tokens",
