@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import bpe
-from martlet.llm.common import table
+from martlet.llm import bpe, byte_cnn, ftrl, isolation_forest
+from martlet.llm.common import held_out, table
 
 
 def default_tokenizer() -> str:
@@ -16,6 +16,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, whether the base limits reject it, and the verdict."""
+    judged = isolation_forest.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = [F.col(f"counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "anomaly")
+
+
+def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the classifier on hashed word n-grams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ftrl.score_documents(docs, ftrl.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: doc_id, n_tokens and digests of the ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,5 +42,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe,)}
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the convolutional network over its bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = byte_cnn.identify(docs.select("doc_id", "text"), byte_cnn.fit(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op5_bpe, op6_byte_cnn)}
 SQL: dict[str, str] = {}
