@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import bpe, byte_cnn, ftrl, isolation_forest
+from martlet.llm import bpe, byte_cnn, ftrl, isolation_forest, jaccard_join
 from martlet.llm.common import held_out, table
 
 
@@ -30,6 +30,11 @@ def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similar shingle sets."""
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: doc_id, n_tokens and digests of the ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,5 +54,5 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op5_bpe, op6_byte_cnn)}
+QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn)}
 SQL: dict[str, str] = {}
