@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +28,18 @@ def worker_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
-def pieces_of(texts, most_chars: int = 8_000_000) -> Iterator[list[str | None]]:
-    """The strings of an Arrow array in lists of about ``most_chars`` characters, so that one list stays small."""
-    batch, size = [], 0
-    for text in texts:
-        text = text.as_py()
-        batch.append(text)
-        size += len(text or "")
-        if size >= most_chars:
-            yield batch
-            batch, size = [], 0
-    if batch:
-        yield batch
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of a few MB for jobs that run inside, so that long texts do not add up in a worker."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def bounded_sample(ids: DataFrame, key: Column, rows: int) -> int | None:

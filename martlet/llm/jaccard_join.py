@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martlet.llm.common import small_batches
 from martlet.llm.components import components
 from martlet.llm.shingles import parts, shingle_sets
 from martlet.session import stable
@@ -28,7 +29,7 @@ from martlet.session import stable
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
-DEALT, BUCKET = 2_000_000, 1_500_000
+DEALT, BUCKET = 1_000_000, 1_000_000
 _LOCAL_BITS = 20
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
@@ -278,13 +279,15 @@ def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
     ``docs`` has to give the same rows in the same partitions when it is read again, as tables of files do. Sets are
     told apart by 64-bit hashes, shingles inside a comparison by 40 bits and their bucket.
     """
-    sets = stable(set_table(docs, k))
+    with small_batches(docs.sparkSession):
+        sets = stable(set_table(docs, k))
     total = sets.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     buckets = 1 + (total["n"] or 0) // BUCKET
     filled = sets.filter("n > 0")
     classes = stable(filled.groupBy("print").agg(F.min("sid").alias("sid"), F.min("n").alias("n"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows")))
     shared = _shared_rows(_bucket_rows(docs, buckets, k), buckets, buckets)
-    candidates = stable(_candidates(shared, classes, buckets))
+    with small_batches(docs.sparkSession):
+        candidates = stable(_candidates(shared, classes, buckets))
     _, labels = links_of(candidates)
     grouped = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = grouped.groupBy("label").agg(F.min("first_doc").alias("component"), F.sum("rows").alias("_rows"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are handled together in a task.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Tables over bytes: all blanks become spaces, and A-Z lower case.
 _BLANK = np.arange(256, dtype=np.uint8)
