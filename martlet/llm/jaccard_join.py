@@ -42,9 +42,9 @@ def _dealt(batches: Iterator[pa.Array], k: int) -> Iterator[list[tuple[int, np.n
             for own in shingle_sets(part, k):
                 held.append((row, own))
                 row, size = row + 1, size + len(own)
-            if size >= DEALT or len(held) >= 60_000:
-                yield held
-                held, size = [], 0
+                if size >= DEALT or len(held) >= 60_000:  # by rows alone, however they come in batches
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
