@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets
+from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, sparse_suffix
 from martlet.llm.common import held_out, table
 
 
@@ -72,5 +72,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate)}
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that several documents have."""
+    return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix)}
 SQL: dict[str, str] = {}

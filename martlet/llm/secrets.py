@@ -33,7 +33,7 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Level at which the three tests together reject randomness, and the share of false finds per length class.
-RANDOM_LEVEL, FALSE_FINDS = 0.005, 0.01
+RANDOM_LEVEL, FALSE_FINDS = 0.005, 0.05
 #: Bins of -ln p over which the rule is applied, and what is assumed of ordinary text as so many observations.
 _BINS, _PRIOR, _PRIOR_MEAN, _PRIOR_DEVIATION = 400, 20, 4.0, 2.0
 
