@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, sparse_suffix
+from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, sparse_suffix, surrogates
 from martlet.llm.common import held_out, table
 
 
@@ -16,6 +16,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Key of the surrogates that the query draws; a user's own key stays secret.
+SURROGATE_KEY = "martlet"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY)
+
+
 def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document, whether the base limits reject it, and the verdict."""
     judged = isolation_forest.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -77,5 +87,5 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix)}
 SQL: dict[str, str] = {}
