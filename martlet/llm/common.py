@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def default_tokenizer() -> str:
+    """Path of the byte-level vocabulary that queries and pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

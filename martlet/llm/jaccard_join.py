@@ -295,3 +295,15 @@ def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
     out = sets.join(found, "print", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_first_of_each(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with their columns as they were.
+
+    Rows that share a doc_id are one document and give one row. Rows without a doc_id cannot be told apart by it: they stay,
+    equal texts once.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    first = join_documents(docs, k).filter("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))

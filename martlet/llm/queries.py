@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, sparse_suffix, surrogates
-from martlet.llm.common import held_out, table
-
-
-def default_tokenizer() -> str:
-    """Path of the byte-level vocabulary that the queries use."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from martlet.llm.common import default_tokenizer, held_out, table
 
 
 #: Key of the surrogates that the query draws; a user's own key stays secret.
@@ -88,4 +82,5 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix)}
-SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
