@@ -11,14 +11,21 @@ from martlet.session import stable
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``links``; the label is the smallest node of its component.
 
-    Every node hooks to its smallest neighbour, links are then drawn between the hooks, until no link is left. All
-    counts are sums with map-side combine, so a node with any number of links is spread over the tasks.
+    Every node hooks to its smallest neighbour, chains of hooks are shortened by doubling, and links are then drawn between
+    the ends, until no link is left. Minima combine inside tasks first, so a node may have any number of links.
     """
     edges = stable(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct())
     mapping = None
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select(F.col("v"), F.col("u")))
         hooks = stable(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")))
+        while True:  # hooks lead to smaller nodes, so chains end; each round halves their length
+            ends = hooks.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+            jumped = hooks.join(ends, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), (F.col("_l") < F.col("label")).alias("_moved"))
+            jumped = stable(jumped)
+            hooks = jumped.select("node", "label")
+            if jumped.filter("_moved").isEmpty():
+                break
         if mapping is None:
             mapping = hooks
         else:
