@@ -5,10 +5,10 @@ shingle is. Only shared shingles go on: a set's shared shingles in order of rari
 prefix holds none cannot have a partner. An index list is one shingle's sets, in blocks by set size; blocks out of reach
 by size are skipped, and entries whose position leaves too few shingles behind are skipped too.
 
-A set is first compared with one representative of its list. Sets that are linked with it are settled together: what is
-not yet known to belong together is compared with representatives only, and for the members behind a representative an
-upper bound follows from its computed answer (overlap of x and y <= overlap of v and y + shingles of x outside v).
-Members are compared one by one only where that bound leaves the link possible.
+A set is first compared with one representative of each of its lists. Sets that are linked with it are settled together. For
+the members behind a representative v an upper bound follows from its computed answers (overlap of x and y <= overlap of v
+and y + shingles of x outside v); members of different groups are compared one by one only where blocks, positions and that
+bound leave the link possible.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from martlet.session import stable
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
-DEALT, BUCKET = 1_000_000, 1_000_000
+DEALT, BUCKET = 500_000, 1_000_000
 _LOCAL_BITS = 20
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
@@ -236,27 +236,17 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = star.filter(_linked()).select("a", "b", "overlap")
     labels = components(links)
 
-    # 2. Lists whose sets are not known to belong together: each set against the representatives of the others.
-    def labelled(known: DataFrame) -> DataFrame:
-        own = known.withColumnsRenamed({"node": "sid"})
-        marked = entries.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = marked.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("shingle")
-        return stable(marked.join(mixed, "shingle", "left_semi"))
-
-    open_ = labelled(labels)
-    groups = open_.select("shingle", F.col("label").alias("v")).distinct()
-    asked = open_.join(groups, "shingle").filter("v <> label").select(F.least("v", "sid").alias("a"), F.greatest("v", "sid").alias("b")).distinct()
-    answers = stable(_overlaps(asked, bodies))
-    links = links.union(answers.filter(_linked()).select("a", "b", "overlap"))
-    labels = components(links)
-
-    # 3. What is left: members behind different representatives, by blocks of the lists, where no bound forbids a link.
-    open_ = labelled(labels)
-    known = star.union(answers)
+    # 2. Lists whose sets are not known to belong together: members behind different representatives, by blocks of the
+    # lists, where neither sizes and positions nor the bound from a representative's answer forbid a link.
+    own = labels.withColumnsRenamed({"node": "sid"})
+    marked = entries.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = marked.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("shingle")
+    open_ = stable(marked.join(mixed, "shingle", "left_semi"))
     x = open_.select("shingle", "block", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
-    y = open_.select("shingle", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
-    rest = x.join(y, ["shingle", "block"]).filter("lx < ly").filter(_in_reach("x", "y")).select("x", "y", "nx", "ny", "lx", "ly").distinct()
-    both = known.select("a", "b", "overlap").union(known.select(F.col("b"), F.col("a"), F.col("overlap"))).distinct()
+    y = open_.select(F.col("shingle").alias("_shingle"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("_block"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
+    meet = (F.col("shingle") == F.col("_shingle")) & (F.col("block") == F.col("_block")) & (F.col("lx") < F.col("ly")) & _in_reach("x", "y")
+    rest = x.join(y, meet).select("x", "y", "nx", "ny", "lx", "ly").distinct()
+    both = star.select("a", "b", "overlap").union(star.select(F.col("b"), F.col("a"), F.col("overlap"))).distinct()
     to_own = both.select(F.col("a").alias("lx"), F.col("b").alias("x"), F.col("overlap").alias("own"))
     to_other = both.select(F.col("a").alias("lx"), F.col("b").alias("y"), F.col("overlap").alias("other"))
     bound = F.coalesce(F.col("other") + F.col("nx") - F.when(F.col("x") == F.col("lx"), F.col("nx")).otherwise(F.col("own")), F.least("nx", "ny"))
