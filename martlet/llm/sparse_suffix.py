@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import small_batches
+from martlet.llm.common import small_batches, written
 from martlet.llm.shingles import mixed, parts, window_hashes, word_hashes
-from martlet.session import stable
 
 #: Least words of a passage, and words that choose a suffix.
 LENGTH, GRAM = 50, 10
@@ -118,15 +117,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with small_batches(docs.sparkSession):
-        suffixes = stable(_suffix_rows(docs))
+        suffixes = written(_suffix_rows(docs), "suffixes")
         whole = suffixes.join(_in_two(suffixes, "key", "span"), ["key", "span"], "left_semi")
         # Suffixes that begin alike in several documents while some stretch of theirs has no partner.
         stretches = suffixes.groupBy("key", "span").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
         keys = stretches.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max((F.col("a") == F.col("b")).cast("int")).alias("single"))
         open_keys = keys.filter("a < b and single = 1").select("key")
-        of_doc = suffixes.join(open_keys, "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("place", "windows")).alias("open"))
+        # Of a stretch that documents share, its first and last document stand for all.
+        edge = suffixes.join(open_keys, "key", "left_semi").join(stretches, ["key", "span"]).filter("doc = a or doc = b")
+        of_doc = edge.groupBy("doc").agg(F.collect_list(F.struct("place", "windows")).alias("open"))
         asked = docs.join(of_doc.withColumnRenamed("doc", "doc_id"), "doc_id")
-        windows = stable(_window_rows(asked.select("doc_id", "text", "open")))
+        windows = written(_window_rows(asked.select("doc_id", "text", "open")), "windows")
     edges = windows.join(_in_two(windows, "window"), "window", "left_semi")
     found = whole.select("doc", F.col("place").alias("start"), (F.col("place") + F.col("windows") - 1 + LENGTH).alias("end")).union(
         edges.select("doc", F.col("place"), F.col("place") + LENGTH)
