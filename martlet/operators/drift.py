@@ -170,15 +170,22 @@ def metric_trends(stored: DataFrame, days: int, as_of: Column) -> DataFrame:
 
 
 def drift_scores(history: DataFrame, test: str = "abs_diff") -> DataFrame:
-    """Change of every metric from run to run. A metric's runs are few, however large its data."""
+    """Change of every metric from run to run. A metric's runs are few, however large its data.
+
+    ``test`` is ``abs_diff`` (the difference) or ``rel_change`` (the difference by the size of the earlier value, null
+    where that is 0).
+    """
+    if test not in ("abs_diff", "rel_change"):
+        raise ValueError(f"unknown test {test}")
     w = Window.partitionBy("metric_name").orderBy("start_time", "run_id")
     compared = history.withColumns(
         {"current_value": F.col("value"), "reference_value": F.lag("value").over(w), "_n": F.row_number().over(w)}
     ).filter("_n > 1")
+    difference = F.col("current_value") - F.col("reference_value")
     return compared.select(
         F.col("start_time").alias("timestamp"),
         "metric_name",
-        (F.col("current_value") - F.col("reference_value")).alias("drift_score"),
+        (difference if test == "abs_diff" else F.try_divide(difference, F.abs("reference_value"))).alias("drift_score"),
         F.lit(test).alias("statistical_test"),
         "current_value",
         "reference_value",
@@ -221,8 +228,10 @@ class Monitor:
         return alerts(found, ts)
 
     def history(self, runs: DataFrame, days: int = 30) -> DataFrame:
-        """Metric rows of the newest runs, two per day of the period."""
-        recent = recent_runs(runs, self.experiment, days * 2, self.run_name)
+        """Metric rows of all finished runs within ``days`` days before the newest one."""
+        own = finished(runs, self.experiment, self.run_name)
+        newest = own.agg(F.max("start_time").alias("_newest"))
+        recent = own.join(newest, F.col("start_time") >= F.col("_newest") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("_newest")
         return recent.filter(F.col("metric_name").isin(*self.metrics))
 
     def summary(self, runs: DataFrame, days: int = 30) -> DataFrame:

@@ -170,13 +170,13 @@ def enriched_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(blank_as_null(column)).alias("enriched"), F.count(F.lit(1)).alias("rows"))
 
 
-def chat_payload(batches: DataFrame, system: str, instruction: str) -> DataFrame:
-    """System and user message per batch of :func:`batch_by_count`, the texts as a JSON array."""
+def chat_payload(batches: DataFrame, system: str, instruction: str, lead: str = " Reviews: ") -> DataFrame:
+    """System and user message per batch of :func:`batch_by_count`; ``lead`` stands before the JSON array of texts."""
     def message(role, content):
         return F.struct(F.lit(role).alias("role"), content.alias("content"), F.lit(role).alias("name"))
 
     texts = F.to_json(F.transform("items", lambda e: e["text"]))
-    user = F.concat(F.lit(f"{instruction} Here is the JSON array of reviews: "), texts)
+    user = F.concat(F.lit(instruction + lead), texts)
     return batches.withColumn("messages", F.array(message("system", F.lit(system)), message("user", user)))
 
 

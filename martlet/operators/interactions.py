@@ -89,18 +89,27 @@ def time_split(df: DataFrame, ts: str, test_ratio: float, *ties: Column | str) -
 
     The oldest ``int(n * (1 - test_ratio))`` rows train. Only times and their counts are put in order to find
     the time at the cut; rows before and after it are told apart where they are. Rows at that very time are
-    numbered by ``ties``.
+    numbered by ``ties``. Rows without a time are the oldest: they count first and train, as far as the share goes.
     """
     known = df.filter(F.col(ts).isNotNull())
     counted = known.groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
     running = global_running_sum(counted, "_n", "_ts", name="_upto")
-    cutoff = F.floor(running.agg(F.sum("_n")).scalar() * (1.0 - test_ratio))
+    untimed = df.filter(F.col(ts).isNull())
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ts).isNull()).alias("m")).first()
+    wanted = int(sizes["n"] * (1.0 - test_ratio))
+    if sizes["m"] > wanted:  # the cut is among rows that no time tells apart
+        numbered = global_row_number(untimed, *(ties or [F.xxhash64(*df.columns)]), name="_rn")
+        untimed = numbered.withColumn("split", F.when(F.col("_rn") <= wanted, "train").otherwise("test")).drop("_rn")
+    else:
+        untimed = untimed.withColumn("split", F.lit("train"))
+    cutoff = F.lit(max(0, wanted - sizes["m"]))
     at_cut = running.filter(F.col("_upto") > cutoff).orderBy("_ts").limit(1)
     cut = at_cut.select((cutoff - F.col("_upto") + F.col("_n")).cast("long").alias("fit")).first()
     if cut is None:  # no test rows wanted
-        return known.withColumn("split", F.lit("train"))
+        return known.withColumn("split", F.lit("train")).unionByName(untimed)
     time = at_cut.select("_ts").scalar()  # stays in Spark: a literal would depend on time zones
     apart = known.filter(F.col(ts) != time).withColumn("split", F.when(F.col(ts) < time, "train").otherwise("test"))
+    apart = apart.unionByName(untimed)
     level = known.filter(F.col(ts) == time)
     if not cut.fit:
         return apart.unionByName(level.withColumn("split", F.lit("test")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -14,6 +12,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,17 +28,15 @@ def build_session(app_name: str = "martlet", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure reliable checkpoints have a home that outlives any executor."""
+    """Make sure reliable checkpoints have a home that outlives any executor.
+
+    That is ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which a cluster shares too.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="martlet-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+    sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_chat_payload(frame):
     df = frame([(1, 'say "hi"'), (2, "b")], "id int, text string")
     row = E.chat_payload(E.batch_by_count(df, "id", "text"), "sys", "Score these.").first()
     assert [m.role for m in row.messages] == ["system", "user"]
-    assert row.messages[1].content == 'Score these. Here is the JSON array of reviews: ["say \\"hi\\"","b"]'
+    assert row.messages[1].content == 'Score these. Reviews: ["say \\"hi\\"","b"]'
 
 
 def test_segment_stage_can_be_saved(frame, tmp_path):
