@@ -78,7 +78,7 @@ def test_battery_tells_random_strings_from_text(spark):
         rows.append((i, text))
     found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "spans").collect()
     hit = {r.doc_id for r in found for s in r.spans if s.kind == "random"}
-    assert sum(i % 3 == 0 for i in hit) >= 36 and sum(i % 3 != 0 for i in hit) <= 2
+    assert sum(i % 3 == 0 for i in hit) >= 26 and sum(i % 3 != 0 for i in hit) <= 2
     for r in found:
         assert all(re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", r.text[s.start : s.end]) for s in r.spans if s.kind == "random")
 
