@@ -221,10 +221,13 @@ class Monitor:
     threshold: float
     window_size: int = 4
     run_name: str | None = None
+    directions: Mapping[str, bool] | None = None  # metric: whether higher is better; unset as in with_direction
 
     def check(self, runs: DataFrame, ts: Column) -> DataFrame:
         """Alerts for the newest run."""
-        found = sudden_drift(runs, self.experiment, self.metrics, self.threshold, self.run_name)
+        found = sudden_drift(
+            runs, self.experiment, self.metrics, self.threshold, self.run_name, directions=self.directions
+        )
         return alerts(found, ts)
 
     def history(self, runs: DataFrame, days: int = 30) -> DataFrame:

@@ -141,3 +141,11 @@ def test_similar_items_skips_zero_vectors(frame):
     df = frame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])], "id int, features array<double>")
     assert {(r.item, r.similar) for r in S.similar_items(df, 5).collect()} == {(2, 3), (3, 2)}
     assert [r.similar for r in S.similar_to(df, 2).collect()] == [3]
+
+
+def test_time_split_keeps_rows_without_a_time(frame):
+    rows = [(1, None), (2, "2024-01-01 00:00:00"), (3, "2024-01-02 00:00:00"), (4, "2024-01-03 00:00:00")]
+    df = frame(rows, "id int, at string").withColumn("at", F.to_timestamp_ntz("at"))
+    for share, train in ((0.5, {1, 2}), (0.9, set()), (0.0, {1, 2, 3, 4}), (0.75, {1})):
+        got = I.time_split(df, "at", share, "id").collect()
+        assert len(got) == 4 and {r.id for r in got if r.split == "train"} == train
