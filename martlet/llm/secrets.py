@@ -3,9 +3,10 @@
 Every run of 20 or more characters of an encoding's alphabet is a candidate. Its encoding is inferred from its characters;
 over that alphabet three tests ask whether the characters are uniform (chi-squared), alternate like independent ones
 (runs about the middle) and do not follow from the one before (serial correlation). A secret passes the three together.
-Short words can do so by chance, so a candidate also has to be unlikely as ordinary text of its length: letter runs
-of the corpus give the ordinary chi-squared of each length class, and the Benjamini-Hochberg rule, applied in each length
-class to all candidates, holds the share of false finds at FALSE_FINDS.
+Ordinary text can do so by chance, so a candidate also has to be unlikely as ordinary text: the pairs of characters in the
+corpus's shorter runs, which are no candidates, give its chance Q as text, and U is its chance as random characters of its
+encoding. Under Q a ratio U / Q of x or more has a chance of 1 / x at most, at any length, so Q / U is taken as p-value, and
+the Benjamini-Hochberg rule, applied in each length class to all candidates, holds the share of false finds at FALSE_FINDS.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.session import stable
-
 #: Fixed patterns of the known kinds, in their order, and what a match has to have.
 KINDS = ("assign", "access", "hex")
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -34,8 +33,11 @@ ALPHABETS = {
 }
 #: Level at which the three tests together reject randomness, and the share of false finds per length class.
 RANDOM_LEVEL, FALSE_FINDS = 0.005, 0.05
-#: Bins of -ln p over which the rule is applied, and what is assumed of ordinary text as so many observations.
-_BINS, _PRIOR, _PRIOR_MEAN, _PRIOR_DEVIATION = 400, 20, 4.0, 2.0
+#: Bins of -ln p over which the rule is applied, and what is added to every count of ordinary pairs.
+_BINS, _ADDED = 400, 0.5
+#: Characters of candidates, and their kinds; a pair's chance is that of the kind, then of the character in it, case ignored.
+_CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+_KIND = {c: ("lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign") for c in _CHARACTERS}
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -132,31 +134,63 @@ def _length_class(n: Column) -> Column:
     return F.floor(2 * F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
 
 
-def _log_p(uniform: Column, mean: Column, deviation: Column) -> Column:
-    """-ln of the chance that ordinary text is as uniform as that."""
-    return -F.log(_normal_tail((mean - uniform) / deviation))
+def ordinary_pairs(docs: DataFrame) -> list[float]:
+    """-ln Q of every pair of _CHARACTERS, row by row: the second character's chance after the first one in ordinary text.
+
+    Counted over all runs too short to be candidates, so no find is among them; a pair is a row, and pairs are a few thousand.
+    """
+    words = docs.select(F.explode(F.split("text", "[^A-Za-z0-9+/_=-]+")).alias("w")).filter(F.length("w").between(2, 19)).groupBy("w").count()
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair")
+    counts = {r["pair"]: r["n"] for r in words.select("count", pair).groupBy("pair").agg(F.sum("count").alias("n")).collect()}
+    kinds: dict[tuple[str, str], float] = {}
+    folded: dict[tuple[str, str], float] = {}
+    for (a, b), n in counts.items():
+        kinds[_KIND[a], _KIND[b]] = kinds.get((_KIND[a], _KIND[b]), 0) + n
+        folded[a.lower(), b.lower()] = folded.get((a.lower(), b.lower()), 0) + n
+    names = sorted(set(_KIND.values()))
+    of_kind = {(x, y): (kinds.get((x, y), 0) + _ADDED) / sum(kinds.get((x, z), 0) + _ADDED for z in names) for x in names for y in names}
+    out = []
+    for a in _CHARACTERS:
+        for b in _CHARACTERS:
+            alike = {c.lower() for c in _CHARACTERS if _KIND[c] == _KIND[b]}
+            total = sum(folded.get((a.lower(), c), 0) + _ADDED for c in alike)
+            out.append(-math.log(of_kind[_KIND[a], _KIND[b]] * (folded.get((a.lower(), b.lower()), 0) + _ADDED) / total))
+    return out
+
+
+def _log_p(run: Column, encoding: Column, pairs: list[float]) -> Column:
+    """-ln of Q / U, 0 at least; the first character counts for neither, and neither does padding."""
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in pairs)), ",").cast("array<double>")
+    size = F.element_at(F.create_map(*[x for k, a in ALPHABETS.items() for x in (F.lit(k), F.lit(math.log(len(a))))]), encoding)
+    places = F.transform(F.filter(F.split(F.rtrim(run, F.lit("=")), ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(_CHARACTERS), c) - 1)
+
+    def ratio(at: Column) -> Column:
+        both = F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("a"), F.slice(at, F.lit(2), F.size(at) - 1).alias("b"))
+        return F.aggregate(both, F.lit(0.0), lambda acc, p: acc + F.get(table, p["a"] * len(_CHARACTERS) + p["b"]) - size)
 
+    return F.when(F.length(F.rtrim(run, F.lit("="))) > 1, F.greatest(F.lit(0.0), _let(places, ratio))).otherwise(0.0)
 
-def length_limits(docs: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """For each length class the mean and deviation of ordinary text and the least -ln p of a find, from all documents.
 
-    Only sums by class, and by class and bin, leave the tasks: a few hundred rows at most for each class.
+def _judged(run: Column, pairs: list[float]) -> Column:
+    """(c: length class, log_p) of a candidate; log_p is 0 where the battery rejects it."""
+
+    def one(t: Column) -> Column:
+        log_p = F.when(t["p"] >= RANDOM_LEVEL, _log_p(run, t["encoding"], pairs)).otherwise(0.0)
+        return F.struct(_length_class(t["n"]).alias("c"), F.coalesce(log_p, F.lit(0.0)).alias("log_p"))
+
+    return _let(battery(run), one)
+
+
+def length_limits(docs: DataFrame, pairs: list[float]) -> dict[int, float]:
+    """For each length class the least -ln p of a find, from all documents.
+
+    Only counts by class and bin leave the tasks: a few hundred rows at most for each class.
     """
     runs = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0))).alias("run"))
-    tested = stable(runs.select(battery(F.col("run")).alias("t")).select("t.encoding", _length_class(F.col("t.n")).alias("c"), "t.uniform"))
-    ordinary = tested.filter("encoding = 'letters'").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("uniform").alias("s"), F.sum(F.col("uniform") * F.col("uniform")).alias("q"))
-    classes = {r["c"]: (0, 0.0, 0.0) for r in tested.select("c").distinct().collect()} | {r["c"]: (r["n"], r["s"], r["q"]) for r in ordinary.collect()}
-    shape = {}
-    for c, (n, s, q) in classes.items():
-        n, s, q = n + _PRIOR, s + _PRIOR * _PRIOR_MEAN, q + _PRIOR * (_PRIOR_MEAN**2 + _PRIOR_DEVIATION**2)
-        shape[c] = s / n, max(math.sqrt(max(q / n - (s / n) ** 2, 0)), 0.25)
-    if not shape:
-        return {}
-    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for c, v in shape.items() for x in (c, v[i])]), F.col("c"))
-    binned = tested.select("c", F.least(F.lit(_BINS - 1), F.floor(_log_p(F.col("uniform"), of(0), of(1)) * 10)).cast("int").alias("bin"))
-    histogram: dict[int, list[int]] = {c: [0] * _BINS for c in shape}
+    binned = runs.select(_judged(F.col("run"), pairs).alias("t")).select("t.c", F.least(F.lit(_BINS - 1), F.floor(F.col("t.log_p") * 10)).cast("int").alias("bin"))
+    histogram: dict[int, list[int]] = {}
     for r in binned.groupBy("c", "bin").count().collect():
-        histogram[r["c"]][r["bin"]] = r["count"]
+        histogram.setdefault(r["c"], [0] * _BINS)[r["bin"]] = r["count"]
     limits = {}
     for c, counts in histogram.items():
         total, above, limit = sum(counts), 0, float("inf")
@@ -164,7 +198,7 @@ def length_limits(docs: DataFrame) -> dict[int, tuple[float, float, float]]:
             above += counts[b]
             if above and math.exp(-b / 10) <= FALSE_FINDS * above / total:
                 limit = b / 10
-        limits[c] = (*shape[c], limit)
+        limits[c] = limit
     return limits
 
 
@@ -174,18 +208,15 @@ def find(docs: DataFrame) -> DataFrame:
     Kinds are those of KINDS and ``random`` for finds of the tests, which never overlap known ones. Null and empty texts
     have no spans; repeated rows have the same; other columns stay, a column ``spans`` is replaced.
     """
-    limits = length_limits(docs)
+    pairs = ordinary_pairs(docs)
+    limits = length_limits(docs, pairs)
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.concat(*base_spans(text))
     if limits:
-        table = [F.create_map(*[F.lit(x) for c, v in limits.items() for x in (c, float(v[i]))]) for i in range(3)]
+        table = F.create_map(*[F.lit(x) for c, v in limits.items() for x in (c, float(v))])
 
         def secret(run: Column) -> Column:
-            def judge(t: Column) -> Column:
-                mean, deviation, limit = (F.element_at(m, _length_class(t["n"])) for m in table)
-                return (t["p"] >= RANDOM_LEVEL) & (_log_p(t["uniform"], mean, deviation) >= limit)
-
-            return F.coalesce(_let(battery(run), judge), F.lit(False))
+            return F.coalesce(_let(_judged(run, pairs), lambda t: t["log_p"] >= F.element_at(table, t["c"])), F.lit(False))
 
         runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
         tested = _spans(text, CANDIDATE, "random", F.transform(runs, secret))

@@ -78,11 +78,26 @@ def test_battery_tells_random_strings_from_text(spark):
         rows.append((i, text))
     found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "spans").collect()
     hit = {r.doc_id for r in found for s in r.spans if s.kind == "random"}
-    assert sum(i % 3 == 0 for i in hit) >= 26 and sum(i % 3 != 0 for i in hit) <= 2
+    assert sum(i % 3 == 0 for i in hit) >= 36 and sum(i % 3 != 0 for i in hit) <= 2
     for r in found:
         assert all(re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", r.text[s.start : s.end]) for s in r.spans if s.kind == "random")
 
 
+def test_rare_secrets_of_middle_length_are_found(spark):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["th", "er", "tion", "ing", "an", "re", "on", "ed", "sh", "ha", "ble", "st", "nd"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 12)))
+    rows = [(i, " ".join(word() for _ in range(60)) + f" {word()}_{word()}_{word()} {word()}/{word().title()}/{word()}.py") for i in range(240)]
+    planted = {}
+    for i in range(0, 240, 12):
+        planted[i] = "".join(rng.choice(alphabet) for _ in range((24, 32, 40, 64)[i // 12 % 4]))
+        rows[i] = (i, rows[i][1] + " x " + planted[i])
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "spans").collect()
+    hits = [(r.doc_id, r.text[s.start : s.end]) for r in found for s in r.spans if s.kind == "random"]
+    assert len(set(hits) & set(planted.items())) >= 18 and len(set(hits) - set(planted.items())) <= 2
+
+
 def replaced(spark, texts, key="k"):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r.text for r in surrogates.replace_entities(df, key).orderBy("doc_id").collect()]
