@@ -92,6 +92,28 @@ def test_lines_match_brute_force(spark, documents):
     assert got == plain_lines(rows)
 
 
+def test_short_lines_match_brute_force(spark, documents):
+    rng, rows = random.Random(4), []
+    lines = [" ".join(prose(s, 40).split()[: s % 9 + 1]) for s in range(40)] + ["", " \t ", "}", "a b a b a b", "b a b a b a"]
+    for i in range(80):
+        rows.append((i, "\n".join(edited(rng.choice(lines), rng.choice([0, 0, 0.1]), i * 100 + j) for j in range(rng.randint(1, 6)))))
+    rows += [(90, " ALL  rights reserved "), (91, "all rights\tReserved\nall rights"), (92, "all rights reserved x")]
+
+    def sets(line):
+        w = [x for x in re.split("[ \t\x0b\f\r]+", line.lower()) if x]
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else None
+
+    seen, want = [], set()
+    for i, text in rows:
+        for p, line in enumerate(text.split("\n")):
+            if own := sets(line):
+                if any(100 * len(own & o) >= 75 * len(own | o) for o in seen):
+                    want.add((i, p))
+                seen.append(own)
+    got = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(documents(rows)).collect()}
+    assert got == want and (91, 0) in got and (92, 0) not in got
+
+
 def test_lines_on_odd_rows(spark, edge, nothing):
     kept = line_dedup.drop_duplicate_lines(edge)
     assert kept.columns == edge.columns
