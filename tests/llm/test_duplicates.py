@@ -130,6 +130,14 @@ def test_a_document_keeps_its_other_lines(spark, documents):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_a_document_goes_only_without_words(spark, documents):
+    licence = [prose(100 + i, 30).replace("\n", " ") for i in range(6)]
+    own = [prose(i, 20).replace("\n", " ") for i in range(3)]
+    texts = ["\n".join([*licence, w]) for w in own] + ["\n".join([*licence, " ", "", "\t"])]
+    rows = line_dedup.drop_duplicate_lines(documents(list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: texts[0], 1: own[1], 2: own[2]}
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(2)
     index = decontaminate.BlockMaxIndex([(i, prose(i, 30) + " " + prose(1000 + i % 7, 9)) for i in range(150)])
