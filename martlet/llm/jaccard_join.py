@@ -30,7 +30,6 @@ from martlet.session import stable
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
 DEALT, BUCKET = 500_000, 1_000_000
-_LOCAL_BITS = 20
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
 
@@ -49,21 +48,14 @@ def _dealt(batches: Iterator[pa.Array], k: int) -> Iterator[list[tuple[int, np.n
         yield held
 
 
-def _print_of(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes())
-
-
-def _numbered(held: list[tuple[int, np.ndarray]]) -> tuple[list[int], list[int]]:
-    """Fingerprint and set id of each entry. An id is made of the content of the list and a number in it, so a task that
-    runs again, or runs in another job, gives the same ids; equal sets of one list share an id. Empty sets have id -1."""
-    prints = [_print_of(own) if len(own) else 0 for _, own in held]
-    base = xxhash.xxh3_64_intdigest(np.array(prints, np.uint64).tobytes()) >> (_LOCAL_BITS + 1) << _LOCAL_BITS
-    number: dict[int, int] = {}
-    return prints, [base | number.setdefault(p, len(number)) if len(own) else -1 for p, (_, own) in zip(prints, held)]
+def _set_ids(held: list[tuple[int, np.ndarray]]) -> list[int]:
+    """Set id of each entry: 63 bits of a hash of its shingles alone, so it is the same however rows are dealt to tasks, and
+    equal sets share it. Empty sets have id -1."""
+    return [xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 if len(own) else -1 for _, own in held]
 
 
 def set_table(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, sid, print, n): set id, fingerprint and size of each row's shingle set."""
+    """(doc_id, sid, n): set id and size of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -74,62 +66,69 @@ def set_table(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 yield batch["text"]
 
         for held in _dealt(texts(), k):
-            prints, sids = _numbered(held)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[: len(held)], pa.int64()),
-                    pa.array(sids, pa.int64()),
-                    pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(_set_ids(held), pa.int64()),
                     pa.array([len(own) for _, own in held], pa.int64()),
                 ],
-                ["doc_id", "sid", "print", "n"],
+                ["doc_id", "sid", "n"],
             )
             del ids[: len(held)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sid long, print long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sid long, n long")
 
 
 def _bucket_rows(docs: DataFrame, buckets: int, k: int) -> DataFrame:
-    """Shingles of all sets in packed arrays: (bucket, base of the set ids, shingles, set numbers)."""
+    """Shingles of all sets in packed arrays by set: (bucket, shingles, set ids, number of shingles of each set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _dealt((batch["text"] for batch in batches), k):
-            _, sids = _numbered(held)
-            own = {sid: row[1] for sid, row in zip(sids, held) if sid >= 0}
+            own = {sid: row[1] for sid, row in zip(_set_ids(held), held) if sid >= 0}
             if not own:
                 continue
-            base = next(iter(own)) >> _LOCAL_BITS << _LOCAL_BITS
             shingles = np.concatenate(list(own.values()))
-            numbers = np.repeat(np.array([s - base for s in own], np.uint16), [len(v) for v in own.values()])
+            sids = np.repeat(np.array(list(own), np.int64), [len(v) for v in own.values()])
             bucket = (shingles % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             kept = (shingles // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PACKED][order]
-            numbers, ends = numbers[order], np.cumsum(np.bincount(bucket, minlength=buckets))
+            sids, ends = sids[order], np.cumsum(np.bincount(bucket, minlength=buckets))
             starts = ends - np.bincount(bucket, minlength=buckets)
             full = np.flatnonzero(ends > starts).tolist()
             for i in range(0, len(full), 256):
                 some = full[i : i + 256]
+                heads, lengths = zip(*(_runs_of(sids[starts[b] : ends[b]]) for b in some))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(some, pa.int64()),
-                        pa.array([base] * len(some), pa.int64()),
                         pa.array([kept[starts[b] : ends[b]].tobytes() for b in some], pa.binary()),
-                        pa.array([numbers[starts[b] : ends[b]].tobytes() for b in some], pa.binary()),
+                        pa.array([x.tobytes() for x in heads], pa.binary()),
+                        pa.array([x.tobytes() for x in lengths], pa.binary()),
                     ],
-                    ["bucket", "base", "shingles", "numbers"],
+                    ["bucket", "shingles", "sids", "lengths"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, base long, shingles binary, numbers binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, shingles binary, sids binary, lengths binary")
+
+
+def _runs_of(sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set ids of adjacent equal entries, and how many each has."""
+    starts = np.flatnonzero(np.concatenate([[True], sids[1:] != sids[:-1]]))
+    return sids[starts], np.diff(np.append(starts, len(sids))).astype(np.uint32)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (without their bucket) and set ids of a bucket's rows."""
+    """Shingles (without their bucket) and set ids of a bucket's rows, each pair once."""
     flat = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint8).reshape(-1, _PACKED)
-    shingles = np.zeros((len(flat), 8), np.uint8)
-    shingles[:, :_PACKED] = flat
-    blobs = table["numbers"].to_pylist()
-    numbers = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-    return shingles.view("<u8").ravel(), numbers + np.repeat(np.array(table["base"].to_pylist(), np.int64), [len(b) // 2 for b in blobs])
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :_PACKED] = flat
+    sids = np.frombuffer(b"".join(table["sids"].to_pylist()), np.int64)
+    sids = np.repeat(sids, np.frombuffer(b"".join(table["lengths"].to_pylist()), np.uint32))
+    shingles = wide.view("<u8").ravel()
+    order = np.lexsort((sids, shingles))
+    shingles, sids = shingles[order], sids[order]
+    new = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (sids[1:] != sids[:-1])])  # copies of a set in several tasks
+    return shingles[new], sids[new]
 
 
 def _shared_rows(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
@@ -138,8 +137,6 @@ def _shared_rows(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         shingles, sids = _unpack(table)
-        order = np.argsort(shingles, kind="stable")
-        shingles, sids = shingles[order], sids[order]
         starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
         counts = np.diff(np.append(starts, len(shingles)))
         count = np.repeat(counts, counts)
@@ -174,7 +171,7 @@ def _candidates(shared: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
             for i, j in zip(starts, [*starts[1:], len(sids)]):
                 n = size.get(int(sids[i]))
                 if n is None:
-                    continue
+                    raise ValueError(f"set {sids[i]} has shingles but is not in the table of sets: texts changed between two reads")
                 alone = n - (j - i)  # shingles of no other set come first in the order
                 prefix = n - -(-PERCENT * n // 100) + 1 - alone
                 if prefix > 0:
@@ -266,15 +263,14 @@ def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
     Documents whose sets are at least PERCENT percent similar (Jaccard) are linked; component_id is the smallest doc_id that
     links reach. Null and empty texts have an empty set and are linked with nothing; a text with fewer words than ``k`` is one
     shingle. Repeated rows are linked with each other. A null doc_id gets the smallest id of its component, null alone.
-    ``docs`` has to give the same rows in the same partitions when it is read again, as tables of files do. Sets are
-    told apart by 64-bit hashes, shingles inside a comparison by 40 bits and their bucket.
+    ``docs`` is read twice and has to give the same texts, in whatever partitions. Sets are told apart by 63-bit hashes, shingles inside a comparison by 40 bits and their bucket.
     """
     with small_batches(docs.sparkSession):
         sets = stable(set_table(docs, k))
     total = sets.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     buckets = 1 + (total["n"] or 0) // BUCKET
     filled = sets.filter("n > 0")
-    classes = stable(filled.groupBy("print").agg(F.min("sid").alias("sid"), F.min("n").alias("n"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows")))
+    classes = stable(filled.groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows")))
     shared = _shared_rows(_bucket_rows(docs, buckets, k), buckets, buckets)
     with small_batches(docs.sparkSession):
         candidates = stable(_candidates(shared, classes, buckets))
@@ -282,8 +278,8 @@ def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
         _, labels = links_of(candidates)
     grouped = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = grouped.groupBy("label").agg(F.min("first_doc").alias("component"), F.sum("rows").alias("_rows"))
-    found = grouped.join(smallest.filter("_rows > 1"), "label").select("print", "component")
-    out = sets.join(found, "print", "left")
+    found = grouped.join(smallest.filter("_rows > 1"), "label").select("sid", "component")
+    out = sets.join(found, "sid", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 

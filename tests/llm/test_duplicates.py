@@ -58,6 +58,14 @@ def test_join_matches_brute_force(spark, documents):
     assert got == plain_components(rows)
 
 
+def test_join_does_not_depend_on_how_rows_are_dealt(spark, documents, monkeypatch):
+    rows = list(enumerate(t for s in range(4) for t in [*family(s, 8, 0.02), prose(s, 120)]))
+    dealt = jaccard_join._bucket_rows  # its job may find other executors, and so other splits, than the job before
+    monkeypatch.setattr(jaccard_join, "_bucket_rows", lambda docs, *rest: dealt(docs.repartition(3, "doc_id"), *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_documents(documents(rows)).collect()}
+    assert got == plain_components(rows)
+
+
 def test_join_on_odd_rows(spark, edge, nothing):
     rows = [tuple(r) for r in jaccard_join.join_documents(edge).collect()]
     assert len(rows) == 10 and sorted(r for r in rows if r[0] == 3) == [(3, 76, 3)] * 2
