@@ -1,6 +1,7 @@
 """Keyed surrogates for personal data, in DataFrame functions only.
 
-Entities are found by pattern. All mentions of one entity (an e-mail address in any case, a number in any grouping, a
+Entities are found by pattern; a person's name behind a title, behind a label (Contact:, Name: ...) or by its first name. Words
+of the names found in a text are then replaced wherever they stand in it. All mentions of one entity (an e-mail address in any case, a number in any grouping, a
 surname with or without the first name) come down to one normal form; each distinct form draws a surrogate from a keyed
 hash. A surrogate has the type, script, letter case and layout of what it replaces: digits for digits, the same separators, a
 valid check digit where there was one, a first name of the same gender. Surrogates that two entities drew, or that are
@@ -34,14 +35,25 @@ FIRST = {
 }
 #: Syllables of surnames, Latin and Cyrillic.
 SYLLABLES = {"l": "bar den fal gor hem kol lin mar nor pel ros sten tal ver wil zan".split(), "c": "бар ден фал гор лем кол лин мар нор пел рос тен тал вер вил зан".split()}
+#: Further first names that are cues for a name without a title.
+KNOWN = {
+    "m": "Alexander Andreas Andrew Anthony Antoine Benjamin Bernd Brian Carlos Charles Christian Christopher Daniel Dennis Dieter Dmitri Edward Eric Florian Frank François George Guillaume Günter Hans Heinrich Henri Jack Jacob Jacques James Javier Jean Jens Johann John José Joseph Juan Jürgen Kevin Klaus Lukas Luis Manuel Marc Markus Matthew Matthias Michael Michel Miguel Nicolas Nikolai Otto Patrick Pedro Peter Philipp Pierre Rainer Richard Sebastian Stefan Stephen Steven Tobias Ulrich Uwe William Wolfgang".split(),
+    "f": "Alice Amélie Amy Angela Anne Barbara Brigitte Camille Carmen Caroline Catherine Charlotte Christine Claire Claudia Elena Elisabeth Elizabeth Emily Emilia Eva Françoise Gabriele Hannah Heike Ingrid Isabelle Jane Jennifer Jessica Johanna Karen Karin Katharina Lena Linda Lisa Lucia Margaret Marie Marta Mary Michelle Monika Natalie Nicole Patricia Petra Rachel Rebecca Renate Sabine Sandra Sarah Silvia Sophie Stefanie Susan Susanne Svetlana Tatiana Ursula Valérie".split(),
+}
+LABELS = "Attn Autor Author Auteur Ansprechpartner Ansprechpartnerin Contact Contacto Kontakt Name Nom Nombre Автор Имя Контакт".split()
+#: Listed first names by gender; a listed name has the same gender with and without a title.
+_LISTED = {g: [*FIRST[g], *FIRST[g + "c"], *KNOWN.get(g, [])] for g in ("m", "f", "x")}
+_CUE = "(?:" + "|".join(n for own in _LISTED.values() for n in own) + ")"
 _TITLE = "(?:" + "|".join(t for own in TITLES.values() for t in own) + ")"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
-    "name": r"(?<!\p{L})" + _TITLE + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "phone": r"(?<![\w+.,/-])0[1-9](?:[ .]\d{2}){4}(?![\w-])|(?<![\w+.,/-])(?:0[1-9]\d{1,3}[ /]\d{5,8}|0[1-9]\d{1,3}[ /]\d{3,4} \d{2,4}|\(0[1-9]\d{1,3}\) ?\d{5,8})(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
+    "name": r"(?<!\p{L})" + _TITLE + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+    + r"|(?<!\p{L})(?=\p{Lu})" + _CUE + r" \p{Lu}\p{L}+"
+    + r"|(?<=(?<!\p{L})(?:" + "|".join(LABELS) + r"): )\p{Lu}\p{L}+ \p{Lu}\p{L}+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: From this draw on, an address may be any one, so that no number of entities exhausts the private ones.
@@ -58,12 +70,39 @@ def kind_of(mention: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         here = mention.rlike(f"^(?:{pattern})$")
         out = F.when(here, kind) if out is None else out.when(here, kind)
-    return out
+    return out.when(mention.rlike(r"^\p{Lu}\p{L}+ \p{Lu}\p{L}+$"), "name")  # found behind a label, which is no part of it
 
 
 def _gender(mention: Column) -> Column:
     title = F.regexp_extract(mention, f"^({_TITLE})", 1)
-    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("x")
+    words = F.split(F.regexp_replace(mention, f"^{_TITLE}\\.? ", ""), " ")
+    first = F.when(F.size(words) > 1, F.initcap(F.element_at(words, 1)))
+    listed = F.when(first.isin(*_LISTED["m"]), "m").when(first.isin(*_LISTED["f"]), "f").when(first.isin(*_LISTED["x"]), "x")
+    return F.coalesce(listed, F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("x"))
+
+
+def _bare(mention: Column) -> Column:
+    """Words of a name without its title."""
+    return F.split(F.regexp_replace(mention, f"^{_TITLE}\\.? ", ""), " ")
+
+
+def _words_of_names(names: DataFrame) -> DataFrame:
+    """(_wid, _words: map from a name's word to its surrogate, _again: pattern of these words) of each document.
+
+    Words count as they stand, in capitals, and with one capital; of two surrogates of a word the smaller is taken."""
+    pair = F.explode(F.arrays_zip(_bare(F.col("mention")).alias("w"), _bare(F.col("new")).alias("s"))).alias("p")
+    pairs = names.select("doc_id", pair).select("doc_id", F.col("p.w").alias("w"), F.col("p.s").alias("s"))
+    forms = F.array(F.struct("w", "s"), F.struct(F.upper("w").alias("w"), F.upper("s").alias("s")), F.struct(F.initcap("w").alias("w"), F.initcap(F.lower("s")).alias("s")))
+    each = pairs.select("doc_id", F.explode(forms).alias("p")).groupBy("doc_id", F.col("p.w").alias("w")).agg(F.min("p.s").alias("s"))
+    words = each.groupBy(F.col("doc_id").alias("_wid")).agg(F.map_from_entries(F.collect_set(F.struct("w", "s"))).alias("_words"))  # the names of one document
+    return words.withColumn("_again", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("_words"), "|"), F.lit(r")(?!\p{L})")))
+
+
+def _replaced(text: Column, pattern: Column, by: Column) -> Column:
+    """``text`` with every match of ``pattern`` replaced by its value in a map."""
+    new = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.coalesce(F.element_at(by, m), m))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("b"), F.array_append(new, F.lit("")).alias("n"))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["b"], p["n"])), "")
 
 
 def _entities(mention: Column, kind: Column) -> Column:
@@ -203,11 +242,14 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     of_doc = mentions.join(rendered, "mention").groupBy(F.col("doc_id").alias("_id")).agg(
         F.map_from_entries(F.collect_set(F.struct("mention", "new"))).alias("_new")  # the entities of one document
     )
+    words = _words_of_names(mentions.filter("kind = 'name'").join(rendered, "mention"))
+    of_doc = of_doc.join(words, F.col("_id").eqNullSafe(F.col("_wid")), "left").drop("_wid")
     packed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_doc"), F.col(text).alias("_text"))
     joined = packed.join(of_doc, F.col("_doc").eqNullSafe(F.col("_id")), "left")
     between = F.split("_text", PATTERN, -1)
     new = F.transform(F.regexp_extract_all(F.col("_text"), F.lit(PATTERN), F.lit(0)), lambda m: F.coalesce(F.element_at(F.col("_new"), m), m))
     pairs = F.arrays_zip(between.alias("b"), F.array_append(new, F.lit("")).alias("n"))
-    whole = F.array_join(F.transform(pairs, lambda p: F.concat(p["b"], p["n"])), "")
+    rest = lambda b: F.when(F.col("_words").isNull(), b).otherwise(_replaced(b, F.col("_again"), F.col("_words")))
+    whole = F.array_join(F.transform(pairs, lambda p: F.concat(rest(p["b"]), p["n"])), "")
     changed = F.when(F.col("_new").isNull(), F.col("_text")).otherwise(whole)
     return joined.select(*[changed.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in names])

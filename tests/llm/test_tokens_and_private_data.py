@@ -123,6 +123,19 @@ def test_surrogates_keep_type_and_layout(spark):
     assert replaced(spark, texts) == got and replaced(spark, texts, "other")[1] != got[1]
 
 
+def test_surrogates_of_untitled_names_and_national_numbers(spark):
+    texts = ["Mr. John Smith came. Later John Smith left; SMITH's car, Smithson, and Smith.", "Anna Schmidt wrote to Herr Schmidt", "Contact: Zorba Quux. Quux said", "Tel. 030 1234567 or 06 12 34 56 78, 2024 10 11, 0.25 1234567", "The Smith next door", "Dr. Anna Schmidt"]
+    got = replaced(spark, texts)
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) (\w+) left; (\w+)'s car, Smithson, and (\w+)\.", got[0]).groups()
+    assert one[0] == one[2] != "John" and one[1] == one[3] == one[5] != "Smith" and one[4] == one[1].upper()
+    first, last, again = re.fullmatch(r"(\w+) (\w+) wrote to Herr (\w+)", got[1]).groups()
+    assert last == again != "Schmidt" and got[5] == f"Dr. {first} {last}" and first in surrogates.FIRST["f"]
+    _, last, again = re.fullmatch(r"Contact: (\w+) (\w+)\. (\w+) said", got[2]).groups()
+    assert last == again != "Quux" and "Zorba" not in got[2]
+    assert re.fullmatch(r"Tel\. \d{3} \d{7} or \d\d \d\d \d\d \d\d \d\d, 2024 10 11, 0\.25 1234567", got[3])
+    assert "1234567 or" not in got[3] and "12 34 56 78" not in got[3] and got[4] == texts[4]
+
+
 def test_surrogates_stay_distinct_when_they_clash(spark):
     texts = [f"Mr. Name{chr(97 + i % 26)}{chr(97 + i // 26)} Same and a@b{i}.com, b@b0.com" for i in range(600)]
     texts = [re.sub(r"Name(\w)(\w)", lambda m: "N" + m[1] + m[2], t) for t in texts]
