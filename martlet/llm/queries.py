@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, sparse_suffix, surrogates
+from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, secrets, simhash, sparse_suffix, surrogates
 from martlet.llm.common import default_tokenizer, held_out, table
 
 
@@ -81,6 +81,11 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and its component under links of at most two differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix, op11_simhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
