@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` with the other columns of ``classes``, one row a class with its number of members in ``rows``.
+
+    Classes that hold more than one in ``share`` of all members are joined by broadcast, so there are at most ``share`` of
+    them; the others meet by key. So no large class is collected in one task. Keys are not null.
+    """
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    values = [c for c in classes.columns if c not in keys and c != "rows"]
+    hot = classes.filter(F.col("rows") > total // share).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_{v}") for v in values])
+    spread = rows.join(F.broadcast(hot), keys, "left")
+    at_once = spread.filter("_hot").select(*rows.columns, *[F.col(f"_{v}").alias(v) for v in values])
+    rest = spread.filter("_hot is null").select(*rows.columns).join(classes.drop("rows"), keys)
+    return at_once.unionByName(rest)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier may learn from: crc32 of the id as text is divisible by 5. A null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, ranked_search, secrets, simhash, sparse_suffix, surrogates
+from martlet.llm import bpe, byte_cnn, decontaminate, ftrl, isolation_forest, jaccard_join, line_dedup, ranked_search, secrets, simhash, sparse_suffix, surrogates, vector_codes
 from martlet.llm.common import default_tokenizer, held_out, table
 
 
@@ -91,7 +91,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix, op11_simhash, op12_ranked_search)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every whole vector, with the errors of its label and a digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_errors(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_isolation_forest, op3_ftrl_quality, op4_jaccard_join, op5_bpe, op6_byte_cnn, op7_line_dedup, op8_secret_scan, op9_decontaminate, op10_sparse_suffix, op11_simhash, op12_ranked_search, op13_vector_codes)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 SQL["op12_ranked_search"] = r"""
@@ -114,3 +121,40 @@ scored AS (
 ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Rounds of assignment and update, written out one after the other."""
+    floor_div = "(({0}) - ((({0}) % ({1})) + ({1})) % ({1})) // ({1})"
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS v, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS c, len(embedding) // 8 AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS MATERIALIZED (SELECT v, vec_id, label, p, c[p * w + 1 : (p + 1) * w] AS c FROM kept, range(8) t(p))",
+        "firsts AS (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16)",
+        "book0 AS MATERIALIZED (SELECT p, e, c FROM parts JOIN firsts USING (v))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+  SELECT v, p, c, d, e FROM (
+    SELECT x.v, x.p, x.c, b.e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN book{i} b USING (p))
+  QUALIFY row_number() OVER (PARTITION BY v, p ORDER BY d, e) = 1)"""
+        )
+        if i < rounds:
+            mean = floor_div.format("sum(x)::BIGINT", "count(*)::BIGINT")
+            steps.append(
+                f"""mean{i} AS (
+  SELECT p, e, list(m ORDER BY k) AS c FROM (
+    SELECT p, e, k, {mean} AS m FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM near{i}) GROUP BY p, e, k) GROUP BY p, e)"""
+            )
+            steps.append(f"book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m USING (p, e))")
+    steps.append(f"coded AS MATERIALIZED (SELECT v, string_agg(lpad(hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY v)")
+    steps.append(f"books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 "
+        "FROM coded JOIN kept USING (v), books"
+    )
+
+
+SQL["op13_vector_codes"] = _vector_codes_sql()
