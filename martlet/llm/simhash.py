@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import written
+from martlet.llm.common import join_classes, written
 from martlet.llm.components import components
 
 #: Words of a shingle; bits of a fingerprint.
@@ -22,8 +22,6 @@ WORDS, BITS = 3, 64
 DISTANCE = 2
 #: Fingerprints of one variant that are compared pair by pair: 64 variants of 63/2 pairs are as many as 2,016 patterns.
 FEW = 64
-#: A class of more than this share of all rows is joined by broadcast, so there are at most as many such classes.
-HOT_SHARE = 1000
 _UPPER, _LOWER, _BLANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\x0c\r"
 _HALF = 0xFFFFFFFF
 
@@ -92,33 +90,29 @@ def _patterns(crowded: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
     """(a, b) between distinct fingerprints at most DISTANCE bits apart, with every such pair connected by a chain of rows.
 
-    ``distinct`` is read three times. Variants of up to ``few`` fingerprints are compared pair by pair.
+    ``distinct`` is read twice. Of up to three fingerprints that share a variant, smallest, largest and the sum of all bits
+    tell each; only members of larger groups are looked up again. Groups of up to ``few`` are compared pair by pair.
     """
-    met = _variants(distinct).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    met = _variants(distinct).groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.bit_xor("fp").alias("all")
+    )
     met = written(met.filter("n > 1"), "variants")
-    near = distance("a", "b") <= DISTANCE
-    pairs = met.filter((F.col("n") == 2) & near).select("a", "b")
-    listed = _variants(distinct).join(met.filter((F.col("n") > 2) & (F.col("n") <= few)).select("variant"), "variant")
-    lists = listed.groupBy("variant").agg(F.collect_list("fp").alias("fps"))  # few fingerprints at most
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    sides = F.when(F.col("n") == 2, F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))).otherwise(
+        F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((F.col("low"), middle), (middle, F.col("high")), (F.col("low"), F.col("high")))])
+    )
+    pairs = met.filter("n <= 3").select(F.inline(sides)).filter(distance("a", "b") <= DISTANCE)
+    members = written(_variants(distinct).join(met.filter("n > 3").select("variant", "n"), "variant"), "members")
+    lists = members.filter(F.col("n") <= few).groupBy("variant").agg(F.collect_list("fp").alias("fps"))  # few fingerprints at most
     of_lists = (
         lists.select("fps", F.explode("fps").alias("a"))
         .select("a", F.explode(F.expr(f"filter(fps, b -> a < b and bit_count(a ^ b) <= {DISTANCE})")).alias("b"))
         .select("a", "b")
     )
-    crowded = _variants(distinct).join(met.filter(F.col("n") > few).select("variant"), "variant", "left_semi").select("fp").distinct()
+    crowded = members.filter(F.col("n") > few).select("fp").distinct()
     shared = _patterns(crowded).groupBy("place", "pattern").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     starred = _patterns(crowded).join(shared, ["place", "pattern"]).filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(of_lists).unionByName(starred).distinct()
-
-
-def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``classes`` by fp; classes that hold a large share of the rows do not meet in one task."""
-    total = classes.agg(F.sum("rows")).first()[0] or 0
-    hot = classes.filter(F.col("rows") > total // HOT_SHARE)  # HOT_SHARE classes at most
-    spread = rows.join(F.broadcast(hot.select("fp", F.lit(True).alias("_hot"), F.col("component").alias("_component"))), "fp", "left")
-    at_once = spread.filter("_hot").select("doc", "fp", F.col("_component").alias("component"))
-    rest = spread.filter("_hot is null").select("doc", "fp").join(classes.select("fp", "component"), "fp")
-    return at_once.unionByName(rest)
+    return pairs.unionByName(of_lists).unionByName(starred)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -136,6 +130,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = groups.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = classes.groupBy("label").agg(F.min("first").alias("component"))
     classes = written(classes.join(smallest, "label").select("fp", "rows", "component"), "classes")
-    return _with_class(made, classes).select(
+    return join_classes(made, classes, ["fp"]).select(
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
