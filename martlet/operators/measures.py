@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.columns import date_key, divide_or_null, hour_boundaries
+from martlet.operators.relations import Relation, bridges, matching, owners, visible_from
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,9 @@ class StarModel:
     """Fact at item grain, dimensions as ``{name: (table, fact key, dimension key)}``, reviews that hang on
     ``order_id`` many-to-many, and an optional forecast that is only related to the calendar.
 
-    ``date_roles`` names the fact timestamps a calendar can be attached to; the first one is the default.
+    ``date_roles`` names the fact timestamps a calendar can be attached to; the first one is the default. ``relations``
+    are further many-to-many tables (see ``relations``), whose columns group and filter like those of a dimension; the
+    reviews are one of them.
     """
 
     fact: DataFrame
@@ -61,6 +64,17 @@ class StarModel:
     hierarchies: Mapping[str, Sequence[str]] = field(
         default_factory=lambda: {"product": ("product_segment", "category")}
     )
+    relations: Mapping[str, Relation] = field(default_factory=dict)
+
+    def all_relations(self) -> dict[str, Relation]:
+        own = {} if self.reviews is None else {"reviews": Relation(self.reviews, "order_id")}
+        return {**own, **self.relations}
+
+    def outside(self, columns: Sequence[str]) -> list[str]:
+        """Those of ``columns`` that neither the fact, a dimension nor the calendar has."""
+        near = {"date", *self.fact.columns}.union(*(t.columns for t, _, _ in self.dimensions.values()))
+        near |= set() if self.calendar is None else set(self.calendar.columns)
+        return [c for c in dict.fromkeys(columns) if c not in near]
 
     def with_facts(self, fact: DataFrame) -> StarModel:
         return replace(self, fact=fact)
@@ -82,10 +96,13 @@ def visible_fact(
     """Fact rows under the filters, with the wanted dimension columns looked up.
 
     Only dimensions that supply a wanted or filtered column are joined. A ``date`` column is the day of
-    the chosen role; calendar columns come from the calendar through that day.
+    the chosen role; calendar columns come from the calendar through that day. With columns of many-to-many
+    relations a fact row appears once in each group that it is related to, and not at all without one.
     """
     filters = dict(filters or {})
-    needed = {*columns, *filters}
+    far = model.outside([*columns, *filters])
+    met = bridges(model.all_relations(), model.dimensions, [c for c in far if c in columns], {c: filters.pop(c) for c in far if c in filters})
+    needed = {*(c for c in columns if c not in far), *filters}
     role = date_role or model.date_roles[0]
     rows = model.fact.withColumn("date", F.to_date(F.col(role)))
     for name, (table, fact_key, dim_key) in model.dimensions.items():
@@ -97,11 +114,9 @@ def visible_fact(
         supplied = [c for c in model.calendar.columns if c in needed and c not in rows.columns]
         if supplied:
             rows = rows.join(model.calendar.select("date", *supplied), "date", "left")
-    missing = needed - set(rows.columns)
-    if missing:
-        raise ValueError(f"unknown columns: {sorted(missing)}")
-    for name, wanted in filters.items():
-        rows = rows.filter(wanted if isinstance(wanted, Column) else F.col(name).isin(*wanted))
+    rows = matching(rows, filters)
+    for bridge in met:
+        rows = bridge.onto(rows)
     return rows
 
 
@@ -134,14 +149,14 @@ def _evaluate_by_key(
     joined = per_key.join(table.select(F.col(dim_key).alias(fact_key), *supplied), fact_key, "left")
     for name, wanted in filters.items():
         if name not in of_fact:
-            joined = joined.filter(wanted if isinstance(wanted, Column) else F.col(name).isin(*wanted))
+            joined = matching(joined, {name: wanted})
     finals = [(F.countDistinct(fact_key) if m.kind == "distinct" else _from_parts(m)).alias(m.name) for m in chosen]
     return joined.groupBy(*by).agg(*finals)
 
 
-def reviews_per_order(reviews: DataFrame) -> DataFrame:
-    """Reviews folded to one row per order, so that a much-reviewed order joins as one row."""
-    return reviews.groupBy("order_id").agg(
+def reviews_per_order(reviews: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reviews folded to one row per order (and group of their own), so that a much-reviewed order joins as one row."""
+    return reviews.groupBy("order_id", *by).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum("review_score").alias("_score_sum"),
         F.count("review_score").alias("_score_count"),
@@ -194,6 +209,80 @@ def _outer(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def split_by_reviews(model: StarModel, by: Sequence[str], filters: Mapping[str, Any]) -> tuple[list[str], dict, DataFrame]:
+    """(other group columns, other filters, reviews per order and own group) for measures of the reviews.
+
+    A group or filter on the reviews' own columns holds for each review, not for all reviews of an order that has such a
+    one, so it is applied before the reviews are folded.
+    """
+    owner = owners(model.all_relations(), model.outside([*by, *filters]))
+    own = {c for c, name in owner.items() if name == "reviews"}
+    rows = matching(model.reviews, {c: f for c, f in filters.items() if c in own})
+    folded = reviews_per_order(rows, [c for c in by if c in own])
+    return [c for c in by if c not in own], {c: f for c, f in filters.items() if c not in own}, folded
+
+
+def _evaluate_related(model: StarModel, chosen: list[Measure], by: list[str], filters: Mapping, date_role: str | None) -> DataFrame:
+    """Measures where groups or filters lie on many-to-many relations.
+
+    Fact measures are summed by the keys of the bridges first and meet them as one row per key, so a key that holds a large
+    share of the fact costs no more than any other.
+    """
+    results = []
+    far = model.outside([*by, *filters])
+    met = bridges(model.all_relations(), model.dimensions, [c for c in far if c in by], {c: f for c, f in filters.items() if c in far})
+    near, rest = [c for c in by if c not in far], {c: f for c, f in filters.items() if c not in far}
+    of_fact = [m for m in chosen if m.source == "fact"]
+    additive, distinct = [m for m in of_fact if m.kind != "distinct"], [m for m in of_fact if m.kind == "distinct"]
+
+    def across(keys: list[str], *parts: Column) -> DataFrame:
+        keys = list(dict.fromkeys([*near, *(b.fact_key for b in met), *keys]))
+        rows = visible_fact(model, near, rest, date_role).groupBy(*keys).agg(*parts)
+        for bridge in met:
+            rows = bridge.onto(rows)
+        return rows.groupBy(*by)
+
+    if additive:
+        parts = across([], *[p for m in additive for p in _order_parts(m)])
+        results.append(parts.agg(*[_from_parts(m).alias(m.name) for m in additive]))
+    for m in distinct:
+        results.append(across([m.column], F.count(F.lit(1)).alias("_rows")).agg(F.countDistinct(m.column).alias(m.name)))
+    of_reviews = [m for m in chosen if m.source == "reviews"]
+    if of_reviews:
+        others, kept, folded = split_by_reviews(model, by, filters)
+        orders = visible_fact(model, others, kept, date_role).select(*others, "order_id").distinct()
+        results.append(orders.join(folded, "order_id").groupBy(*by).agg(*[_from_parts(m).alias(m.name) for m in of_reviews]))
+    of_forecast = [m for m in chosen if m.source == "forecast"]
+    if of_forecast:
+        results.append(_evaluate_forecast(model, of_forecast, by, filters))
+    out = results[0]
+    for other in results[1:]:
+        out = _outer(out, other, by)
+    return out
+
+
+def related_rows(
+    model: StarModel,
+    relation: str,
+    by: Sequence[str] = (),
+    filters: Mapping[str, Sequence[Any] | Column] | None = None,
+    date_role: str | None = None,
+) -> DataFrame:
+    """Rows of a many-to-many table that the filters of the whole model leave, once for each group of ``by``.
+
+    Filters on its own columns hold for its rows, all others reach it through the fact. ``by`` are columns of the fact, of
+    dimensions or of other relations.
+    """
+    far = model.all_relations()[relation]
+    owner = owners(model.all_relations(), model.outside(list(filters or {})))
+    own = {c: f for c, f in (filters or {}).items() if owner.get(c) == relation}
+    clash = [c for c in by if c in far.table.columns]
+    if clash:
+        raise ValueError(f"{relation} has {clash} itself: group its rows by them afterwards")
+    fact_rows = visible_fact(model, list(by), {c: f for c, f in (filters or {}).items() if c not in own}, date_role)
+    return visible_from(fact_rows, list(by), far, own)
+
+
 def evaluate(
     model: StarModel,
     measures: Sequence[str],
@@ -214,6 +303,8 @@ def evaluate(
     dimension = _single_dimension(model, chosen, by, filters)
     if dimension and all(m.source == "fact" for m in chosen):
         return _finished(_evaluate_by_key(model, chosen, by, filters, dimension), chosen, by)
+    if model.outside([*by, *filters]):
+        return _finished(_evaluate_related(model, chosen, by, filters, date_role), chosen, by)
     visible = visible_fact(model, by, filters, date_role)
     of_fact = [m for m in chosen if m.source == "fact"]
     of_reviews = [m for m in chosen if m.source == "reviews"]
@@ -245,7 +336,7 @@ def _finished(out: DataFrame, chosen: list[Measure], by: list[str]) -> DataFrame
     )
 
 
-def _evaluate_forecast(model: StarModel, measures: list[Measure], by: list[str], filters) -> DataFrame:
+def visible_forecast(model: StarModel, by: Sequence[str], filters) -> DataFrame:
     """The forecast is related to the calendar only, so other columns cannot group or filter it."""
     rows = model.forecast.withColumn("date", F.to_date("date"))
     calendar_columns = [] if model.calendar is None else model.calendar.columns
@@ -255,10 +346,12 @@ def _evaluate_forecast(model: StarModel, measures: list[Measure], by: list[str],
     foreign = [c for c in by if c not in rows.columns]
     if foreign:
         raise ValueError(f"the forecast has no relation to {foreign}")
-    for name, wanted in (filters or {}).items():
-        if name in rows.columns:
-            rows = rows.filter(wanted if isinstance(wanted, Column) else F.col(name).isin(*wanted))
-    return rows.groupBy(*by).agg(*[F.sum(m.column).alias(m.name) for m in measures])
+    rows = matching(rows, {c: f for c, f in (filters or {}).items() if c in rows.columns})
+    return rows
+
+
+def _evaluate_forecast(model: StarModel, measures: list[Measure], by: list[str], filters) -> DataFrame:
+    return visible_forecast(model, by, filters).groupBy(*by).agg(*[F.sum(m.column).alias(m.name) for m in measures])
 
 
 def total_sales_all_dates(model: StarModel, calendar: DataFrame, date_role: str | None = None) -> DataFrame:

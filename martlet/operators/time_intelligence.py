@@ -20,8 +20,9 @@ from martlet.operators.measures import (
     MEASURES,
     Measure,
     StarModel,
-    reviews_per_order,
+    split_by_reviews,
     visible_fact,
+    visible_forecast,
 )
 
 TIME_CALCULATIONS = ("current", "mtd", "ytd", "py", "yoy", "yoy_pct")
@@ -30,26 +31,23 @@ _GRAINS = {"day": "day", "month": "month", "year": "year"}
 
 def _components(m: Measure, model: StarModel, by: list[str], filters, date_role) -> tuple[DataFrame, bool]:
     """Rows (by, date[, entity], s, c) whose sums make up the measure, and whether an entity counts once."""
-    rows = visible_fact(model, [*by, "date"], filters, date_role).filter(F.col("date").isNotNull())
     one = F.lit(1.0)
-    if m.source == "fact" and m.kind == "distinct":
-        entities = rows.filter(F.col(m.column).isNotNull()).select(*by, "date", F.col(m.column).alias("entity"))
-        return entities.distinct().withColumns({"s": one, "c": one}), True
-    if m.source == "fact":
-        value = one if m.kind == "count" else F.col(m.column).cast("double")
-        daily = rows.groupBy(*by, "date").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-        return daily, False
+    if m.source == "forecast":
+        forecast = visible_forecast(model, by, filters).filter(F.col("date").isNotNull())
+        return forecast.groupBy(*by, "date").agg(F.sum(m.column).alias("s"), F.count(m.column).alias("c")), False
     if m.source == "reviews":
+        others, kept, folded = split_by_reviews(model, by, filters or {})
         total, count = ("_rows", "_rows") if m.kind == "count" else _REVIEW_PARTS[m.column]
-        folded = reviews_per_order(model.reviews).select(
-            "order_id", F.col(total).cast("double").alias("s"), F.col(count).cast("double").alias("c")
-        )
-        orders = rows.select(*by, "date", "order_id").distinct()
-        return orders.join(folded, "order_id").withColumnRenamed("order_id", "entity"), True
-    forecast = model.forecast.withColumn("date", F.to_date("date"))
-    if by:
-        raise ValueError("the forecast is related to the calendar only")
-    return forecast.groupBy("date").agg(F.sum(m.column).alias("s"), F.count(m.column).alias("c")), False
+        own = [c for c in by if c not in others]
+        folded = folded.select("order_id", *own, F.col(total).cast("double").alias("s"), F.col(count).cast("double").alias("c"))
+        orders = visible_fact(model, [*others, "date"], kept, date_role).filter(F.col("date").isNotNull())
+        return orders.select(*others, "date", "order_id").distinct().join(folded, "order_id").withColumnRenamed("order_id", "entity"), True
+    rows = visible_fact(model, [*by, "date"], filters, date_role).filter(F.col("date").isNotNull())
+    if m.kind == "distinct":
+        entities = rows.filter(F.col(m.column).isNotNull()).select(*by, "date", F.col(m.column).alias("entity"))
+        return entities.distinct().withColumns({"s": one, "c": one}), True
+    value = one if m.kind == "count" else F.col(m.column).cast("double")
+    return rows.groupBy(*by, "date").agg(F.sum(value).alias("s"), F.count(value).alias("c")), False
 
 
 def _finish(m: Measure, s: Column, c: Column) -> Column:
@@ -107,6 +105,21 @@ def _a_year_later(step: Column, grain: str) -> Column:
     return F.filter(F.array(later, F.date_add(later, 1)), lambda d: F.add_months(d, -12) == step)
 
 
+def _on_every_step(lined_up: DataFrame, rows: DataFrame, by: list[str], grain: str) -> DataFrame:
+    """``lined_up`` with all steps of all groups, from the year of the first row to that of the last."""
+    span = rows.agg(F.sequence(F.trunc(F.min("date"), "year"), F.make_date(F.year(F.max("date")), F.lit(12), F.lit(31)), F.expr(f"interval 1 {grain}")).alias("_step"))
+    if not by:
+        every = span.select(F.explode("_step").alias("_step"))
+        return every.join(lined_up, "_step", "left")
+    every = lined_up.select(*by).distinct().withColumn("_step", F.explode(span.scalar()))
+    named = every.withColumnsRenamed({c: f"_g_{c}" for c in by}).withColumnRenamed("_step", "_every")
+    same = F.col("_step") == F.col("_every")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = named.join(lined_up, same, "left")
+    return joined.select(*[F.col(f"_g_{c}").alias(c) for c in by], F.col("_every").alias("_step"), *[c for c in lined_up.columns if c not in by and c != "_step"])
+
+
 def time_calculations(
     model: StarModel,
     measure: str,
@@ -117,7 +130,8 @@ def time_calculations(
 ) -> DataFrame:
     """All time calculations of one measure: one row per group and step (``period``) with any value.
 
-    The calendar ends with the year of the last fact, so prior-year values do not run past it.
+    The calendar ends with the year of the last fact, so prior-year values do not run past it. A measure whose blank is
+    zero has all steps of all groups, with 0 where nothing was sold (the share of a year before without sales stays blank).
     """
     m, by = MEASURES[measure], list(by)
     step = F.trunc("date", _GRAINS[grain]) if grain != "day" else F.col("date")
@@ -138,8 +152,10 @@ def time_calculations(
         slots = slot if slots is None else slots.unionByName(slot)
     lined_up = slots.groupBy(*by, "_step").agg(*[F.max(n).alias(n) for n in parts])
     last_year = rows.agg(F.year(F.max("date"))).scalar()
-    kept = lined_up.filter(F.coalesce(*parts).isNotNull() & (F.year("_step") <= last_year))
     zero = F.lit(0.0)
+    if m.blank_is_zero:
+        lined_up = _on_every_step(lined_up, rows, by, grain).fillna(0.0, list(parts))
+    kept = lined_up.filter(F.coalesce(*parts).isNotNull() & (F.year("_step") <= last_year))
     yoy = F.when(
         F.col("current").isNotNull() | F.col("py").isNotNull(),
         F.coalesce("current", zero) - F.coalesce("py", zero),

@@ -10,7 +10,7 @@ from martlet.functions.columns import midnight
 from martlet.operators import measures as M
 from martlet.operators import time_intelligence as TI
 from martlet.plans.registry import query, with_
-from martlet.plans.tables import CUSTOMERS, DELIVERED, DELIVERED_FACT, FACT, REVIEWS, Tables
+from martlet.plans.tables import CUSTOMERS, DELIVERED, DELIVERED_FACT, FACT, LANDINGS, LEADS, PAYMENTS, REVIEWS, Tables
 
 
 def off_ties(column: str, places: int = 6):
@@ -144,6 +144,102 @@ def sales_measures_summed_by_key_first(t: Tables):
     )
 
 
+# -- groups and filters on many-to-many tables --------------------------------------------------------------
+
+
+@query(
+    "M10 J11 M1 M2 M5",
+    with_(
+        """SELECT review_score, round(sum(price), 2) AS total_sales, count(*) AS total_orders, count(DISTINCT customer_id) AS total_active_customers
+           FROM (SELECT DISTINCT order_id, review_score FROM reviews) r JOIN fact USING (order_id) GROUP BY 1""",
+        FACT,
+        REVIEWS,
+    ),
+)
+def sales_by_review_score(t: Tables):
+    out = M.evaluate(t.model(), ["total_sales", "total_orders", "total_active_customers"], ["review_score"])
+    return out.select("review_score", F.round("total_sales", 2).alias("total_sales"), "total_orders", "total_active_customers")
+
+
+@query(
+    "M10 J11 M1 M2 M6",
+    with_(
+        """SELECT payment_type, customer_region, round(sum(price), 2) AS total_sales, count(*) AS total_orders,
+                  round(avg(hours) + 1e-9, 6) AS average_delivery_time
+           FROM (SELECT DISTINCT order_id, payment_type FROM payments) p JOIN fact USING (order_id) LEFT JOIN customers USING (customer_id)
+           WHERE order_status IN ('F', 'O') AND seller_id IN (SELECT seller_id FROM leads WHERE origin IN ('BUILDING', 'MACHINERY'))
+             AND order_id IN (SELECT order_id FROM reviews WHERE review_score = 1) GROUP BY 1, 2""",
+        FACT,
+        CUSTOMERS,
+        PAYMENTS,
+        LEADS,
+        REVIEWS,
+    ),
+)
+def sales_by_payment_type_filtered(t: Tables):
+    """Groups by one many-side table and a dimension, filters on two other many-side tables and the fact."""
+    filters = {"order_status": ["F", "O"], "origin": ["BUILDING", "MACHINERY"], "review_score": [1]}
+    out = M.evaluate(t.model(), ["total_sales", "total_orders", "average_delivery_time"], ["payment_type", "customer_region"], filters)
+    return out.select("payment_type", "customer_region", F.round("total_sales", 2).alias("total_sales"), "total_orders", off_ties("average_delivery_time"))
+
+
+@query(
+    "M10 J11 M1 M4",
+    with_(
+        """, o AS (SELECT DISTINCT seller_id, origin FROM leads), p AS (SELECT DISTINCT order_id, payment_type FROM payments),
+             s AS (SELECT origin, payment_type, sum(price) AS total_sales FROM fact JOIN o USING (seller_id) JOIN p USING (order_id) GROUP BY 1, 2),
+             v AS (SELECT DISTINCT origin, payment_type, order_id FROM fact JOIN o USING (seller_id) JOIN p USING (order_id)),
+             r AS (SELECT origin, payment_type, count(*) AS total_reviews, avg(review_score) AS a FROM v JOIN reviews USING (order_id) GROUP BY 1, 2)
+           SELECT origin, payment_type, round(total_sales, 2) AS total_sales, total_reviews, round(a + 1e-9, 6) AS average_review
+           FROM s FULL JOIN r USING (origin, payment_type)""",
+        FACT,
+        PAYMENTS,
+        LEADS,
+        REVIEWS,
+    ).replace(") , o AS", "), o AS").replace(") \n           , o AS", "), o AS"),
+)
+def measures_by_lead_origin_and_payment_type(t: Tables):
+    """Groups on two many-side tables at once, for measures of the fact and of a third one."""
+    out = M.evaluate(t.model(), ["total_sales", "total_reviews", "average_review"], ["origin", "payment_type"])
+    return out.select("origin", "payment_type", F.round("total_sales", 2).alias("total_sales"), "total_reviews", off_ties("average_review"))
+
+
+@query(
+    "M10 J11 M1 J13",
+    with_(
+        """SELECT landing_host, round(sum(price), 2) AS total_sales, count(*) AS total_orders
+           FROM (SELECT DISTINCT seller_id, landing_host FROM leads JOIN landings USING (mql_id) WHERE origin <> 'BUILDING') b JOIN fact USING (seller_id) GROUP BY 1""",
+        FACT,
+        LEADS,
+        LANDINGS,
+    ),
+)
+def sales_by_landing_host(t: Tables):
+    """A group two many-to-many steps away from the fact, with a filter on the step between."""
+    out = M.evaluate(t.model(), ["total_sales", "total_orders"], ["landing_host"], {"origin": F.col("origin") != "BUILDING"})
+    return out.select("landing_host", F.round("total_sales", 2).alias("total_sales"), "total_orders")
+
+
+@query(
+    "M10 J11",
+    with_(
+        """SELECT customer_region, payment_type, count(*) AS payments, round(sum(payment_value), 2) AS paid
+           FROM (SELECT DISTINCT customer_region, order_id FROM fact LEFT JOIN customers USING (customer_id) WHERE order_status = 'F'
+                   AND order_id IN (SELECT order_id FROM reviews WHERE review_score = 1)) v
+           JOIN payments USING (order_id) WHERE payment_type <> 'error' GROUP BY 1, 2""",
+        FACT,
+        CUSTOMERS,
+        PAYMENTS,
+        REVIEWS,
+    ),
+)
+def payments_by_customer_region(t: Tables):
+    """The other way: rows of a many-side table under filters of the fact, another many-side table and their own."""
+    filters = {"order_status": [DELIVERED], "review_score": [1], "payment_type": F.col("payment_type") != "error"}
+    rows = M.related_rows(t.model(), "payments", ["customer_region"], filters)
+    return rows.groupBy("customer_region", "payment_type").agg(F.count(F.lit(1)).alias("payments"), F.round(F.sum("payment_value"), 2).alias("paid"))
+
+
 @query(
     "M7 M10",
     with_(
@@ -334,6 +430,25 @@ def defect_ratio_over_time(t: Tables):
     return _time(t, "average_defect_ratio", "month")
 
 
+@query(
+    "M10 J11 M11 M12 M13 M14",
+    _time_sql(
+        "month",
+        """SELECT d, price, payment_type FROM (SELECT DISTINCT event_id // 3 AS order_id, event_type AS payment_type FROM events) JOIN fact USING (order_id)
+           WHERE order_id IN (SELECT order_id FROM reviews WHERE review_score = 1)""",
+        "sum(price)",
+        "payment_type",
+    ),
+)
+def sales_over_time_by_payment_type(t: Tables):
+    return _time(t, "total_sales", "month", ["payment_type"], {"review_score": [1]})
+
+
+@query("M9 M11 M12 M13 M14", _time_sql("month", "SELECT d, price FROM fact UNION ALL SELECT CAST(unnest(generate_series(date_trunc('year', min(d)) - INTERVAL 1 YEAR, make_date(year(max(d)), 12, 31), INTERVAL 1 DAY)) AS DATE), 0 FROM fact", "sum(price)").replace("date_trunc('year', min(d)) AS DATE) FROM src)", "date_trunc('year', min(d)) AS DATE) FROM fact)"))
+def sales_with_zero_for_blank_over_time(t: Tables):
+    return _time(t, "total_sales_missing_dates", "month")
+
+
 @query("M7 M13", _time_sql("month", "SELECT CAST(o_orderdate AS DATE) AS d, o_totalprice AS price FROM orders", "sum(price)"))
 def sales_forecast_over_time(t: Tables):
     return _time(t, "total_sales_forecast", "month")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from martlet.operators.calendar import calendar, year_bounds_of
 from martlet.operators.joins import order_item_fact
 from martlet.operators.measures import StarModel, with_calculated_columns
+from martlet.operators.relations import Relation
 from martlet.session import ensure_checkpoint_dir
 
 DELIVERED = "F"
@@ -103,6 +104,29 @@ class Tables:
             )
         )
 
+    def payments(self) -> DataFrame:
+        """Stand-in payments: three events pay for an order."""
+        return self.scan("events").select(
+            F.expr("event_id div 3").alias("order_id"), F.col("event_type").alias("payment_type"), F.col("value").alias("payment_value")
+        )
+
+    def leads(self) -> DataFrame:
+        """Stand-in leads: customers that a seller won, many for each seller."""
+        return self.scan("customer").select(
+            F.col("c_custkey").alias("mql_id"), F.col("c_nationkey").cast("long").alias("lead_seller"), F.col("c_mktsegment").alias("origin")
+        )
+
+    def landings(self) -> DataFrame:
+        """Stand-in visits of leads, a second step away from the sellers."""
+        return self.scan("pages").select(F.col("page_id").alias("visitor"), F.substring_index(F.substring_index("url", "/", 3), "/", -1).alias("landing_host"))
+
+    def relations(self) -> dict[str, Relation]:
+        return {
+            "payments": Relation(self.payments(), "order_id"),
+            "leads": Relation(self.leads(), "lead_seller", target_key="seller_id"),
+            "landings": Relation(self.landings(), "visitor", "leads", "mql_id"),
+        }
+
     def model(self, with_calendar: bool = False) -> StarModel:
         return StarModel(
             fact=self.fact(),
@@ -114,6 +138,7 @@ class Tables:
             reviews=self.reviews(),
             forecast=self.forecast(),
             calendar=self.calendar() if with_calendar else None,
+            relations=self.relations(),
         )
 
     def calendar(self, **options) -> DataFrame:
@@ -170,6 +195,9 @@ SELLERS = """sellers AS (
 REVIEWS = """reviews AS (
   SELECT d.doc_id AS review_id, d.doc_id AS order_id, l.quality AS review_score, l.toxic AS defect_score, d.text
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+PAYMENTS = "payments AS (SELECT event_id // 3 AS order_id, event_type AS payment_type, value AS payment_value FROM events)"
+LEADS = "leads AS (SELECT c_custkey AS mql_id, c_nationkey AS seller_id, c_mktsegment AS origin FROM customer)"
+LANDINGS = "landings AS (SELECT page_id AS mql_id, split_part(url, '/', 3) AS landing_host FROM pages)"
 RUNS = """runs AS (
   SELECT strftime(CAST(ts AS DATE), '%Y%m%d') AS run_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start_time,
          event_type AS metric_name, round(avg(value), 6) AS value,
