@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from martlet.operators import interactions as I
 from martlet.operators import recommender as R
 from martlet.operators import similarity as S
+from martlet.operators import tuning as TU
 from martlet.operators.aggregates import sum_count_per, sum_of_groups, time_bounds
 from martlet.operators.ordering import global_row_number
 from martlet.plans.registry import query, with_
@@ -433,8 +434,63 @@ def als_grid_search(t: Tables):
     return R.grid_search(pairs, {"rank": [5, 10], "regParam": [0.1, 0.5]}, folds=3, maxIter=5)[1]
 
 
-@query("R24")
+TRIAL_SPLIT = """, pairs AS (SELECT customer_id, product_id, ts FROM rated), train AS (SELECT * FROM pairs WHERE ts < TIMESTAMP '2000-01-01'),
+  test AS (SELECT * FROM pairs WHERE ts >= TIMESTAMP '2000-01-01'),
+  known AS (SELECT * FROM test WHERE customer_id IN (SELECT customer_id FROM train) AND product_id IN (SELECT product_id FROM train)),
+  met AS (SELECT count(*)::DOUBLE AS pairs FROM known),
+  served AS (SELECT count(DISTINCT customer_id)::DOUBLE AS users FROM test WHERE customer_id IN (SELECT customer_id FROM train))"""
+#: A configuration that no model can be fitted with.
+IMPOSSIBLE = {"rank": 10, "regParam": -1.0, "alpha": 1.0, "maxIter": 5}
+
+
+def _trial_facts(log):
+    """What can be said of a trial without fitting a model: where its parameters and metrics lie, and what it was judged on."""
+    p = F.col("parameters")
+    inside = p["rank"].between(5, 199) & p["regParam"].between(0.001, 10) & p["alpha"].between(0.01, 100) & p["maxIter"].between(5, 29)
+    return log.select(
+        "trial",
+        inside.alias("inside_the_space"),
+        F.col("error").isNotNull().alias("failed"),
+        "evaluated_pairs",
+        "evaluated_users",
+        (F.col("rmse") >= F.col("mae")).alias("rmse_over_mae"),
+        (F.col("map_at_k").between(0, 1) & F.col("ndcg_at_k").between(0, 1)).alias("ranks_in_bounds"),
+        (F.col("seconds") > 0).alias("timed"),
+    )
+
+
+def _trial_sql(trials: int) -> str:
+    return with_(
+        TRIAL_SPLIT
+        + f"""
+  SELECT t::INT AS trial, t < {trials} AS inside_the_space, t = {trials} AS failed, CASE WHEN t < {trials} THEN pairs END AS evaluated_pairs,
+         CASE WHEN t < {trials} THEN users END AS evaluated_users, CASE WHEN t < {trials} THEN true END AS rmse_over_mae,
+         CASE WHEN t < {trials} THEN true END AS ranks_in_bounds, true AS timed FROM range({trials + 1}) r(t), met, served""",
+        FACT,
+        DELIVERED_FACT,
+        RATED,
+    ).replace(") , pairs AS", "), pairs AS")
+
+
+def _trial_pairs(t: Tables):
+    pairs = t.scratch("pairs")
+    I.interactions(t.delivered())[0].write.parquet(pairs)
+    stored, cut = t.spark.read.parquet(pairs), F.col("order_purchase_timestamp") < F.lit("2000-01-01").cast("timestamp_ntz")
+    return stored.filter(cut), stored.filter(~cut)
+
+
+@query("R24 R12 R8", _trial_sql(10))
 def als_random_search(t: Tables):
-    pairs, _, _ = I.interactions(t.delivered())
-    space = {"rank": ("log_int", 5, 20), "regParam": ("log", 0.001, 10.0), "maxIter": ("int", 3, 8)}
-    return R.random_search(pairs, space, trials=4)[1]
+    """Ten draws from the whole space and one impossible configuration, four at a time, as rows of the trial log."""
+    train, test = _trial_pairs(t)
+    return _trial_facts(TU.search_als(train, test, t.scratch("trials"), also=[IMPOSSIBLE], parallelism=4))
+
+
+@query("R24", _trial_sql(2))
+def als_search_resumed(t: Tables):
+    """A search whose budget ends it at once, one that runs its first trial, and one that finds the log and runs the rest."""
+    train, test, log = *_trial_pairs(t), t.scratch("trials")
+    small = {"space": {"rank": ("log_int", 5, 12), "regParam": ("log", 0.001, 10.0), "alpha": ("log", 0.01, 100.0), "maxIter": ("int", 5, 7)}}
+    assert TU.search_als(train, test, log, **small, trials=2, budget_seconds=0).isEmpty()
+    TU.search_als(train, test, log, **small, trials=1)
+    return _trial_facts(TU.search_als(train, test, log, **small, trials=2, also=[IMPOSSIBLE]))
