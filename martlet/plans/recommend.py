@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from martlet.functions.columns import cosine
 from martlet.operators import interactions as I
 from martlet.operators import recommender as R
 from martlet.operators import similarity as S
@@ -222,6 +223,53 @@ def similar_items(t: Tables):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+LETTERS = "etaoinshrdlucmfwygpbvkéñçã"
+_PROFILE_SQL = ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE / length(t)" for c in LETTERS)
+
+
+def _letter_profiles(t: Tables):
+    """Documents as shares of letters, a stand-in for factors that really lie in clusters."""
+    text = F.lower("text")
+    share = [(F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))) / F.length("t") for c in LETTERS]
+    return t.scan("documents").select("doc_id", text.alias("t")).filter(F.length("t") > 0).select("doc_id", F.array(*share).alias("profile"))
+
+
+def _recall(exact, found):
+    """Share of the exact neighbours that were found, equally good ones counting as the same, and whether all scores agree."""
+    least = exact.groupBy("item").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("n"))
+    hits = found.join(least, "item").groupBy("item", "n").agg(F.sum((F.col("similarity") >= F.col("least") - 1e-9).cast("int")).alias("hits"))
+    return hits.agg(F.sum(F.least("hits", "n")).alias("hits")), least.agg(F.sum("n").alias("n"))
+
+
+@query(
+    "R13",
+    f"""WITH p AS (SELECT doc_id, [{_PROFILE_SQL}] AS e FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) > 0)),
+             v AS (SELECT doc_id, e FROM p WHERE list_sum(e) > 0)
+        SELECT count(*) AS items, 10 * count(*) AS neighbours, true AS recall_reached, true AS scores_exact, true AS fewer_pairs FROM v""",
+)
+def similar_items_indexed(t: Tables):
+    """The index against the exact search: nine of ten neighbours or more, with the same scores, from under half of all pairs."""
+    profiles = t.scratch("profiles")
+    _letter_profiles(t).write.parquet(profiles)
+    profiles = t.spark.read.parquet(profiles)
+    exact = S.similar_items(profiles, 10, "doc_id", "profile")
+    path = t.scratch("indexed")
+    found, facts = S.indexed_similar_items(profiles, 10, "doc_id", "profile")
+    found.write.parquet(path)
+    found = t.spark.read.parquet(path)
+    hits, wanted = _recall(exact, found)
+    cosines = found.join(profiles.select(F.col("doc_id").alias("item"), F.col("profile").alias("a")), "item").join(
+        profiles.select(F.col("doc_id").alias("similar"), F.col("profile").alias("b")), "similar"
+    )
+    return found.agg(
+        F.countDistinct("item").alias("items"),
+        F.count(F.lit(1)).alias("neighbours"),
+        (hits.scalar() >= 0.9 * wanted.scalar()).alias("recall_reached"),
+        cosines.agg(F.bool_and(F.abs(cosine("a", "b") - F.col("similarity")) < 1e-9)).scalar().alias("scores_exact"),
+        F.lit(facts["share_of_pairs"] < 0.5).alias("fewer_pairs"),
+    )
+
+
 @query(
     "R13",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)

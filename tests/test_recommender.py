@@ -149,3 +149,39 @@ def test_time_split_keeps_rows_without_a_time(frame):
     for share, train in ((0.5, {1, 2}), (0.9, set()), (0.0, {1, 2, 3, 4}), (0.75, {1})):
         got = I.time_split(df, "at", share, "id").collect()
         assert len(got) == 4 and {r.id for r in got if r.split == "train"} == train
+
+
+def _clouds(frame, clouds=12, members=40, dims=16, copies=3):
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(clouds, dims))
+    rows = [(int(c * members + i), (middles[c] + 0.15 * rng.normal(size=dims)).tolist()) for c in range(clouds) for i in range(members)]
+    rows += [(10_000 + i, rows[0][1]) for i in range(copies)] + [(20_000, [0.0] * dims), (20_001, None)]
+    return frame(rows, "id long, features array<double>")
+
+
+def test_the_index_finds_what_it_promises_from_few_pairs(frame):
+    items = _clouds(frame)
+    exact = {}
+    for r in S.similar_items(items, 5).collect():
+        exact.setdefault(r.item, {})[r.similar] = r.similarity
+    found, facts = S.indexed_similar_items(items, 5, recall=0.95, judged=128)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.item, {})[r.similar] = r.similarity
+    assert set(got) == set(exact) and all(len(v) == 5 for v in got.values())
+    hits = sum(s in exact[i] for i, near in got.items() for s in near)
+    assert hits >= 0.9 * sum(map(len, exact.values()))
+    assert all(abs(exact[i][s] - x) < 1e-9 for i, near in got.items() for s, x in near.items() if s in exact[i])
+    assert 0 < facts["share_of_pairs"] < 0.35 and facts["probes"] < facts["cells"]
+
+
+def test_all_cells_give_the_exact_answer(frame):
+    items = _clouds(frame, clouds=4, members=15)
+    found, facts = S.indexed_similar_items(items, 4, recall=1.0, judged=10_000)
+    key = lambda r: (r.item, r["rank"], r.similar)
+    assert sorted(map(key, found.collect())) == sorted(map(key, S.similar_items(items, 4).collect()))
+
+
+def test_an_index_over_nothing(frame):
+    found, facts = S.indexed_similar_items(frame([(1, [0.0, 0.0])], "id long, features array<double>"), 3)
+    assert found.collect() == [] and facts["cells"] == 0
