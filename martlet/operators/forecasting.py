@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 
 from martlet.functions.columns import date_key, divide_or_null, sample_skewness, week_end_sunday
 from martlet.operators.aggregates import exact_quantiles
+from martlet.operators.ordering import global_forward_fill
 from martlet.operators.projections import exclude_month, where_between, where_eq
 from martlet.operators.windows import fill
-from martlet.session import shuffle_width
 
 HORIZONS = {"day": 31, "week": 4, "month": 1}
 SEASONS = {"day": 7, "week": 52, "month": 12}
@@ -137,10 +137,22 @@ def fit_fill_values(train: DataFrame, columns: Sequence[str] | None = None) -> d
     return values
 
 
-def impute_by_skew(train: DataFrame, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Fill ``df`` with values learnt on ``train``; columns without any known value are left alone."""
-    known = {c: v for c, v in fit_fill_values(train, columns).items() if v is not None}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in known.items()}) if known else df
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def impute_by_skew(train: DataFrame, df: DataFrame, columns: Sequence[str] | None = None, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Fill ``df`` with values learnt on ``train``; columns without any known value are left alone.
+
+    Dates and times take the last known value before them in the ``order`` of rows (any number of rows, no single-task
+    window), and where there is none the most frequent one of ``train``; without an order they are left alone.
+    """
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, _DATES) and (columns is None or f.name in columns)] if order else []
+    learnt = None if columns is None else [c for c in columns if c not in dates]
+    known = {c: F.lit(v) for c, v in fit_fill_values(train, learnt).items() if v is not None}
+    if dates:
+        df = global_forward_fill(df, dates, *order)
+        known |= {c: train.filter(F.col(c).isNotNull()).groupBy(c).count().agg(F.max_by(c, F.struct("count", -F.unix_seconds(F.col(c).cast("timestamp"))))).scalar() for c in dates}
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in known.items()}) if known else df
 
 
 def forward_fill_dates(df: DataFrame, order: str, column: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -159,71 +171,133 @@ def seasonal_naive(df: DataFrame, season: int, keys: Sequence[str] = ()) -> Data
     return df.withColumn("predicted_sales", F.lag("sales", season).over(w))
 
 
-# -- automatic forecast: small numpy models, one series per group ---------------------------------------
+# -- automatic forecast: small linear models, all series of one length at a time -------------------------
+#
+# A model takes a matrix (series, steps), the number of steps ahead and the season, and gives (series, steps ahead), or
+# nothing where series of that length are too short for it.
 
+#: Numbers in the windows of the series that are handled together.
+WINDOW_CELLS = 4_000_000
+#: Added to normal equations of series between -1 and 1, so that flat series have a solution: the shortest one.
+RIDGE = 1e-9
 
-def _naive(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    last = y[-season:] if len(y) >= season else y[-1:]
-    return np.resize(last, h)
 
+def _naive(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    """The last season over and over."""
+    if y.shape[1] < season:
+        return None
+    return y[:, -season + np.arange(h) % season]
 
-def _average(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    return np.full(h, y[-max(season, 1) :].mean())
 
+def _last(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    return np.repeat(y[:, -1:], h, axis=1) if y.shape[1] else None
 
-def _trend(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    """Least squares on time and season position."""
-    t = np.arange(len(y) + h)
-    columns = [np.ones_like(t, dtype=float), t / max(len(y), 1)]
-    if 1 < season and len(y) >= 2 * season:
-        columns += [(t % season == s).astype(float) for s in range(1, season)]
+
+def _average(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    return np.repeat(y[:, -season:].mean(1, keepdims=True), h, axis=1) if y.shape[1] else None
+
+
+def _on_time(y: np.ndarray, h: int, season: int | None) -> np.ndarray:
+    """Least squares on time and, with a season, the place in it. The design is the same for all series of a length, so one
+    pseudo-inverse serves them all."""
+    steps = y.shape[1]
+    t = np.arange(steps + h)
+    columns = [np.ones(len(t)), t / max(steps, 1)]
+    columns += [(t % season == s).astype(float) for s in range(1, season or 1)]
     x = np.stack(columns, axis=1)
-    coef, *_ = np.linalg.lstsq(x[: len(y)], y, rcond=None)
-    return x[len(y) :] @ coef
+    return y @ np.linalg.pinv(x[:steps]).T @ x[steps:].T
+
 
+def _trend(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    return _on_time(y, h, None) if y.shape[1] >= 2 else None
 
-def _autoregression(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    """Least squares on the last season of lags, applied step by step."""
-    lags = max(2, min(season, 14))
-    if len(y) < 3 * lags:
-        return _naive(y, h, season)
-    x = np.stack([y[i : len(y) - lags + i] for i in range(lags)] + [np.ones(len(y) - lags)], axis=1)
-    coef, *_ = np.linalg.lstsq(x, y[lags:], rcond=None)
-    series = list(y)
-    for _ in range(h):
-        series.append(float(np.dot(series[-lags:], coef[:-1]) + coef[-1]))
-    return np.array(series[len(y) :])
+
+def _trend_season(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    return _on_time(y, h, season) if 1 < season and y.shape[1] >= 2 * season else None
+
+
+def _autoregression(y: np.ndarray, h: int, season: int) -> np.ndarray | None:
+    """Least squares on the last season of lags, applied step by step. Normal equations are summed over the windows of each
+    series and solved for many series at once."""
+    lags = max(2, season)
+    if y.shape[1] < 3 * lags:
+        return None
+    out = np.empty((len(y), h))
+    some = max(1, WINDOW_CELLS // ((y.shape[1] - lags) * (lags + 2)))
+    for start in range(0, len(y), some):
+        part = y[start : start + some]
+        scale = np.maximum(np.abs(part).max(1, keepdims=True), 1e-300)
+        part = part / scale
+        windows = np.lib.stride_tricks.sliding_window_view(part, lags + 1, axis=1)
+        x = np.concatenate([windows[..., :lags], np.ones((*windows.shape[:2], 1))], axis=2)
+        turned = x.transpose(0, 2, 1)
+        coef = np.linalg.solve(turned @ x + RIDGE * np.eye(lags + 1), turned @ windows[..., lags:])[..., 0]
+        recent = part[:, -lags:]
+        for step in range(h):
+            ahead = (recent * coef[:, :-1]).sum(1) + coef[:, -1]
+            out[start : start + some, step] = ahead * scale[:, 0]
+            recent = np.concatenate([recent[:, 1:], ahead[:, None]], axis=1)
+    return out
 
 
 CANDIDATES = {
     "seasonal_naive": _naive,
+    "last_value": _last,
     "moving_average": _average,
-    "trend_season": _trend,
+    "trend": _trend,
+    "trend_season": _trend_season,
     "autoregression": _autoregression,
 }
 
 
-def _error(actual: np.ndarray, predicted: np.ndarray) -> float:
+def _errors(actual: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """Mean absolute percentage error of each series; infinite where no actual differs from 0."""
     known = actual != 0
-    if not known.any():
-        return float("inf")
-    return float(np.mean(np.abs((actual[known] - predicted[known]) / actual[known])))
+    share = np.where(known, np.abs(np.where(known, actual - predicted, 0.0) / np.where(known, actual, 1.0)), 0.0)
+    count = known.sum(1)
+    return np.where(count > 0, share.sum(1) / np.maximum(count, 1), np.inf)
+
+
+def fit_length(y: np.ndarray, horizon: int, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forecasts, number of the chosen candidate, its error) of series of one length, the rows of ``y``.
+
+    Candidates are compared on the last ``horizon`` steps; those that the shorter series does not allow are out. The first
+    one wins ties, and series too short to hold anything out take the last value.
+    """
+    models = list(CANDIDATES.values())
+    held = y.shape[1] > horizon
+    errors = np.full((len(y), len(models)), np.inf)
+    possible = np.zeros(len(models), bool)
+    if held:
+        for i, model in enumerate(models):
+            guess = model(y[:, :-horizon], horizon, season)
+            if guess is not None:
+                possible[i], errors[:, i] = True, _errors(y[:, -horizon:], guess)
+    order = np.where(possible, errors, np.nan)
+    last = list(CANDIDATES).index("last_value")
+    best = np.nanargmin(order, axis=1) if possible.any() else np.full(len(y), last)
+    out = np.empty((len(y), horizon))
+    for i in np.unique(best):
+        own = best == i
+        out[own] = models[i](y[own], horizon, season)
+    return out, best, errors[np.arange(len(y)), best]
 
 
 def _fitter(horizon: int, season: int):
     """Vectorised over series: every element of the input is one series of at most calendar length."""
+    names = list(CANDIDATES)
 
     @F.pandas_udf("predicted array<double>, model string, mape double")
     def fit(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for y in series:
-            y = np.asarray(y, dtype=float)
-            train, test = (y[:-horizon], y[-horizon:]) if len(y) > horizon else (y, y[:0])
-            errors = {n: _error(test, f(train, horizon, season)[: len(test)]) for n, f in CANDIDATES.items()}
-            best = min(CANDIDATES, key=errors.get)  # first candidate on ties
-            error = errors[best] if np.isfinite(errors[best]) else None
-            rows.append((CANDIDATES[best](y, horizon, season), best, error))
-        return pd.DataFrame(rows, columns=["predicted", "model", "mape"])
+        lengths = series.map(len).to_numpy()
+        out = pd.DataFrame({"predicted": [None] * len(series), "model": None, "mape": None})
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            predicted, best, error = fit_length(np.stack(series.iloc[at].to_list()).astype(float), horizon, season)
+            out.loc[at, "predicted"] = pd.Series(list(predicted), index=at)
+            out.loc[at, "model"] = [names[i] for i in best]
+            out.loc[at, "mape"] = [e if np.isfinite(e) else None for e in error]
+        return out
 
     return fit
 
@@ -237,13 +311,10 @@ def forecast(
     """Forecast every resampled series ``horizon`` steps ahead: (keys, date, predicted_sales, model, mape).
 
     The candidate with the smallest error on the last ``horizon`` known steps is fitted on everything. Each
-    series becomes one array in Spark, so Python sees batches of many series instead of one group at a time.
+    series becomes one array in Spark, so Python sees batches of many series, and fits those of one length together.
     """
     horizon = horizon or HORIZONS[freq]
     step = F.struct("date", F.col("sales").cast("double").alias("sales"))
-    if keys:
-        # Fitting costs far more than its bytes suggest, so the width must not follow the bytes.
-        series = series.repartition(shuffle_width(series.sparkSession), *keys)
     packed = series.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     fitted = packed.select(
         *keys,

@@ -69,3 +69,20 @@ def global_running_sum(df: DataFrame, value: str, *keys: Column | str, name: str
     within = Window.partitionBy(_PART).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     summed = _with_offsets(rows, F.sum(value)).withColumn("_inner", F.sum(value).over(within))
     return summed.withColumn(name, F.col(_BASE) + F.col("_inner")).drop(_PART, _POS, _BASE, "_inner")
+
+
+def global_forward_fill(df: DataFrame, columns: Sequence[str], *keys: Column | str) -> DataFrame:
+    """Nulls of ``columns`` filled with the last known value before them in the order of ``keys``; leading nulls stay.
+
+    Tasks fill their own stretch; what a stretch ends with is one row, carried to the stretches behind it. End the keys
+    with an id, as for row numbers.
+    """
+    rows = _lay_out(df, [as_col(k) for k in keys])
+    ends = rows.groupBy(_PART).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(_POS))).alias(f"_end_{i}") for i, c in enumerate(columns)])
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(_PART, *[F.last(f"_end_{i}", ignorenulls=True).over(before).alias(f"_carry_{i}") for i in range(len(columns))])
+    upto = Window.partitionBy(_PART).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(F.broadcast(carried), _PART).withColumns(
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{i}")) for i, c in enumerate(columns)}
+    )
+    return filled.select(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from martlet.operators import forecasting as X
 from martlet.plans.registry import query, with_
@@ -178,6 +179,30 @@ def imputed_by_skew(t: Tables):
     return out.select("event_id", F.round("value", 6).alias("value"), F.round("who", 6).alias("who"), "kind")
 
 
+@query(
+    "F7",
+    """WITH e AS (SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN ts END AS seen, CASE WHEN event_id % 7 > 2 THEN CAST(ts AS DATE) END AS day,
+                         CASE WHEN event_type <> 'click' THEN value END AS value FROM events),
+            m AS (SELECT skewness(value) AS s, avg(value) AS a, median(value) AS q FROM e),
+            d AS (SELECT day FROM e WHERE day IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, day LIMIT 1),
+            t AS (SELECT seen FROM e WHERE seen IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, seen LIMIT 1),
+            w AS (SELECT event_id, value, last_value(seen IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen,
+                         last_value(day IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS day FROM e)
+       SELECT event_id, coalesce(w.seen, t.seen) AS seen, coalesce(w.day, d.day) AS day,
+              round(coalesce(value, CASE WHEN s <= 1 THEN a ELSE q END), 6) AS value FROM w, m, d, t""",
+)
+def imputed_with_dates(t: Tables):
+    """Dates and times carried forward in the order of the events, in the same step as the other columns."""
+    rows = t.scan("events").select(
+        "event_id",
+        F.when(~F.col("event_type").isin("error", "view"), F.col("ts")).alias("seen"),
+        F.when(F.col("event_id") % 7 > 2, F.to_date("ts")).alias("day"),
+        F.when(F.col("event_type") != "click", F.col("value")).alias("value"),
+    )
+    out = X.impute_by_skew(rows, rows, ["seen", "day", "value"], ["event_id"])
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query(
     "F9",
     with_(
@@ -215,6 +240,33 @@ def forecast_per_product_and_month(t: Tables):
     return X.forecast(X.resample_month(_series(t, ["product_id"]), ["product_id"]), "month", keys=["product_id"])
 
 
+@query(
+    "F8 F11",
+    with_(
+        """, m AS (SELECT product_id, last_day(d) AS date, sum(price) AS sales FROM delivered_fact GROUP BY 1, 2),
+             s AS (SELECT product_id, min(date) AS a, max(date) AS b FROM m GROUP BY 1)
+           SELECT product_id, last_day(CAST(b + INTERVAL 10 DAY AS DATE)) AS first_date, last_day(CAST(b + INTERVAL 10 DAY AS DATE)) AS last_date, CAST(1 AS BIGINT) AS steps,
+                  date_diff('month', a, b) > 0 AS has_error, true AS not_worse FROM s""",
+        FACT,
+        DELIVERED_FACT,
+    ).replace(") , m AS", "), m AS"),
+)
+def forecast_facts_per_product(t: Tables):
+    """Every product is forecast for its next month, and no simple model would have done better on the month held out."""
+    monthly = X.resample_month(_series(t, ["product_id"]), ["product_id"])
+    w = Window.partitionBy("product_id").orderBy("date")
+    simple = monthly.select("product_id", "sales", F.lag("sales").over(w).alias("last"), F.lag("sales", 12).over(w).alias("naive"), F.lead("date").over(w).alias("_next")).filter("_next is null")
+    off = lambda c: F.when(F.col("sales") != 0, F.abs((F.col("sales") - F.col(c)) / F.col("sales")))
+    ahead = X.forecast(monthly, "month", keys=["product_id"]).groupBy("product_id").agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("steps"), F.max("mape").alias("mape")
+    )
+    joined = ahead.join(simple, "product_id")
+    least = F.least(off("last"), off("naive"))
+    return joined.select(
+        "product_id", "first_date", "last_date", "steps", (F.col("mape").isNotNull()).alias("has_error"), F.coalesce(F.col("mape") <= least + 1e-9, F.lit(True)).alias("not_worse")
+    )
+
+
 @query("F10 S5")
 def forecast_rows_stored(t: Tables):
     path = t.scratch("forecast")
