@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from martlet.operators import aggregates as A
+from martlet.operators import profiles as PR
 from martlet.operators import topk as K
 from martlet.operators import windows as W
 from martlet.plans.registry import query, with_
 from martlet.plans.tables import DELIVERED_FACT, FACT, RUNS, Tables
+from martlet.sources.writers import append_path
 from martlet.operators.drift import drift_scores, metric_history
 
 
@@ -353,6 +355,46 @@ def column_profile_quantiles(t: Tables):
     return A.profile_quantiles(t.scan("lineitem"), PROFILED, [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_MERGED_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, round(min({c}), 4)::DOUBLE AS min_number, round(max({c}), 4)::DOUBLE AS max_number,
+        NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, round(avg({c}), 4) AS mean, round(stddev({c}), 4) AS stddev, true AS distinct_in_bounds, true AS median_in_bounds FROM lineitem"""
+    for c in _NUMBERS
+) + " UNION ALL " + " UNION ALL ".join(
+    f"""SELECT '{c}', count(*), count(*) - count({c}), NULL, NULL, min({x}), max({x}), NULL, NULL, true, NULL FROM lineitem"""
+    for c, x in (("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"), ("l_shipdate", "CAST(l_shipdate AS VARCHAR)"))
+)
+
+
+@query("A25", _MERGED_SQL)
+def column_profile_merged(t: Tables):
+    """All columns of the items: a state for each month, stored, read back and merged, held against exact counts and ranks."""
+    path, items = t.scratch("profile"), t.scan("lineitem")
+    monthly = items.withColumn("month", F.trunc("l_shipdate", "month"))
+    append_path(PR.profile_states(monthly, ["month"]), path)
+    out = PR.read_states(PR.merge_states(t.spark.read.parquet(path)), [0.5])
+    counts = [F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias("exact")) for c in items.columns]
+    exact = items.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
+    medians = out.filter("quantiles is not null").select("column", F.get("quantiles", F.lit(0)).alias("median"))
+    value = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in _NUMBERS]), F.array(*[F.col(c).cast("double") for c in _NUMBERS])), F.col("column"))
+    below = items.withColumn("_medians", medians.agg(F.collect_list(F.struct("column", "median"))).scalar())
+    ranks = below.select(*_NUMBERS, F.inline("_medians")).groupBy("column").agg(
+        F.avg((value < F.col("median")).cast("double")).alias("under"), F.avg((value <= F.col("median")).cast("double")).alias("upto")
+    )
+    joined = out.join(exact, "column").join(ranks, "column", "left")
+    return joined.select(
+        "column",
+        "rows",
+        "nulls",
+        *[r(c, 4) for c in ("min_number", "max_number")],
+        "min_text",
+        "max_text",
+        *[r(c, 4) for c in ("mean", "stddev")],
+        F.col("exact").between(F.col("distinct_low"), F.col("distinct_high")).alias("distinct_in_bounds"),
+        ((F.col("under") <= 0.5 + PR.RANK_ERROR) & (F.col("upto") >= 0.5 - PR.RANK_ERROR)).alias("median_in_bounds"),
+    )
+
+
 @query(
     "A26",
     """SELECT CAST(i AS INTEGER) - 1 AS dimension, round(avg(abs(CAST(w AS DOUBLE))), 6) AS importance
