@@ -11,6 +11,7 @@ from martlet.functions.columns import cosine
 from martlet.operators import interactions as I
 from martlet.operators import recommender as R
 from martlet.operators import similarity as S
+from martlet.operators import topitems as TI
 from martlet.operators import tuning as TU
 from martlet.operators.aggregates import sum_count_per, sum_of_groups, time_bounds
 from martlet.operators.ordering import global_row_number
@@ -223,6 +224,24 @@ def similar_items(t: Tables):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "R9 R6",
+    with_('SELECT "userId", 10 AS listed, true AS same_scores, true AS same_items FROM user_idx', FACT, DELIVERED_FACT, USER_IDX),
+)
+def als_top_items(t: Tables):
+    """Best items of every user by blocks in order of length, held against the model's own all-by-all lists."""
+    pairs, _, _ = I.interactions(t.delivered())
+    model = R.fit_als(pairs)
+    mine = TI.recommend_exactly(model, 10).lists
+    other = R.recommend(model, 10).select("userId", F.col("recommendations").alias("others"))
+    off = F.zip_with("recommendations", "others", lambda a, b: F.abs(a["rating"] - b["rating"]))
+    # Where two neighbouring scores differ by less than a float tells, either item may come first.
+    ids = F.zip_with("recommendations", "others", lambda a, b: (a["itemId"] == b["itemId"]) | F.exists("others", lambda o: (o["itemId"] == a["itemId"]) & (F.abs(o["rating"] - a["rating"]) < 1e-5)) | (F.abs(a["rating"] - F.element_at("others", -1)["rating"]) < 1e-5))
+    return mine.join(other, "userId").select(
+        "userId", F.size("recommendations").alias("listed"), (F.array_max(off) < 1e-5).alias("same_scores"), F.forall(ids, lambda x: x).alias("same_items")
+    )
+
+
 LETTERS = "etaoinshrdlucmfwygpbvkéñçã"
 _PROFILE_SQL = ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE / length(t)" for c in LETTERS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from martlet.operators import enrichment as E
 from martlet.operators import segments as S
 from martlet.plans.registry import query
 from martlet.plans.tables import Tables
+from martlet.sources import writers
 
 SYSTEM = "Rate product reviews of a shop by how likely the product was defective."
 INSTRUCTION = "Give every review of the JSON array a defect score between 0.0 and 1.0 and answer with the list of scores only."
@@ -118,6 +121,30 @@ def parsed_defect_scores(t: Tables):
     return E.parse_scores(_replies(t))[0]
 
 
+@query(
+    "S4 X7",
+    f"""WITH {NUMBERED}, scored AS (SELECT doc_id AS review_id, text AS review, CASE WHEN (i // 20) % 5 NOT IN (1, 2) THEN CAST((doc_id % 10) / 10 AS FLOAT) END AS defect_score
+          FROM numbered WHERE (i // 20) % 5 <> 3)
+        SELECT *, (SELECT count(*) FROM scored) AS rows_after_failure, 2::BIGINT AS columns_before FROM scored""",
+)
+def score_table_replaced(t: Tables):
+    """The score table written without texts, replaced by one with texts; a replacement that fails in between changes nothing."""
+    database, folder = f"scores_{uuid.uuid4().hex}", t.scratch("scores")
+    t.spark.sql(f"CREATE DATABASE {database}")
+    name, scores = f"{database}.reviews_defect", E.parse_scores(_replies(t))[0]
+    writers.replace_table(scores.select("review_id", "defect_score"), name, folder)
+    before = len(t.spark.table(name).columns)
+    broken = scores.withColumn("defect_score", F.when(F.col("review_id") % 7 == 3, F.raise_error(F.lit("lost")).cast("float")).otherwise(F.col("defect_score")))
+    try:
+        writers.replace_table(broken, name, folder)
+    except Exception as error:  # noqa: BLE001 - the failure is the point
+        if "lost" not in str(error):
+            raise
+    kept = t.spark.table(name).count()
+    writers.replace_table(scores, name, folder, check=lambda df: not df.isEmpty())
+    return t.spark.table(name).withColumns({"rows_after_failure": F.lit(kept).cast("long"), "columns_before": F.lit(before).cast("long")})
+
+
 @query(
     "X6",
     f"""WITH {NUMBERED} SELECT i // 20 AS batch_no, CAST(count(*) AS INTEGER) AS n_items, CAST(count(*) - 1 AS INTEGER) AS n_scores

@@ -108,3 +108,31 @@ def test_literal_table_keeps_types_and_nulls(spark):
     df = readers.literal_table(spark, [(1, None), (2, "x")], "a int, b string")
     assert df.dtypes == [("a", "int"), ("b", "string")]
     assert readers.literal_table(spark, [], "a int, b string").count() == 0
+
+
+def test_replacing_a_table_keeps_the_old_rows_until_the_new_ones_are_there(spark, frame, database, tmp_path):
+    name, folder = f"{database}.scores", str(tmp_path / "tables")
+    first = writers.replace_table(frame([(1, 0.5), (2, None)], "id int, score double"), name, folder)
+    reader = spark.table(name)
+    broken = spark.range(100).select(F.when(F.col("id") == 57, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).alias("text"))
+    with pytest.raises(Exception, match="lost"):
+        writers.replace_table(broken, name, folder)
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, 0.5), (2, None)]
+    assert len(list((tmp_path / "tables" / name).iterdir())) == 1
+    writers.replace_table(frame([("a", 3)], "text string, n int"), name, folder)
+    assert [tuple(r) for r in spark.table(name).collect()] == [("a", 3)]
+    assert reader.count() == 2  # a query that began before
+    writers.replace_table(frame([("b", 4)], "text string, n int"), name, folder)
+    assert not (tmp_path / "tables" / name / first.rsplit("/", 1)[-1]).exists()
+
+
+def test_a_table_may_be_replaced_from_itself_and_be_checked(spark, frame, database, tmp_path):
+    name, folder = f"{database}.counts", str(tmp_path)
+    writers.replace_table(frame([(1,), (2,)], "n int"), name, folder)
+    writers.replace_table(spark.table(name).select((F.col("n") * 10).alias("n")), name, folder)
+    with pytest.raises(ValueError, match="check"):
+        writers.replace_table(spark.table(name).filter("n > 100"), name, folder, check=lambda df: not df.isEmpty())
+    assert sorted(r.n for r in spark.table(name).collect()) == [10, 20]
+    writers.write_table(frame([(1,)], "n int"), f"{database}.plain")
+    with pytest.raises(ValueError, match="plain table"):
+        writers.replace_table(frame([(2,)], "n int"), f"{database}.plain", folder)
