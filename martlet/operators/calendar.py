@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from martlet.functions.columns import date_key
 from martlet.operators.holidays import MONDAY_TO_FRIDAY, holidays
@@ -304,12 +305,16 @@ def custom_periods(
 def fiscal_weeks(periods: DataFrame, pattern: str = "445", first_dow: int = 0) -> DataFrame:
     """Days of weekly fiscal years with their week, 4-week period, month and quarter.
 
-    A 53rd week belongs to the last month and quarter and forms period 14 of its own.
+    A 53rd week belongs to the last month and quarter and forms period 14 of its own. Spans and previous periods follow
+    from the start of the year, the week and the pattern; nothing is joined.
     """
     if pattern not in QUARTER_PATTERNS:
         raise ValueError(f"unsupported quarter pattern {pattern!r}")
     in_first, in_second, _ = QUARTER_PATTERNS[pattern]
-    days = periods.withColumn("date", date_series(F.col("fw_start_of_year"), F.col("fw_end_of_year")))
+    # One row a year; the year before is the only thing that a day's own year does not tell.
+    earlier = F.lag(F.struct("fw_year_number", F.col("fw_start_of_year").alias("start"), F.col("fw_end_of_year").alias("end"))).over(Window.orderBy("fw_year_number"))
+    known = periods.withColumn("_before", earlier).withColumn("_before", F.when(F.col("_before.fw_year_number") == F.col("fw_year_number") - 1, F.col("_before")))
+    days = known.withColumn("date", date_series(F.col("fw_start_of_year"), F.col("fw_end_of_year")))
     d, year = F.col("date"), F.col("fw_year_number")
     day_of_year = F.datediff(d, "fw_start_of_year") + 1
     week = F.ceil(day_of_year / 7).cast("int")
@@ -352,49 +357,60 @@ def fiscal_weeks(periods: DataFrame, pattern: str = "445", first_dow: int = 0) -
             for c in ("fw_quarter", "fw_month", "fw_week")
         }
     )
+    return _fiscal_previous_dates(_with_fiscal_spans(labelled, pattern), pattern)
+
+
+def _span(level: str, number: Column, start: Column, end: Column, pattern: str) -> tuple[Column, Column]:
+    """First and last day of a fiscal month or quarter of the year from ``start`` to ``end``. The last one takes the 53rd
+    week; a year that ends early cuts what does not fit."""
+    if level == "quarter":
+        first, weeks, last = (number - 1) * 13, F.lit(13), number == 4
+    else:
+        lengths = QUARTER_PATTERNS[pattern]
+        place = (number - 1) % 3
+        before = F.when(place == 0, 0).when(place == 1, lengths[0]).otherwise(lengths[0] + lengths[1])
+        first = F.floor((number - 1) / 3).cast("int") * 13 + before
+        weeks, last = F.when(place == 0, lengths[0]).when(place == 1, lengths[1]).otherwise(lengths[2]), number == 12
+    begins = F.date_add(start, (first * 7).cast("int"))
+    return begins, F.when(last, end).otherwise(F.least(F.date_add(begins, (weeks * 7 - 1).cast("int")), end))
+
+
+def _with_fiscal_spans(df: DataFrame, pattern: str) -> DataFrame:
+    """Bounds of the fiscal month and quarter of each day."""
+    bounds = {}
     for level in ("month", "quarter"):
-        labelled = _with_fiscal_span(labelled, level)
-    return _fiscal_previous_dates(labelled)
-
-
-def _with_fiscal_span(df: DataFrame, level: str) -> DataFrame:
-    """Bounds of the fiscal month or quarter of each day, from a table with one row per period."""
-    key = f"fw_year_{level}_number"
-    spans = df.groupBy(key).agg(F.min("date").alias(f"fw_start_of_{level}"), F.max("date").alias(f"fw_end_of_{level}"))
-    return df.join(spans, key, "left").withColumns(
-        {
-            f"fw_{level}_days": F.datediff(f"fw_end_of_{level}", f"fw_start_of_{level}") + 1,
-            f"fw_day_of_{level}_number": F.datediff("date", f"fw_start_of_{level}") + 1,
-        }
-    )
+        start, end = _span(level, F.col(f"fw_{level}_number"), F.col("fw_start_of_year"), F.col("fw_end_of_year"), pattern)
+        bounds |= {f"fw_start_of_{level}": start, f"fw_end_of_{level}": end}
+    placed = df.withColumns(bounds)
+    lengths = {}
+    for level in ("month", "quarter"):
+        lengths[f"fw_{level}_days"] = F.datediff(f"fw_end_of_{level}", f"fw_start_of_{level}") + 1
+        lengths[f"fw_day_of_{level}_number"] = F.datediff("date", f"fw_start_of_{level}") + 1
+    return placed.withColumns(lengths)
 
 
-def _fiscal_previous_dates(df: DataFrame) -> DataFrame:
-    """Counterpart of each day in the previous fiscal week, month, quarter and year.
+def _fiscal_previous_dates(df: DataFrame, pattern: str) -> DataFrame:
+    """Counterpart of each day in the previous fiscal week, month, quarter and year, from the bounds of its year and of the
+    year before (``_before``, null where there is none).
 
     The last day of a period maps to the last day of the one before; other days keep their number in the
     period as far as the earlier one is long enough.
     """
-    out = df.withColumn("fw_date_previous_week", F.date_sub("date", 7))
-    for level, key in (
-        ("month", "fw_year_month_number"),
-        ("quarter", "fw_year_quarter_number"),
-        ("year", "fw_year_number"),
-    ):
-        earlier = df.select(
-            (F.col(key) + 1).alias(key),
-            F.col(f"fw_start_of_{level}").alias("_start"),
-            F.col(f"fw_end_of_{level}").alias("_end"),
-        ).distinct()
-        number = F.col(f"fw_day_of_{level}_number")
-        same_day = F.least(F.date_add("_start", number - 1), F.col("_end"))
-        previous = F.when(number == F.col(f"fw_{level}_days"), F.col("_end")).otherwise(same_day)
-        out = (
-            out.join(earlier, key, "left")
-            .withColumn(f"fw_date_previous_{level}", F.when(F.col("_end").isNotNull(), previous))
-            .drop("_start", "_end")
-        )
-    return out
+    start, end, before = F.col("fw_start_of_year"), F.col("fw_end_of_year"), F.col("_before")
+    previous = {"fw_date_previous_week": F.date_sub("date", 7)}
+    for level, most in (("month", 12), ("quarter", 4), ("year", 1)):
+        number = F.col(f"fw_{level}_number") if level != "year" else F.lit(1)
+        inside = number > 1
+        if level == "year":
+            first, last = before["start"], before["end"]
+        else:
+            there = F.when(inside, number - 1).otherwise(most)
+            first, last = _span(level, there, F.when(inside, start).otherwise(before["start"]), F.when(inside, end).otherwise(before["end"]), pattern)
+        day = F.col(f"fw_day_of_{level}_number")
+        same_day = F.least(F.date_add(first, (day - 1).cast("int")), last)
+        # A year before that ends early may not have its last month or quarter.
+        previous[f"fw_date_previous_{level}"] = F.when(inside | (first <= before["end"]), F.when(day == F.col(f"fw_{level}_days"), last).otherwise(same_day))
+    return df.withColumns(previous).drop("_before")
 
 
 def calendar(

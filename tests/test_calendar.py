@@ -159,3 +159,29 @@ def test_bad_settings(bounds):
         C.weekly_periods(bounds, week_rule="Next")
     with pytest.raises(ValueError):
         C.calendar(bounds, kind="Lunar")
+
+
+def test_fiscal_weeks_join_nothing_and_reach_over_short_years(spark):
+    """The year 2021 ends after 40 weeks, 2022 is missing."""
+    periods = [(2020, dt.date(2019, 12, 29), dt.date(2021, 1, 2)), (2021, dt.date(2021, 1, 3), dt.date(2021, 10, 9)), (2023, dt.date(2023, 1, 1), dt.date(2023, 12, 30))]
+    weeks = C.fiscal_weeks(C.custom_periods(spark, periods), "454")
+    assert "Join" not in weeks._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.date: r for r in weeks.collect()}
+    spans = {}
+    for r in rows.values():
+        for level in ("month", "quarter", "year"):
+            key = (level, r[f"fw_year_{level}_number"] if level != "year" else r.fw_year_number)
+            low, high = spans.get(key, (r.date, r.date))
+            spans[key] = (min(low, r.date), max(high, r.date))
+    for r in rows.values():
+        for level in ("month", "quarter", "year"):
+            number = r[f"fw_year_{level}_number"] if level != "year" else r.fw_year_number
+            low, high = spans[level, number]
+            assert (r[f"fw_start_of_{level}"], r[f"fw_end_of_{level}"]) == (low, high)
+            earlier = spans.get((level, number - 1))
+            if earlier is None:
+                assert r[f"fw_date_previous_{level}"] is None
+            elif r.date == high:
+                assert r[f"fw_date_previous_{level}"] == earlier[1]
+            else:
+                assert r[f"fw_date_previous_{level}"] == min(earlier[0] + (r.date - low), earlier[1])
