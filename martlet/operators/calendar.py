@@ -360,33 +360,29 @@ def fiscal_weeks(periods: DataFrame, pattern: str = "445", first_dow: int = 0) -
     return _fiscal_previous_dates(_with_fiscal_spans(labelled, pattern), pattern)
 
 
-def _span(level: str, number: Column, start: Column, end: Column, pattern: str) -> tuple[Column, Column]:
-    """First and last day of a fiscal month or quarter of the year from ``start`` to ``end``. The last one takes the 53rd
-    week; a year that ends early cuts what does not fit."""
+def _span(level: str, number: str, start: str, end: str, pattern: str) -> tuple[str, str]:
+    """First and last day of a fiscal month or quarter of the year from ``start`` to ``end``, as expressions. The last one
+    takes the 53rd week; a year that ends early cuts what does not fit."""
     if level == "quarter":
-        first, weeks, last = (number - 1) * 13, F.lit(13), number == 4
+        first, weeks, last = f"13 * ({number} - 1)", "13", f"{number} = 4"
     else:
-        lengths = QUARTER_PATTERNS[pattern]
-        place = (number - 1) % 3
-        before = F.when(place == 0, 0).when(place == 1, lengths[0]).otherwise(lengths[0] + lengths[1])
-        first = F.floor((number - 1) / 3).cast("int") * 13 + before
-        weeks, last = F.when(place == 0, lengths[0]).when(place == 1, lengths[1]).otherwise(lengths[2]), number == 12
-    begins = F.date_add(start, (first * 7).cast("int"))
-    return begins, F.when(last, end).otherwise(F.least(F.date_add(begins, (weeks * 7 - 1).cast("int")), end))
+        one, two, three = QUARTER_PATTERNS[pattern]
+        place, quarter = f"({number} - 1) % 3", f"cast(({number} - 1) div 3 as int)"
+        first = f"13 * {quarter} + element_at(array(0, {one}, {one + two}), {place} + 1)"
+        weeks, last = f"element_at(array({one}, {two}, {three}), {place} + 1)", f"{number} = 12"
+    begins = f"date_add({start}, 7 * ({first}))"
+    return begins, f"if({last}, {end}, least(date_add({begins}, 7 * {weeks} - 1), {end}))"
 
 
 def _with_fiscal_spans(df: DataFrame, pattern: str) -> DataFrame:
     """Bounds of the fiscal month and quarter of each day."""
-    bounds = {}
+    bounds, lengths = {}, {}
     for level in ("month", "quarter"):
-        start, end = _span(level, F.col(f"fw_{level}_number"), F.col("fw_start_of_year"), F.col("fw_end_of_year"), pattern)
-        bounds |= {f"fw_start_of_{level}": start, f"fw_end_of_{level}": end}
-    placed = df.withColumns(bounds)
-    lengths = {}
-    for level in ("month", "quarter"):
-        lengths[f"fw_{level}_days"] = F.datediff(f"fw_end_of_{level}", f"fw_start_of_{level}") + 1
-        lengths[f"fw_day_of_{level}_number"] = F.datediff("date", f"fw_start_of_{level}") + 1
-    return placed.withColumns(lengths)
+        start, end = _span(level, f"fw_{level}_number", "fw_start_of_year", "fw_end_of_year", pattern)
+        bounds |= {f"fw_start_of_{level}": F.expr(start), f"fw_end_of_{level}": F.expr(end)}
+        lengths[f"fw_{level}_days"] = F.expr(f"datediff(fw_end_of_{level}, fw_start_of_{level}) + 1")
+        lengths[f"fw_day_of_{level}_number"] = F.expr(f"datediff(date, fw_start_of_{level}) + 1")
+    return df.withColumns(bounds).withColumns(lengths)
 
 
 def _fiscal_previous_dates(df: DataFrame, pattern: str) -> DataFrame:
@@ -396,20 +392,17 @@ def _fiscal_previous_dates(df: DataFrame, pattern: str) -> DataFrame:
     The last day of a period maps to the last day of the one before; other days keep their number in the
     period as far as the earlier one is long enough.
     """
-    start, end, before = F.col("fw_start_of_year"), F.col("fw_end_of_year"), F.col("_before")
-    previous = {"fw_date_previous_week": F.date_sub("date", 7)}
+    previous = {"fw_date_previous_week": F.expr("date_sub(date, 7)")}
     for level, most in (("month", 12), ("quarter", 4), ("year", 1)):
-        number = F.col(f"fw_{level}_number") if level != "year" else F.lit(1)
-        inside = number > 1
-        if level == "year":
-            first, last = before["start"], before["end"]
-        else:
-            there = F.when(inside, number - 1).otherwise(most)
-            first, last = _span(level, there, F.when(inside, start).otherwise(before["start"]), F.when(inside, end).otherwise(before["end"]), pattern)
-        day = F.col(f"fw_day_of_{level}_number")
-        same_day = F.least(F.date_add(first, (day - 1).cast("int")), last)
+        first, last, inside = "_before.start", "_before.end", "false"
+        if level != "year":
+            inside = f"fw_{level}_number > 1"
+            there = f"if({inside}, fw_{level}_number - 1, {most})"
+            first, last = _span(level, there, f"if({inside}, fw_start_of_year, _before.start)", f"if({inside}, fw_end_of_year, _before.end)", pattern)
+        day = f"fw_day_of_{level}_number"
+        counterpart = f"if({day} = fw_{level}_days, {last}, least(date_add({first}, {day} - 1), {last}))"
         # A year before that ends early may not have its last month or quarter.
-        previous[f"fw_date_previous_{level}"] = F.when(inside | (first <= before["end"]), F.when(day == F.col(f"fw_{level}_days"), last).otherwise(same_day))
+        previous[f"fw_date_previous_{level}"] = F.expr(f"if({inside} or {first} <= _before.end, {counterpart}, null)")
     return df.withColumns(previous).drop("_before")
 
 
