@@ -3,6 +3,7 @@
 from martlet.plans import (  # noqa: F401 - importing registers the queries
     aggregate,
     calendars,
+    facts,
     forecasts,
     monitoring,
     recommend,
