@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.functions.columns import blank_as_null
 from martlet.operators.ordering import global_row_number
-from martlet.session import shuffle_width
 
 MAX_CHARS = 45_000
 MAX_ITEMS = 900
@@ -53,8 +53,8 @@ def _rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
-    """Even partitions whatever the ids look like; the width follows the cluster."""
-    return df.repartition(partitions or shuffle_width(df.sparkSession))
+    """Even partitions whatever the ids look like: of a size in bytes that the session advises, or as many as asked."""
+    return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
 def batch_by_size(
@@ -147,9 +147,59 @@ def enrich(
     return source.mapInPandas(work, schema)
 
 
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that stand for an id with its text, so that texts are not moved to find results again."""
+    return [F.xxhash64(id_col, text_col).alias("_key"), F.xxhash64(text_col).alias("_text_key")]
+
+
 def add_enrichment(df: DataFrame, enriched: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Join results back on id and text, so a repeated id neither multiplies rows nor mixes up texts."""
-    return df.join(enriched, [id_col, text_col], "left")
+    results = enriched.select(*_keys(id_col, text_col), *[c for c in enriched.columns if c not in (id_col, text_col)])
+    return df.select("*", *_keys(id_col, text_col)).join(results, ["_key", "_text_key"], "left").drop("_key", "_text_key")
+
+
+def stored_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Outcomes of all requests written so far; no rows where none were."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def enrich_stored(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    fn: EnrichFn,
+    output: str,
+    path: str,
+    output_type: str = "string",
+    waves: int = 1,
+    **options,
+) -> DataFrame:
+    """Enrich distinct texts with a memory: (id, text, output, output_error, attempts), one row per pair of ``df``.
+
+    Every outcome is appended under ``path``, and only pairs without a result there are asked for, so a run that follows
+    repeats requests that failed and pairs that are new, nothing else. Pairs go in ``waves`` of about equal size; a wave is
+    in the store before the next one starts, and a lost executor or driver repeats its part of one wave at most.
+    """
+    spark, error = df.sparkSession, f"{output}_error"
+    pairs = texts_to_enrich(df, id_col, text_col).select("*", *_keys(id_col, text_col))
+    id_type = pairs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {id_type}, `{text_col}` string, `{output}` {output_type}, `{error}` string, _key long, _text_key long"
+    for wave in range(waves):
+        own = pairs if waves == 1 else pairs.filter(F.pmod(F.xxhash64("_key", F.lit("wave")), F.lit(waves)) == wave)
+        answered = stored_results(spark, path, schema).filter(F.col(error).isNull()).select("_key", "_text_key")
+        todo = own.join(answered, ["_key", "_text_key"], "left_anti")
+        asked = enrich(todo, id_col, text_col, fn, output, output_type, **options)
+        asked.select("*", *_keys(id_col, text_col)).write.mode("append").parquet(path)
+    outcome = F.struct(F.col(output), F.col(error))
+    best = stored_results(spark, path, schema).groupBy("_key", "_text_key").agg(
+        F.max_by(outcome, F.struct(F.col(error).isNull(), F.col(error))).alias("_best"), F.count(F.lit(1)).alias("attempts")
+    )
+    return pairs.join(best, ["_key", "_text_key"], "left").select(id_col, text_col, "_best.*", "attempts")
 
 
 def enrich_columns(

@@ -84,6 +84,32 @@ def enriched_conversations(t: Tables):
     return E.add_enrichment(turns, enriched, "conv_id", "text").select("conv_id", "turn", "role", "text_en")
 
 
+def first_try(texts: list[str]) -> list[str]:
+    if any(len(text) % 5 == 0 for text in texts):
+        raise TimeoutError("no answer")
+    return [f"1:{text}" for text in texts]
+
+
+def second_try(texts: list[str]) -> list[str]:
+    if any(len(text) % 15 == 0 for text in texts):
+        raise TimeoutError("no answer again")
+    return [f"2:{text}" for text in texts]
+
+
+@query(
+    "X4",
+    """SELECT conv_id, text, CASE WHEN length(text) % 5 <> 0 THEN '1:' || text WHEN length(text) % 15 <> 0 THEN '2:' || text END AS text_en,
+              CASE WHEN length(text) % 15 = 0 THEN 'TimeoutError: no answer again' END AS text_en_error, CASE WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts
+       FROM (SELECT DISTINCT conv_id, text FROM conversations WHERE trim(text) <> '')""",
+)
+def enrichment_taken_up_again(t: Tables):
+    """Requests of one text; a second run asks again for those that failed only, and one error stays in its column."""
+    turns, path = t.scan("conversations"), t.scratch("answers")
+    once = {"retries": 0, "wait": 0.0, "max_items": 1}
+    E.enrich_stored(turns, "conv_id", "text", first_try, "text_en", path, waves=2, **once)
+    return E.enrich_stored(turns, "conv_id", "text", second_try, "text_en", path, **once)
+
+
 def _json_sql(column: str) -> str:
     return f"to_json(list({column} ORDER BY doc_id))"
 

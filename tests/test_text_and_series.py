@@ -47,6 +47,36 @@ def test_enrichment_and_errors(frame):
     assert len(bad) == 2 and all(r.en is None and "ZeroDivisionError" in r.en_error for r in bad)
 
 
+def test_a_run_that_follows_repeats_only_what_failed(spark, frame, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def service(broken):
+        def answer(texts):
+            calls.add(len(texts))
+            if broken & set(texts):
+                raise ValueError("busy")
+            return [t.upper() for t in texts]
+
+        return answer
+
+    path, once = str(tmp_path / "answers"), {"retries": 0, "wait": 0.0, "max_items": 1}
+    df = frame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (3, "a"), (4, " ")], "id int, text string")
+    first = E.enrich_stored(df, "id", "text", service({"b"}), "up", path, waves=3, **once).collect()
+    assert {(r.id, r.text): (r.up, r.up_error, r.attempts) for r in first} == {
+        (1, "a"): ("A", None, 1), (2, "b"): (None, "ValueError: busy", 1), (None, "c"): ("C", None, 1), (3, "a"): ("A", None, 1)
+    }
+    assert calls.value == 4
+    more = df.union(frame([(5, "d")], "id int, text string"))
+    second = E.enrich_stored(more, "id", "text", service(set()), "up", path, **once).collect()
+    assert calls.value == 6 and {(r.id, r.up, r.attempts) for r in second} == {(1, "A", 1), (2, "B", 2), (None, "C", 1), (3, "A", 1), (5, "D", 1)}
+
+
+def test_requests_are_spread_by_bytes(frame):
+    df = frame([(i, f"text {i}") for i in range(50)], "id int, text string")
+    plan = E.enrich(df, "id", "text", shout, "en")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
+
+
 def test_several_columns_all_survive(frame):
     df = frame([(1, "a", "x"), (2, None, "y")], "id int, t string, m string")
     out = E.enrich_columns(df, "id", ["t", "m"], shout).orderBy("id").collect()
