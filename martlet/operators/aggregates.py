@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
-from martlet.operators.ordering import global_running_sum, null_safe_join
+from martlet.operators.ordering import global_running_sum, null_safe_join, rank_within
+from martlet.session import stable
 
 
 def key_stats(df: DataFrame, keys: dict[str, str], per: str) -> DataFrame:
@@ -185,32 +186,35 @@ def sales_by_date(fact: DataFrame, date: Column, price: str) -> DataFrame:
     return fact.groupBy(date.alias("date")).agg(F.sum(price).alias("sales")).orderBy("date")
 
 
-def list_per(df: DataFrame, by: str, column: str, name: str = "values", max_len: int = 1_000_000) -> DataFrame:
-    """Sorted list of values per key.
+def list_rows(df: DataFrame, by: str, column: str) -> DataFrame:
+    """Lists in long form: (by, position, value), the values of a key in order, positions from 1. A key may have any number
+    of values and span any number of tasks."""
+    known = df.filter(F.col(column).isNotNull()).select(by, F.col(column).alias("value"))
+    return rank_within(known, [by], "value", name="position").select(by, "position", "value")
 
-    A key with more than ``max_len`` values gets several rows, numbered by ``part``; the values are
-    spread over the parts by hash, so the parts together hold all of them. Other keys have part 0 only.
-    """
-    known = df.filter(F.col(column).isNotNull())
-    pairs = known.groupBy(by, column).agg(F.count(F.lit(1)).alias("_n"))
-    # Mostly empty, in which case the adaptive plan drops the join.
-    sizes = known.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > max_len).select(by, F.ceil(F.col("_size") / max_len).alias("_parts"))
-    split = null_safe_join(pairs, large, [by], "left").withColumn(
-        "part", F.pmod(F.xxhash64(column), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    )
-    repeated = F.flatten(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(column).alias("v"), F.col("_n").cast("int").alias("n")))),
-            lambda e: F.array_repeat(e["v"], e["n"]),
-        )
-    )
-    return split.groupBy(by, "part").agg(repeated.alias(name))
 
+def list_per(df: DataFrame, by: str, column: str, name: str = "values", max_len: int = 1_000_000) -> DataFrame:
+    """Sorted list of values per key in chunks: (by, part, values).
 
-def joined_list_per(df: DataFrame, by: str, column: str, separator: str = ", ", name: str = "joined") -> DataFrame:
+    Part 0 has the first ``max_len`` values of a key, part 1 the next ones, and so on, so the chunks in order are the whole
+    list, however long. Only keys that need a second chunk have their values numbered.
+    """
+    known = df.filter(F.col(column).isNotNull()).select(by, F.col(column).alias("_value"))
+    listed = F.array_sort(F.collect_list("_value")).alias(name)
+    whole = known.groupBy(by)
+    large = known.groupBy(by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > max_len).select(by)
+    if large.isEmpty():
+        return whole.agg(listed).select(by, F.lit(0).alias("part"), name)
+    marked = null_safe_join(known, stable(large).withColumn("_large", F.lit(True)), [by], "left")
+    whole = marked.filter("_large is null").groupBy(by).agg(listed).select(by, F.lit(0).alias("part"), name)
+    numbered = list_rows(marked.filter("_large"), by, "_value").withColumn("part", F.floor((F.col("position") - 1) / max_len).cast("int"))
+    chunks = numbered.groupBy(by, "part").agg(F.array_sort(F.collect_list("value")).alias(name))
+    return whole.unionByName(chunks.select(by, "part", name))
+
+
+def joined_list_per(df: DataFrame, by: str, column: str, separator: str = ", ", name: str = "joined", max_len: int = 1_000_000) -> DataFrame:
     """Like :func:`list_per`, with the values joined to one text."""
-    listed = list_per(df.select(by, F.col(column).cast("string").alias(column)), by, column, "_values")
+    listed = list_per(df.select(by, F.col(column).cast("string").alias(column)), by, column, "_values", max_len)
     return listed.select(by, "part", F.concat_ws(separator, "_values").alias(name))
 
 

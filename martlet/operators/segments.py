@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from martlet.functions.columns import fill_template
 from martlet.operators.aggregates import list_per
 from martlet.operators.enrichment import EnrichFn, enrich
+from martlet.operators.ordering import null_safe_join
+from martlet.session import stable
 
 CLUSTERS = 18
 SEED = 42
@@ -32,18 +34,30 @@ def cluster(
     return model, model.transform(prepared).drop("_features")
 
 
-def members(df: DataFrame, group: str, value: str, plural: str) -> DataFrame:
-    """Sorted members of each group as a list and as text."""
-    return list_per(df, group, value, plural).withColumn(f"{plural}_str", F.concat_ws(", ", plural))
+def members(df: DataFrame, group: str, value: str, plural: str, max_len: int = 1_000_000) -> DataFrame:
+    """Sorted members of each group as a list and as text, in chunks of ``max_len`` (column ``part``)."""
+    return list_per(df, group, value, plural, max_len).withColumn(f"{plural}_str", F.concat_ws(", ", plural))
 
 
 def name_clusters(
     grouped: DataFrame, group: str, template: str, text: str, fn: EnrichFn, output: str, **options
 ) -> DataFrame:
-    """A name per group from a prompt template with the placeholder ``{text column}``."""
-    prompted = grouped.withColumn("prompt", fill_template(template, **{text: text}))
-    named = enrich(prompted, group, "prompt", fn, output, **options)
-    return prompted.join(named, [group, "prompt"], "left")
+    """A name per group from a prompt template with the placeholder ``{text column}``.
+
+    Every chunk of a group's members is named; a group of several chunks is then named by the names of its chunks, in their
+    order, so that it has one name that all its members had a say in.
+    """
+    part = F.col("part") if "part" in grouped.columns else F.lit(0)
+    chunks = grouped.withColumns({"prompt": fill_template(template, **{text: text}), "_part": part})
+    error = f"{output}_error"
+    named = stable(enrich(chunks.select(F.struct(group, "_part").alias("_id"), "prompt"), "_id", "prompt", fn, output, **options))
+    named = named.select(F.col(f"_id.{group}").alias(group), F.col("_id._part").alias("_part"), output, error)
+    listed = F.array_sort(F.collect_list(F.struct("_part", output)))
+    summed = named.groupBy(group).agg(F.count(F.lit(1)).alias("_parts"), F.first(output).alias(output), F.max(error).alias(error), F.transform(listed, lambda e: e[output]).alias("_names"))
+    several = summed.filter("_parts > 1").select(group, F.concat_ws(", ", "_names").alias(text))
+    again = enrich(several.select(group, fill_template(template, **{text: text}).alias("_prompt")), group, "_prompt", fn, output, **options)
+    names = summed.filter("_parts = 1").select(group, output, error).unionByName(again.select(group, output, error))
+    return null_safe_join(chunks.drop("_part"), names, [group], "left")
 
 
 def segment_map(segments: DataFrame, plural: str, value: str, name: str) -> DataFrame:

@@ -202,15 +202,33 @@ def sales_by_date(t: Tables):
     return out.withColumn("sales", F.round("sales", 2))
 
 
-@query("A15", "SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS items FROM lineitem GROUP BY 1")
+@query(
+    "A15",
+    """SELECT l_returnflag, CAST((i - 1) // 1000 AS INTEGER) AS part, list(l_partkey ORDER BY i) AS items
+       FROM (SELECT l_returnflag, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) AS i FROM lineitem) GROUP BY 1, 2""",
+)
+def items_per_flag_in_chunks(t: Tables):
+    """Three keys with a third of all rows each: lists in chunks of a thousand."""
+    return A.list_per(t.scan("lineitem"), "l_returnflag", "l_partkey", "items", 1000)
+
+
+@query(
+    "A15",
+    """SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey)::BIGINT AS position, l_partkey AS value FROM lineitem""",
+)
+def items_per_flag_in_rows(t: Tables):
+    return A.list_rows(t.scan("lineitem"), "l_returnflag", "l_partkey")
+
+
+@query("A15", "SELECT l_orderkey, 0::INT AS part, list(l_partkey ORDER BY l_partkey) AS items FROM lineitem GROUP BY 1")
 def items_per_order_list(t: Tables):
-    return A.list_per(t.scan("lineitem"), "l_orderkey", "l_partkey", "items").drop("part")
+    return A.list_per(t.scan("lineitem"), "l_orderkey", "l_partkey", "items")
 
 
-@query("A16 X12", "SELECT p_type, string_agg(p_brand, ', ' ORDER BY p_brand) AS brands FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY 1")
+@query("A16 X12", "SELECT p_type, 0::INT AS part, string_agg(p_brand, ', ' ORDER BY p_brand) AS brands FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY 1")
 def brands_per_type_text(t: Tables):
     pairs = A.distinct_pairs(t.scan("part"), "p_type", "p_brand")
-    return A.joined_list_per(pairs, "p_type", "p_brand", name="brands").drop("part")
+    return A.joined_list_per(pairs, "p_type", "p_brand", name="brands")
 
 
 @query("A17", with_("SELECT DISTINCT customer_id, product_id FROM fact", FACT))

@@ -210,11 +210,11 @@ def embedding_clusters(t: Tables):
 
 @query(
     "X12",
-    """SELECT label, list(vec_id ORDER BY vec_id) AS members, string_agg(CAST(vec_id AS VARCHAR), ', ' ORDER BY vec_id) AS members_str
+    """SELECT label, 0::INT AS part, list(vec_id ORDER BY vec_id) AS members, string_agg(CAST(vec_id AS VARCHAR), ', ' ORDER BY vec_id) AS members_str
        FROM embeddings GROUP BY 1""",
 )
 def cluster_members(t: Tables):
-    return S.members(t.scan("embeddings"), "label", "vec_id", "members").drop("part")
+    return S.members(t.scan("embeddings"), "label", "vec_id", "members")
 
 
 BRANDS = """b AS (SELECT p_type, string_agg(p_brand, ', ' ORDER BY p_brand) AS s FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY 1)"""
@@ -230,6 +230,19 @@ def named_segments(t: Tables):
     return _named(t).select("p_type", "segment")
 
 
+@query(
+    "X12 X13",
+    """WITH n AS (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) - 1 AS i FROM (SELECT DISTINCT p_type, p_brand FROM part)),
+            c AS (SELECT p_type, i // 3 AS part, string_agg(p_brand, ', ' ORDER BY p_brand) AS s FROM n GROUP BY 1, 2),
+            g AS (SELECT p_type, CASE WHEN count(*) > 1 THEN 'Segment of ' || string_agg('Segment of ' || s, ', ' ORDER BY part) ELSE 'Segment of ' || any_value(s) END AS segment FROM c GROUP BY 1)
+       SELECT p_type, CAST(part AS INTEGER) AS part, s AS brands_str, segment FROM c JOIN g USING (p_type)""",
+)
+def segments_named_in_chunks(t: Tables):
+    """Members in chunks of three; a group of several chunks has one name, made of the names of its chunks."""
+    grouped = S.members(t.scan("part").select("p_type", "p_brand").distinct(), "p_type", "p_brand", "brands", 3)
+    return S.name_clusters(grouped, "p_type", TEMPLATE, "brands_str", name_segment, "segment").select("p_type", "part", "brands_str", "segment")
+
+
 @query("X14", f"WITH {BRANDS} SELECT DISTINCT p_type, p_brand, 'Segment of ' || s AS segment FROM part JOIN b USING (p_type)")
 def brand_segment_map(t: Tables):
     return _named(t).select("p_type", F.explode("brands").alias("p_brand"), "segment")

@@ -119,8 +119,15 @@ def test_list_per_splits_hot_keys_and_keeps_all(frame):
     assert [r["values"] for r in out if r.k == "cold"] == [[1, 3, 3]]
     assert [r["values"] for r in out if r.k is None] == [[5]]
     hot = [r for r in out if r.k == "hot"]
-    assert len(hot) > 1 and len({r.part for r in hot}) == len(hot)
-    assert sorted(v for r in hot for v in r["values"]) == sorted(v for k, v in rows if k == "hot")
+    assert sorted(r.part for r in hot) == list(range(8)) and {len(r["values"]) for r in hot} == {50}
+    assert [v for r in sorted(hot, key=lambda r: r.part) for v in r["values"]] == sorted(v for k, v in rows if k == "hot")
+    assert {r.part for r in out if r.k != "hot"} == {0}
+
+
+def test_list_rows_number_the_values_of_each_key(frame):
+    rows = [("b", 2), ("b", 1), ("b", 2), ("b", None), (None, 7), ("a", 4)]
+    out = A.list_rows(frame(rows, "k string, v int"), "k", "v").collect()
+    assert sorted((r.k or "", r.position, r.value) for r in out) == [("", 1, 7), ("a", 1, 4), ("b", 1, 1), ("b", 2, 2), ("b", 3, 2)]
 
 
 def test_box_stats_ignores_outliers_for_whiskers(frame):
