@@ -188,10 +188,13 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", lang:
     """
     if network is None:
         return docs.withColumn(lang, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # some ten thousand numbers
+    # Some ten thousand numbers. Plain ones: a broadcast object of an own class could be read by tasks with the package only.
+    shared = docs.sparkSession.sparkContext.broadcast((network.languages, network.p))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        net = shared.value
+        languages, parameters = shared.value
+        net = Network(languages)
+        net.p = parameters
         tables = net.tables()
         for batch in batches:
             total, n = np.zeros((len(batch), len(net.languages))), np.zeros(len(batch))

@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     if bound is None:
         return np.zeros(DIMENSIONS, np.float32)
     picked = sample_hash(F.col("doc_id")) <= bound
-    sample = docs.filter(picked).select("doc_id", "text").dropDuplicates().join(known.filter(picked), "doc_id")
+    # SAMPLE_ROWS ids go to the documents, so that no other text moves.
+    sample = docs.filter(picked).select("doc_id", "text").join(F.broadcast(known.filter(picked)), "doc_id").dropDuplicates()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
