@@ -12,13 +12,16 @@ the passage.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlet.session import stable
 
 #: BM25, the share of an item's own score that a passage has to reach, entries of a block.
 K1, B, THRESHOLD, BLOCK = 1.2, 0.75, 0.7, 4
@@ -66,25 +69,36 @@ class _Coded(dict):
         self[raw] = code = self.term.get(word, _UNKNOWN) if word else _SIGNS
         return code
 
-    def __reduce__(self):
-        return _Coded, (self.term,)
+
+class Statistics(NamedTuple):
+    """Of the whole benchmark: items with words, their words, words of the longest, and for words the items that have them."""
+
+    items: int
+    words: int
+    longest: int
+    having: dict[bytes, int]
 
 
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str]]):
+    """Index of ``items``; ``whole`` are the statistics of a benchmark of which they are a part (none: they are all of it)."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         parsed = [(i, tokens(t), *map(_runs, question_and_answer(t))) for i, t in items]
         parsed = sorted((p for p in parsed if p[1]), key=lambda p: (len(p[1]), p[0] is None, p[0]))
         self.ids = [p[0] for p in parsed]
         self.parts = [p[2:] for p in parsed]
-        self.longest = max((len(p[1]) for p in parsed), default=0)
-        mean = sum(len(p[1]) for p in parsed) / max(len(parsed), 1)
+        if whole is None:
+            having = Counter(w for p in parsed for w in set(p[1]))
+            whole = Statistics(len(parsed), sum(len(p[1]) for p in parsed), max((len(p[1]) for p in parsed), default=0), having)
+        self.longest = whole.longest
+        mean = whole.words / max(whole.items, 1)
         lists: dict[bytes, list[tuple[int, float]]] = {}
         for number, (_, words, *_) in enumerate(parsed):
             for word in set(words):
                 tf = words.count(word)
                 lists.setdefault(word, []).append((number, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))))
         own = [0.0] * len(parsed)
-        weight = {w: float(np.log(1 + (len(parsed) - len(p) + 0.5) / (len(p) + 0.5))) for w, p in lists.items()}
+        weight = {w: float(np.log(1 + (whole.items - whole.having[w] + 0.5) / (whole.having[w] + 0.5))) for w in lists}
         for word, postings in lists.items():
             for number, impact in postings:
                 own[number] += weight[word] * impact
@@ -100,6 +114,16 @@ class BlockMaxIndex:
             np.maximum.at(self.bounds[t], np.array(numbers) // BLOCK, np.array(impacts) * (1 + 1e-5))
         self.coded = _Coded(self.term)
 
+    def state(self) -> dict:
+        """All that :meth:`of` needs, in lists, dicts and arrays: a broadcast of it can be read without this package."""
+        return {name: value for name, value in vars(self).items() if name != "coded"}
+
+    @classmethod
+    def of(cls, state: dict) -> BlockMaxIndex:
+        index = cls.__new__(cls)
+        vars(index).update(state, coded=_Coded(state["term"]))
+        return index
+
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Every (item number, score) at or above the threshold, for distinct terms."""
         threshold -= 1e-9
@@ -193,23 +217,46 @@ class BlockMaxIndex:
         return [(self.ids[n], s) for n, s in sorted(best.items())]
 
 
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item_id, text, words) of the items that have words; in a list each word stands as often as in the item."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([tokens(t.as_py()) for t in batch], pa.list_(pa.binary()))
+
+    return items.select("item_id", "text", F.arrow_udf(run, "array<binary>")("text").alias("words")).filter(F.size("words") > 0)
+
+
 def _indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
-    """Indexes of at most about INDEX_BYTES of items each; items are dealt by a hash of their text."""
+    """Indexes of about INDEX_BYTES of items each; items are dealt by a hash of their text.
+
+    All of them use the statistics of the whole benchmark, so what an item scores does not depend on how many there are.
+    """
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + int(size) // INDEX_BYTES
+    items = stable(_item_words(items))
+    size = F.size("words")
+    whole = items.agg(F.count(F.lit(1)).alias("items"), F.sum(size).alias("words"), F.max(size).alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not whole["items"]:
+        return
+    shards = 1 + int(whole["bytes"]) // INDEX_BYTES
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
+    spread = dealt.select("shard", F.explode(F.array_distinct("words")).alias("word"))
+    having = spread.groupBy("shard", "word").count()
+    having = stable(having.join(having.groupBy("word").agg(F.sum("count").alias("having")), "word"))
     for shard in range(shards):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard) if shards > 1 else items
-        yield BlockMaxIndex([tuple(r) for r in own.collect()])
+        own = dealt.filter(F.col("shard") == shard).select("item_id", "text").collect()
+        known = {bytes(r["word"]): r["having"] for r in having.filter(F.col("shard") == shard).select("word", "having").collect()}
+        yield BlockMaxIndex([tuple(r) for r in own], Statistics(whole["items"], whole["words"], whole["longest"], known))
 
 
 def _with_leaks(docs: DataFrame, index: BlockMaxIndex, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # made of INDEX_BYTES of items at most
+    shared = docs.sparkSession.sparkContext.broadcast(index.state())  # made of INDEX_BYTES of items at most
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
+        own = BlockMaxIndex.of(shared.value)
         for batch in batches:
-            yield pa.array([[{"item_id": i, "score": s} for i, s in shared.value.leaks(t.as_py())] for t in batch], kind)
+            yield pa.array([[{"item_id": i, "score": s} for i, s in own.leaks(t.as_py())] for t in batch], kind)
 
     return docs.withColumn(name, F.arrow_udf(run, "array<struct<item_id: bigint, score: double>>")(F.col("text")))
 
@@ -217,7 +264,7 @@ def _with_leaks(docs: DataFrame, index: BlockMaxIndex, name: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score): every benchmark item that stands in a document, with the best score of a passage.
 
-    Null and empty texts have no passages, items without words are in no index. Repeated rows of a document give one row
+    Null and empty texts have no passages, items without words are in no index; without items there are no leaks. Repeated rows of a document give one row
     for each item; rows with a null doc_id count as one document. Items with a null id are found as such.
     """
     narrow, out = docs.select("doc_id", "text"), None
@@ -225,6 +272,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = _with_leaks(narrow, index, "_leaks").select("doc_id", F.explode("_leaks").alias("leak"))
         part = found.groupBy("doc_id", F.col("leak.item_id").alias("item_id")).agg(F.max("leak.score").alias("score"))
         out = part if out is None else out.union(part)
+    if out is None:
+        return narrow.filter(F.lit(False)).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("score"))
     return out
 
 

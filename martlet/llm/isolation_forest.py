@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import BLANKS, sample_hash
+from martlet.llm.common import BLANKS, sample_hash, small_batches
 from martlet.session import stable
 
 SYMBOLS = "#*$%&|<>"
@@ -76,9 +76,13 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _count_rows(batch: pa.Array) -> np.ndarray:
+    return np.array([counts_of(t.as_py()) for t in batch], np.int64).reshape(-1, len(COUNTS))
+
+
 def _counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        rows = np.array([counts_of(t.as_py()) for t in batch], np.int64).reshape(-1, len(COUNTS))
+        rows = _count_rows(batch)
         yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], COUNTS)
 
 
@@ -87,7 +91,8 @@ def rule_counts(text: Column) -> Column:
     return F.arrow_udf(_counts, ", ".join(f"{c} long" for c in COUNTS))(text)
 
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+def base_failed(n_words, n_repeat_words):
+    """For columns, or for arrays of numbers."""
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
@@ -98,6 +103,13 @@ def _features(counts: str) -> Column:
     return F.array(c["word_chars"] / words, c["n_symbols"] / words, c["n_top_word"] / words, c["n_upper"] / chars)
 
 
+def _feature_rows(counts: np.ndarray) -> np.ndarray:
+    """The same FEATURES from rows of COUNTS."""
+    c = dict(zip(COUNTS, counts.T.astype(float)))
+    words, chars = (np.maximum(c[n], 1.0) for n in ("n_words", "word_chars"))
+    return np.stack([c["word_chars"] / words, c["n_symbols"] / words, c["n_top_word"] / words, c["n_upper"] / chars], axis=1)
+
+
 def _mean_path(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search in a binary tree of n rows."""
     n = np.asarray(n, float)
@@ -169,6 +181,22 @@ class QualityModel:
         return F.arrow_udf(run, "double")(_features(counts))
 
 
+    def accepts(self, text: Column) -> Column:
+        """Whether the base limits and the forest keep a text: counts, path lengths and verdict in one function."""
+        forest, threshold = self.forest, self.threshold
+        n_words, n_repeats = COUNTS.index("n_words"), COUNTS.index("n_repeat_words")
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                rows = _count_rows(batch)
+                kept = ~base_failed(rows[:, n_words], rows[:, n_repeats])
+                if forest is not None and len(rows):
+                    kept &= forest.score(_feature_rows(rows)) < threshold
+                yield pa.array(kept, pa.bool_())
+
+        return F.arrow_udf(run, "boolean")(text)
+
+
 def fit(counts: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on ``counts`` (doc_id, struct ``counts``) and ``labels`` (doc_id, quality 0 or 1; null or other: unlabelled).
 
@@ -219,8 +247,11 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they were."""
-    counts = stable(docs.select("doc_id", rule_counts(F.col("text")).alias("counts")))
-    model = fit(counts, labels)
-    judged = _judge(docs.select(F.struct(*docs.columns).alias("row"), rule_counts(F.col("text")).alias("counts")), model)
-    return judged.filter("kept").select("row.*")
+    """The rows of ``docs`` that pass, with their columns as they were; the verdict of :func:`judge_documents` for each.
+
+    Only texts go to Python and only verdicts come back; no other column leaves Spark, and nothing is shuffled but counts.
+    """
+    with small_batches(docs.sparkSession):
+        counts = stable(docs.select("doc_id", rule_counts(F.col("text")).alias("counts")))
+        model = fit(counts, labels)
+    return docs.filter(model.accepts(F.col("text")))

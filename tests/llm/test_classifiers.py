@@ -50,6 +50,7 @@ def test_forest_threshold_comes_from_labels(spark, documents, labels):
     bad = [(1000 + i, " ".join(w.upper() + "###" for w in prose(2000 + i, 120).split())) for i in range(8)]
     known = labels([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad])
     kept = {r.doc_id for r in isolation_forest.keep_documents(documents(good + bad), known).collect()}
+    assert kept == {r.doc_id for r in isolation_forest.judge_documents(documents(good + bad), known).filter("kept").collect()}
     assert len([i for i in kept if i < 1000]) >= 247 and not [i for i in kept if i >= 1000]
 
 

@@ -170,6 +170,19 @@ def test_leaks_in_long_and_odd_documents(spark, documents, benchmark, edge, noth
     assert decontaminate.leaks(edge, benchmark(items)).count() == 0 and decontaminate.leaks(nothing, benchmark(items)).count() == 0
 
 
+def test_leaks_score_alike_in_one_index_or_many(spark, documents, benchmark, monkeypatch):
+    items = [(i, f"What is {prose(900 + i % 25, 12 + i % 5).replace(chr(10), ' ')} {i}? It is {prose(950 + i, 6 + i % 9).strip()}.") for i in range(60)]
+    docs = documents([(i, prose(i, 40) + " " + items[i][1] + " " + prose(100 + i, 40)) for i in range(0, 60, 2)])
+
+    def found():
+        return {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.leaks(docs, benchmark(items)).collect()}
+
+    once = found()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2_500)
+    assert len(list(decontaminate._indexes(benchmark(items)))) > 2
+    assert found() == once and {(i, i) for i in range(0, 60, 2)} <= once.keys()
+
+
 def plain_passages(rows, n=50):
     words = {}
     for i, text in rows:
