@@ -130,6 +130,14 @@ def test_lines_on_odd_rows(spark, edge, nothing):
     assert line_dedup.drop_duplicate_lines(nothing).count() == 0
 
 
+def test_rows_with_one_id_and_different_texts_lose_their_own_lines(spark, documents):
+    common, own = "this licence line stands in very many different files", [prose(i, 40).replace("\n", " ") for i in range(6)]
+    rows = [(1, common + "\n" + own[0]), (2, common + "\n" + own[1]), (2, own[2] + "\n" + own[3]), (None, own[4] + "\n" + own[0]), (None, own[5]), (None, own[5])]
+    kept = sorted((r.doc_id or 0, r.text) for r in line_dedup.drop_duplicate_lines(documents(rows)).collect())
+    # Rows without an id come first, so the first document loses its own line and keeps the common one.
+    assert kept == sorted([(1, common), (2, own[1]), (2, own[2] + "\n" + own[3]), (0, rows[3][1]), (0, own[5]), (0, own[5])])
+
+
 def test_a_document_keeps_its_other_lines(spark, documents):
     common = "this licence line stands in very many different files"
     own = [prose(i, 40).replace("\n", " ") for i in range(3)]
