@@ -43,19 +43,22 @@ KNOWN = {
 LABELS = "Attn Autor Author Auteur Ansprechpartner Ansprechpartnerin Contact Contacto Kontakt Name Nom Nombre Автор Имя Контакт".split()
 #: Listed first names by gender; a listed name has the same gender with and without a title.
 _LISTED = {g: [*FIRST[g], *FIRST[g + "c"], *KNOWN.get(g, [])] for g in ("m", "f", "x")}
-_CUE = "(?:" + "|".join(n for own in _LISTED.values() for n in own) + ")"
+_NAMES = sorted({n for own in _LISTED.values() for n in own})
+#: Listed names by their first letter, so that a word is compared with few; a blank follows, so their order does not matter.
+_CUE = "(?:" + "|".join(f"{c}(?:{'|'.join(n[1:] for n in _NAMES if n[0] == c)})" for c in sorted({n[0] for n in _NAMES})) + ")"
 _TITLE = "(?:" + "|".join(t for own in TITLES.values() for t in own) + ")"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\w+.,/-])0[1-9](?:[ .]\d{2}){4}(?![\w-])|(?<![\w+.,/-])(?:0[1-9]\d{1,3}[ /]\d{5,8}|0[1-9]\d{1,3}[ /]\d{3,4} \d{2,4}|\(0[1-9]\d{1,3}\) ?\d{5,8})(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
-    "name": r"(?<!\p{L})" + _TITLE + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
-    + r"|(?<!\p{L})(?=\p{Lu})" + _CUE + r" \p{Lu}\p{L}+"
-    + r"|(?<=(?<!\p{L})(?:" + "|".join(LABELS) + r"): )\p{Lu}\p{L}+ \p{Lu}\p{L}+",
+    "name": r"(?=\p{Lu})(?:(?<!\p{L})(?:" + _TITLE + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?|" + _CUE + r" \p{Lu}\p{L}+)"
+    + r"|(?<=(?<!\p{L})(?:" + "|".join(LABELS) + r"): )\p{Lu}\p{L}+ \p{Lu}\p{L}+)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds in order; a digit, sign or bracket begins every number, and a kind is tried only where its first character stands.
+_NUMBERS = "|".join(f"(?:{PATTERNS[kind]})" for kind in ("ip", "ssn", "card", "phone"))
+PATTERN = f"(?:{PATTERNS['email']})|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['name']})"
 #: From this draw on, an address may be any one, so that no number of entities exhausts the private ones.
 ANY_ADDRESS = 6
 _LETTERS = {"[a-z]": (97, 26), "[A-Z]": (65, 26), "[0-9]": (48, 10), "[а-я]": (0x430, 32), "[А-Я]": (0x410, 32), "[α-ρσ-ω]": (0x3B1, 17), "[ぁ-ん]": (0x3042, 80), "[一-龥]": (0x4E00, 20000), "\\p{Lu}": (65, 26), "\\p{L}": (97, 26)}
