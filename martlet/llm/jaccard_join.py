@@ -5,10 +5,11 @@ shingle is. Only shared shingles go on: a set's shared shingles in order of rari
 prefix holds none cannot have a partner. An index list is one shingle's sets, in blocks by set size; blocks out of reach
 by size are skipped, and entries whose position leaves too few shingles behind are skipped too.
 
-A set is first compared with one representative of each of its lists. Sets that are linked with it are settled together. For
-the members behind a representative v an upper bound follows from its computed answers (overlap of x and y <= overlap of v
-and y + shingles of x outside v); members of different groups are compared one by one only where blocks, positions and that
-bound leave the link possible.
+A set is first compared with one representative of each of its lists. Sets that are linked with it are settled together. Then
+further representatives, more in every round, are compared with those members of their lists that are in reach by block and
+position and not in their group yet, until no list holds two groups that have not met. From the computed answers of a similar
+set v follow bounds for x and y: they share at most what v and y share and what x has outside v, and at least what both share
+with v less the size of v. A pair beyond the first is no link and one within the second is a link, unverified.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from martlet.session import stable
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
 DEALT, BUCKET = 500_000, 1_000_000
+#: Members of a list that meet the others grow by this factor from round to round.
+GROWTH = 8
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
 
@@ -132,7 +135,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_rows(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """Shingles that are in two sets or more, in packed arrays by group of sets: (part, sids, shingles, counts up to 255)."""
+    """Shingles that are in two sets or more, in packed arrays by group of sets: (part, sids, shingles, counts as eighths of a binary logarithm)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -142,7 +145,7 @@ def _shared_rows(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
         count = np.repeat(counts, counts)
         shared = count > 1
         shingles = shingles[shared] * np.uint64(buckets) + np.uint64(bucket)
-        sids, count = sids[shared], np.minimum(count[shared], 255).astype(np.uint8)
+        sids, count = sids[shared], np.minimum(8 * np.log2(count[shared]), 255).astype(np.uint8)  # 255: over 2 ** 31
         part = sids % groups
         order = np.argsort(part, kind="stable")
         ends = np.cumsum(np.bincount(part, minlength=groups))
@@ -221,6 +224,38 @@ def _in_reach(x: str, y: str) -> Column:
     return sizes & (100 * most >= PERCENT * (nx + ny - most))
 
 
+def _apart(heads: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, label) of a head and a member of its list with different labels, within reach of each other."""
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
+    x = heads.select("shingle", near, F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
+    y = members.select("shingle", "block", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
+    pairs = x.join(y, ["shingle", "block"]).filter((F.col("lx") != F.col("ly")) & _in_reach("x", "y"))
+    swap = F.col("x") > F.col("y")
+    ordered = [F.when(swap, F.col(f"{q}y")).otherwise(F.col(f"{q}x")).alias(name) for q, name in (("", "a"), ("n", "na"), ("l", "label"))]
+    return pairs.select(*ordered, F.greatest("x", "y").alias("b"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")).distinct()
+
+
+def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that may be linked: (a, b, least: shingles shared at least, sure: whether these suffice).
+
+    Both bounds follow from the answers of v, the set that names the group of a, where v was compared with both: a and b share
+    at most what v and b share and what a has outside v; at least what both share with v and v has no room to keep apart."""
+    to_a = known.select(F.col("a").alias("label"), F.col("b").alias("a"), F.col("overlap").alias("own"), F.col("na").alias("nv"))
+    to_b = known.select(F.col("a").alias("label"), F.col("b").alias("b"), F.col("overlap").alias("other"))
+    both = pairs.join(to_a, ["label", "a"], "left").join(to_b, ["label", "b"], "left")
+    most = F.coalesce(F.col("other") + F.col("na") - F.col("own"), F.least("na", "nb"))
+    least = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("own") + F.col("other") - F.col("nv"), F.lit(0)))
+    able = both.withColumn("most", F.least(most, "na", "nb")).withColumn("least", least).filter(_linked("most"))
+    return able.select("a", "b", "least", _linked("least").alias("sure"))
+
+
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, label) after the labels in ``merged`` (node, label) became one; labels without a node yet are nodes now."""
+    step = merged.withColumnsRenamed({"node": "_old", "label": "_new"})
+    moved = labels.join(step, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label"))
+    return moved.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "label"))
+
+
 def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, overlap) links that hold all components together, and (node, label) of every set with a link."""
     entries = stable(_postings(candidates))
@@ -233,28 +268,35 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = star.filter(_linked()).select("a", "b", "overlap")
     labels = components(links)
 
-    # 2. Lists whose sets are not known to belong together: members behind different representatives, by blocks of the
-    # lists, where neither sizes and positions nor the bound from a representative's answer forbid a link.
-    own = labels.withColumnsRenamed({"node": "sid"})
-    marked = entries.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = marked.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("shingle")
-    open_ = stable(marked.join(mixed, "shingle", "left_semi"))
-    x = open_.select("shingle", "block", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
-    y = open_.select(F.col("shingle").alias("_shingle"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("_block"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
-    meet = (F.col("shingle") == F.col("_shingle")) & (F.col("block") == F.col("_block")) & (F.col("lx") < F.col("ly")) & _in_reach("x", "y")
-    rest = x.join(y, meet).select("x", "y", "nx", "ny", "lx", "ly").distinct()
-    both = star.select("a", "b", "overlap").union(star.select(F.col("b"), F.col("a"), F.col("overlap"))).distinct()
-    to_own = both.select(F.col("a").alias("lx"), F.col("b").alias("x"), F.col("overlap").alias("own"))
-    to_other = both.select(F.col("a").alias("lx"), F.col("b").alias("y"), F.col("overlap").alias("other"))
-    bound = F.coalesce(F.col("other") + F.col("nx") - F.when(F.col("x") == F.col("lx"), F.col("nx")).otherwise(F.col("own")), F.least("nx", "ny"))
-    rest = rest.join(to_own, ["lx", "x"], "left").join(to_other, ["lx", "y"], "left")
-    rest = rest.filter(100 * bound >= PERCENT * (F.col("nx") + F.col("ny") - bound))
-    asked = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = stable(_overlaps(asked, bodies).filter(_linked()).select("a", "b", "overlap"))
-    if found.isEmpty():
-        return links, labels
-    links = links.union(found)
-    return links, components(links)
+    # 2. Lists whose sets are not known to belong together: some members of each, more in every round, meet the rest. Members
+    # that met all others leave the list, and a list whose members have one label is closed: links that follow from others
+    # are never asked for.
+    known = stable(star.select("a", "b", "na", "overlap").union(star.select("b", "a", "nb", "overlap")).distinct())
+    waiting = entries.join(first.select("shingle", F.col("v").alias("sid")), ["shingle", "sid"], "left_anti")
+    asked = star.select("a", "b")
+    width = 1
+    while True:
+        own = labels.withColumnsRenamed({"node": "sid"})
+        marked = waiting.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        mixed = marked.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("shingle")
+        open_ = stable(marked.join(mixed, "shingle", "left_semi"))
+        if open_.isEmpty():
+            return links, labels
+        class_ = F.pmod(F.xxhash64("sid", F.lit(width)), F.lit(width)).alias("_class")
+        heads = stable(open_.groupBy("shingle", class_).agg(F.min(F.struct("sid", "n", "place", "block", "label")).alias("head")).select("shingle", "head.*"))
+        rest = _apart(heads, open_).join(asked, ["a", "b"], "left_anti")
+        rest = stable(_bounded(rest, known))
+        derived = rest.filter("sure").select("a", "b", F.col("least").alias("overlap"))
+        found = _overlaps(rest.filter("not sure").select("a", "b"), bodies).filter(_linked()).select("a", "b", "overlap")
+        found = stable(found.union(derived))
+        if not found.isEmpty():
+            links = links.union(found)
+            joined = found.select("a", "b").join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+            merged = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+            labels = stable(_relabelled(labels, merged))
+        asked = asked.union(rest.select("a", "b"))
+        waiting = open_.select(*entries.columns).join(heads.select("shingle", "sid"), ["shingle", "sid"], "left_anti")
+        width *= GROWTH
 
 
 def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
