@@ -31,8 +31,8 @@ from martlet.session import stable
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
 DEALT, BUCKET = 500_000, 1_000_000
-#: Members of a list that meet the others grow by this factor from round to round.
-GROWTH = 8
+#: So many members of a list meet the others in the first round, and by this factor more in every further one.
+GROWTH = 32
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
 
@@ -274,7 +274,7 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = stable(star.select("a", "b", "na", "overlap").union(star.select("b", "a", "nb", "overlap")).distinct())
     waiting = entries.join(first.select("shingle", F.col("v").alias("sid")), ["shingle", "sid"], "left_anti")
     asked = star.select("a", "b")
-    width = 1
+    width = GROWTH
     while True:
         own = labels.withColumnsRenamed({"node": "sid"})
         marked = waiting.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -283,7 +283,7 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         if open_.isEmpty():
             return links, labels
         class_ = F.pmod(F.xxhash64("sid", F.lit(width)), F.lit(width)).alias("_class")
-        heads = stable(open_.groupBy("shingle", class_).agg(F.min(F.struct("sid", "n", "place", "block", "label")).alias("head")).select("shingle", "head.*"))
+        heads = open_.groupBy("shingle", class_).agg(F.min(F.struct("sid", "n", "place", "block", "label")).alias("head")).select("shingle", "head.*")
         rest = _apart(heads, open_).join(asked, ["a", "b"], "left_anti")
         rest = stable(_bounded(rest, known))
         derived = rest.filter("sure").select("a", "b", F.col("least").alias("overlap"))
