@@ -185,3 +185,40 @@ def test_all_cells_give_the_exact_answer(frame):
 def test_an_index_over_nothing(frame):
     found, facts = S.indexed_similar_items(frame([(1, [0.0, 0.0])], "id long, features array<double>"), 3)
     assert found.collect() == [] and facts["cells"] == 0
+
+
+def test_lists_of_a_model_come_by_blocks(spark, frame):
+    rows = [(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(40) if (u + i) % 3 == 0]
+    pairs = frame(rows, "userId int, itemId int, rating double")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        model = R.fit_als(pairs, rank=3, maxIter=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert model.userFactors.rdd.getNumPartitions() == R.MIN_BLOCKS  # not the width of shuffles
+    key = lambda df: {(r.userId, tuple((x.itemId, round(x.rating, 5)) for x in r.recommendations)) for r in df.collect()}
+    assert key(R.recommend(model, 4)) == key(model.recommendForAllUsers(4))
+    some = frame([(3,), (3,), (5,), (99,)], "userId int")
+    assert key(R.recommend(model, 4, some)) == key(model.recommendForUserSubset(some, 4))
+
+
+def test_iterations_leave_no_files_behind():
+    assert R.als().getCheckpointInterval() <= 2
+
+
+def test_interactions_read_the_fact_once(spark, frame):
+    from pyspark.sql import types as T
+
+    seen = spark.sparkContext.accumulator(0)
+    fact = frame([(1, 10, 2.0, 5), (1, 11, 4.0, 6), (2, 10, 1.0, 7)], "customer_id int, product_id int, price double, at int")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = fact.mapInArrow(count, T.StructType(fact.schema.fields))
+    pairs, _, _ = I.interactions(counted, "at")
+    assert {(r.customer_id, r.product_id, r.rating) for r in pairs.collect()} == {(1, 10, 5.0), (1, 11, 10.0), (2, 10, 2.5)}
+    assert seen.value == 3
