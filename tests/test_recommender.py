@@ -222,3 +222,25 @@ def test_interactions_read_the_fact_once(spark, frame):
     pairs, _, _ = I.interactions(counted, "at")
     assert {(r.customer_id, r.product_id, r.rating) for r in pairs.collect()} == {(1, 10, 5.0), (1, 11, 10.0), (2, 10, 2.5)}
     assert seen.value == 3
+
+
+def test_a_vector_is_sent_to_bins_and_not_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(400)}  # directions without clusters: nearly all cells matter
+    items = spark.createDataFrame(list(vectors.items()), "id int, features array<double>")
+    sent, applied = [], type(items).mapInPandas
+
+    def counted(self, function, schema, **how):
+        out = applied(self, function, schema, **how)
+        if "cells" in out.columns or out.columns == ["rep", "vec", "cell"]:
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(items), "mapInPandas", counted)
+    monkeypatch.setattr(S, "ROUTED_AT_ONCE", 16)
+    got = {}
+    for r in S.similar_items(items, 5, block=100).collect():
+        got.setdefault(r.item, {})[r["rank"]] = r.similar
+    assert sent[0].count() <= 400 * 7 < 400 * 20  # bins of up to a hundred vectors, twenty cells
+    want = _brute_force(vectors, 5)
+    assert all([got[i][k + 1] for k in range(5)] == [s for s, _ in want[i]] for i in want)
