@@ -68,10 +68,12 @@ def cross_filter(fact: DataFrame, other: DataFrame, by: list[str], key: str) ->
     """Rows of ``other`` visible from each group of ``fact`` over a many-to-many key.
 
     The keys of a group are made unique first, so a row of ``other`` appears once per group however many
-    fact rows share its key. Without ``by`` it is a plain semi join.
+    fact rows share its key. Fact rows without a row of ``other`` go first, before keys are made unique. Without ``by`` it
+    is a plain semi join.
     """
     if not by:
         return other.join(fact.select(key), key, "left_semi")
+    fact = fact.join(other.select(key), key, "left_semi")
     return fact.select(*by, key).distinct().join(other, key)
 
 

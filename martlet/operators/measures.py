@@ -171,6 +171,11 @@ _REVIEW_PARTS = {
 }
 
 
+def _reviewed(model: StarModel, reviews: DataFrame) -> StarModel:
+    """The model with the fact rows of reviewed orders only, for measures that no other order has a part in."""
+    return replace(model, fact=model.fact.join(reviews.select("order_id"), "order_id", "left_semi"))
+
+
 def _fact_aggregate(m: Measure) -> Column:
     if m.kind == "count":
         return F.count(F.lit(1))
@@ -237,7 +242,10 @@ def _evaluate_related(model: StarModel, chosen: list[Measure], by: list[str], fi
 
     def across(keys: list[str], *parts: Column) -> DataFrame:
         keys = list(dict.fromkeys([*near, *(b.fact_key for b in met), *keys]))
-        rows = visible_fact(model, near, rest, date_role).groupBy(*keys).agg(*parts)
+        rows = visible_fact(model, near, rest, date_role)
+        for bridge in met:  # rows in no group go before they are held as sums
+            rows = rows.join(bridge.rows.select(bridge.fact_key), bridge.fact_key, "left_semi")
+        rows = rows.groupBy(*keys).agg(*parts)
         for bridge in met:
             rows = bridge.onto(rows)
         return rows.groupBy(*by)
@@ -250,7 +258,7 @@ def _evaluate_related(model: StarModel, chosen: list[Measure], by: list[str], fi
     of_reviews = [m for m in chosen if m.source == "reviews"]
     if of_reviews:
         others, kept, folded = split_by_reviews(model, by, filters)
-        orders = visible_fact(model, others, kept, date_role).select(*others, "order_id").distinct()
+        orders = visible_fact(_reviewed(model, folded), others, kept, date_role).select(*others, "order_id").distinct()
         results.append(orders.join(folded, "order_id").groupBy(*by).agg(*[_from_parts(m).alias(m.name) for m in of_reviews]))
     of_forecast = [m for m in chosen if m.source == "forecast"]
     if of_forecast:
@@ -316,6 +324,8 @@ def evaluate(
         parts = [p for m in additive for p in _order_parts(m)] or [F.count(F.lit(1)).alias("_items")]
         orders = visible.groupBy(*by, "order_id").agg(*parts)
         how = "left" if additive else "inner"
+        if not additive:
+            orders = visible_fact(_reviewed(model, model.reviews), by, filters, date_role).groupBy(*by, "order_id").agg(*parts)
         joined = orders.join(reviews_per_order(model.reviews), "order_id", how)
         results.append(joined.groupBy(*by).agg(*[_from_parts(m).alias(m.name) for m in additive + of_reviews]))
     if of_fact:

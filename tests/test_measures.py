@@ -107,3 +107,15 @@ def test_single_item(model):
     assert [(r.period, r.value) for r in out] == [(D(2017, 1, 1), pytest.approx((5 - 42) / 42))]
     with pytest.raises(ValueError):
         TI.time_calculation(model, "total_sales", "qtd")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_without_reviews_are_not_grouped(model):
+    out = M.evaluate(model, ["total_reviews", "average_review"], ["category"])
+    assert "LeftSemi" in _plan(out)
+    assert {(r.category, r.total_reviews) for r in out.collect()} == {("A", 2), ("B", 3)}
+    mixed = M.evaluate(model, ["total_sales", "total_reviews"], ["category"])  # sales count without a review
+    assert "LeftSemi" not in _plan(mixed) and mixed.agg(F.sum("total_sales")).first()[0] == 47.0

@@ -203,3 +203,13 @@ def test_paging(frame):
     df = frame([(i,) for i in range(30)], "i int")
     assert [r.i for r in K.page(df, 3, "i").collect()] == list(range(24, 30))
     assert K.page_count(df).first().pages == 3
+
+
+def test_cross_filter_drops_unrelated_rows_first(frame):
+    from martlet.operators import joins as J
+
+    fact = frame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("b", None)], "category string, order_id int")
+    other = frame([(1, 5), (1, 4), (None, 3)], "order_id int, score int")
+    out = J.cross_filter(fact, other, ["category"], "order_id")
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.category, r.score) for r in out.collect()) == [("a", 4), ("a", 5), ("b", 4), ("b", 5)]

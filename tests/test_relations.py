@@ -133,3 +133,8 @@ def test_unknown_and_ambiguous_columns(model, frame):
     twice = replace(model, relations={**model.relations, "more": Relation(frame([("o1", "x")], "order_id string, payment_type string"), "order_id")})
     with pytest.raises(ValueError, match="several"):
         M.evaluate(twice, ["total_sales"], ["payment_type"])
+
+
+def test_rows_in_no_group_are_not_summed(model):
+    out = M.evaluate(model, ["total_sales", "total_reviews"], ["payment_type"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
