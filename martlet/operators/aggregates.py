@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from martlet.functions.columns import divide_or_null, percent_of
 from martlet.operators.ordering import global_running_sum, null_safe_join, rank_within
-from martlet.session import stable
 
 
 def key_stats(df: DataFrame, keys: dict[str, str], per: str) -> DataFrame:
@@ -197,19 +196,14 @@ def list_per(df: DataFrame, by: str, column: str, name: str = "values", max_len:
     """Sorted list of values per key in chunks: (by, part, values).
 
     Part 0 has the first ``max_len`` values of a key, part 1 the next ones, and so on, so the chunks in order are the whole
-    list, however long. Only keys that need a second chunk have their values numbered.
+    list, however long. Values are numbered only if some key needs a second chunk; no task gets all values of such a key.
     """
     known = df.filter(F.col(column).isNotNull()).select(by, F.col(column).alias("_value"))
-    listed = F.array_sort(F.collect_list("_value")).alias(name)
-    whole = known.groupBy(by)
-    large = known.groupBy(by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > max_len).select(by)
-    if large.isEmpty():
-        return whole.agg(listed).select(by, F.lit(0).alias("part"), name)
-    marked = null_safe_join(known, stable(large).withColumn("_large", F.lit(True)), [by], "left")
-    whole = marked.filter("_large is null").groupBy(by).agg(listed).select(by, F.lit(0).alias("part"), name)
-    numbered = list_rows(marked.filter("_large"), by, "_value").withColumn("part", F.floor((F.col("position") - 1) / max_len).cast("int"))
+    if known.groupBy(by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > max_len).isEmpty():
+        return known.groupBy(by).agg(F.array_sort(F.collect_list("_value")).alias(name)).select(by, F.lit(0).alias("part"), name)
+    numbered = list_rows(known, by, "_value").withColumn("part", F.floor((F.col("position") - 1) / max_len).cast("int"))
     chunks = numbered.groupBy(by, "part").agg(F.array_sort(F.collect_list("value")).alias(name))
-    return whole.unionByName(chunks.select(by, "part", name))
+    return chunks.select(by, "part", name)
 
 
 def joined_list_per(df: DataFrame, by: str, column: str, separator: str = ", ", name: str = "joined", max_len: int = 1_000_000) -> DataFrame:

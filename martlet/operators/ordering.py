@@ -54,13 +54,17 @@ def global_row_number(df: DataFrame, *keys: Column | str, name: str = "row_numbe
 def rank_within(df: DataFrame, keys: Sequence[str], *order: Column | str, name: str = "rank") -> DataFrame:
     """Row number within each group, for groups of any size.
 
-    All rows are numbered in one order and every group starts where its first row is, so a group may span
-    tasks. For groups known to be small, or when only the first few rows count, a plain window is cheaper.
+    All rows are laid out in one order, so a group is one stretch in each task that has rows of it. A row's rank follows from
+    where its stretch begins and from the lengths of the group's stretches before; stretches are told apart by task, so rows
+    of one group never meet in one task. For groups known to be small, or when only the first few rows count, a plain window
+    is cheaper.
     """
-    numbered = global_row_number(df, *keys, *order, name="_overall")
-    starts = numbered.groupBy(*keys).agg(F.min("_overall").alias("_first"))
-    placed = null_safe_join(numbered, starts, keys)
-    return placed.withColumn(name, F.col("_overall") - F.col("_first") + 1).drop("_overall", "_first")
+    rows = _lay_out(df, [as_col(k) for k in [*keys, *order]])
+    stretches = rows.groupBy(_PART, *keys).agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    placed = null_safe_join(rows, stretches.select(_PART, *keys, shift.alias("_shift")), [_PART, *keys])
+    return placed.withColumn(name, F.col(_POS) + F.col("_shift")).drop(_PART, _POS, "_shift")
 
 
 def global_running_sum(df: DataFrame, value: str, *keys: Column | str, name: str = "running_sum") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from martlet.operators import joins as J
 from martlet.operators import projections as P
 from martlet.operators import topk as K
 from martlet.operators import windows as W
-from martlet.operators.ordering import global_row_number, global_running_sum
+from martlet.operators.ordering import global_row_number, global_running_sum, rank_within
 
 
 def test_hour_boundaries(frame):
@@ -101,6 +102,23 @@ def test_rank_within_hot_and_null_groups(frame):
     assert {r.i: r["rank"] for r in out} == want
 
 
+def test_a_hot_group_is_ranked_and_listed_in_many_tasks(spark, frame):
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        rows = [("hot", i) for i in range(4000)] + [(None, 1), ("cold", 2)]
+        out = rank_within(frame(rows, "k string, v int").repartition(5), ["k"], "v").withColumn("task", F.spark_partition_id()).collect()
+        listed = A.list_per(frame(rows, "k string, v int"), "k", "v", max_len=100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r.k, r.v): r["rank"] for r in out} == {(k, v): v + 1 if k == "hot" else 1 for k, v in rows}
+    assert max(Counter(r.task for r in out).values()) < 3000
+    assert len(listed) == 42 and len({r.task for r in listed}) > 3
+
+
 @pytest.mark.parametrize("by", [None, ["g"]])
 def test_exact_quantiles(frame, by):
     rng = random.Random(2)
