@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.operators import aggregates as A
@@ -384,6 +387,12 @@ _MERGED_SQL = " UNION ALL ".join(
 )
 
 
+def _rank_of(c: str):
+    """Shares of the values under, and up to, the median of column ``c`` in ``_medians``."""
+    value, median = F.col(c).cast("double"), F.col(f"_medians.{c}")
+    return F.struct(F.lit(c).alias("column"), F.avg((value < median).cast("double")).alias("under"), F.avg((value <= median).cast("double")).alias("upto"))
+
+
 @query("A25", _MERGED_SQL)
 def column_profile_merged(t: Tables):
     """All columns of the items: a state for each month, stored, read back and merged, held against exact counts and ranks."""
@@ -391,14 +400,11 @@ def column_profile_merged(t: Tables):
     monthly = items.withColumn("month", F.trunc("l_shipdate", "month"))
     append_path(PR.profile_states(monthly, ["month"]), path)
     out = PR.read_states(PR.merge_states(t.spark.read.parquet(path)), [0.5])
-    counts = [F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias("exact")) for c in items.columns]
-    exact = items.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
+    exact = reduce(DataFrame.unionAll, [items.select(c).distinct().agg(F.lit(c).alias("column"), F.count(c).alias("exact")) for c in items.columns])
     medians = out.filter("quantiles is not null").select("column", F.get("quantiles", F.lit(0)).alias("median"))
-    value = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in _NUMBERS]), F.array(*[F.col(c).cast("double") for c in _NUMBERS])), F.col("column"))
-    below = items.withColumn("_medians", medians.agg(F.collect_list(F.struct("column", "median"))).scalar())
-    ranks = below.select(*_NUMBERS, F.inline("_medians")).groupBy("column").agg(
-        F.avg((value < F.col("median")).cast("double")).alias("under"), F.avg((value <= F.col("median")).cast("double")).alias("upto")
-    )
+    one_row = medians.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in _NUMBERS])).scalar()
+    below = items.select(*_NUMBERS, one_row.alias("_medians"))
+    ranks = below.agg(F.array(*[_rank_of(c) for c in _NUMBERS]).alias("_ranks")).select(F.inline("_ranks"))
     joined = out.join(exact, "column").join(ranks, "column", "left")
     return joined.select(
         "column",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlet.operators import profiles as P
+from martlet.plans.catalog import QUERIES
 
 SCHEMA = "day int, x double, n long, kind string, flag boolean, `a b` int"
 
@@ -62,3 +63,9 @@ def test_parts_without_values(rows, frame):
     assert parts[6].mean is None and parts[None].max_number == float("inf")
     empty = read(P.profile_states(frame([], SCHEMA)))
     assert empty["n"].rows == 0 and empty["n"].distinct == 0 and empty["n"].quantiles is None
+
+
+def test_the_merged_profile_is_checked_without_multiplying_rows(spark):
+    plan = QUERIES["column_profile_merged"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Exact counts and ranks used to make a row per row and column, and a map in each.
+    assert "Expand" not in plan and "map_from_arrays" not in plan
