@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from martlet.llm import decontaminate, jaccard_join, line_dedup, sparse_suffix
 from martlet.llm.components import components
 from tests.llm.conftest import prose
@@ -226,3 +228,27 @@ def test_passages_on_odd_rows(spark, edge, nothing):
     got = {r.doc_id: r.n_repeated for r in sparse_suffix.repeated_passages(edge).collect()}
     assert got == {3: 80, 4: 80, 8: 80} or got == {3: 80, 4: 80, 8: 79}
     assert sparse_suffix.repeated_passages(nothing).count() == 0
+
+
+def test_tokens_are_hashed_without_copies_of_words(spark):
+    lines = spark.createDataFrame([("A b\tc d  e\x0bf g",), ("a b c d",), (" ",), (None,)], "line string")
+    got = [r.h for r in lines.select(line_dedup._runs(line_dedup._words(F.col("line"))).alias("h")).collect()]
+    words = spark.createDataFrame([(list("abcdefg"[i : i + 5]),) for i in range(3)], "w array<string>")
+    assert got == [[r.h for r in words.select(F.xxhash64("w").alias("h")).collect()], None, None, None]
+
+
+def test_the_sieve_keeps_all_named_lines_and_few_others(spark):
+    lines = spark.range(20_000).select(F.struct(F.lit(True).alias("known"), F.col("id").alias("doc")).alias("ord"), F.lit("x").alias("line"))
+    left = line_dedup._sieved(lines, lines.filter("ord.doc % 50 = 0").select("ord"))
+    assert left.columns == ["ord", "line"] and left.filter("ord.doc % 50 = 0").count() == 400 and left.count() < 420
+
+
+def test_large_classes_of_equal_lines_give_one_entry(spark, documents):
+    line = [prose(i, 30).replace("\n", " ").strip() for i in range(3)]
+    near = line[0] + " end"
+    rows = [(i, "\n".join([line[0], line[1 + i % 2], prose(50 + i, 8).replace("\n", " ")])) for i in range(300)] + [(300, near)]
+    slim = line_dedup._prefixes(documents(rows).select(F.col("doc_id").alias("ord"), F.explode(F.split("text", "\n")).alias("line")), bytes(1 << 15))
+    classes = slim.groupBy("mark").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("rows"))
+    assert line_dedup._without_many_copies(slim, classes, 100).count() == 304
+    got = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(documents(rows)).collect()}
+    assert got == plain_lines(rows, least=1)
