@@ -241,6 +241,8 @@ def test_the_sieve_keeps_all_named_lines_and_few_others(spark):
     lines = spark.range(20_000).select(F.struct(F.lit(True).alias("known"), F.col("id").alias("doc")).alias("ord"), F.lit("x").alias("line"))
     left = line_dedup._sieved(lines, lines.filter("ord.doc % 50 = 0").select("ord"))
     assert left.columns == ["ord", "line"] and left.filter("ord.doc % 50 = 0").count() == 400 and left.count() < 420
+    plan = left.join(lines.filter("ord.doc % 50 = 0").select("ord"), "ord")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("getbit") > plan.index("Join Inner, (ord")  # the sieve stays below the join that moves texts
 
 
 def test_large_classes_of_equal_lines_give_one_entry(spark, documents):
