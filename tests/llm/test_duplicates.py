@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from martlet.llm import decontaminate, jaccard_join, line_dedup, sparse_suffix
 from martlet.llm.components import components
+from martlet.session import ensure_checkpoint_dir
 from tests.llm.conftest import prose
 
 
@@ -254,3 +256,37 @@ def test_large_classes_of_equal_lines_give_one_entry(spark, documents):
     assert line_dedup._without_many_copies(slim, classes, 100).count() == 304
     got = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(documents(rows)).collect()}
     assert got == plain_lines(rows, least=1)
+
+
+def test_line_dedup_leaves_only_what_its_result_reads(spark, documents):
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("*-*"))
+    lines = [prose(s, 40).replace("\n", " ").strip() for s in range(6)]
+    rows = [(i, "\n".join(edited(lines[(i + j) % 6], 0.03 * (j % 2), i * 10 + j) for j in range(3))) for i in range(30)]
+    found = line_dedup.duplicate_lines(documents(rows))
+    names = {f.name.split("-")[0] for f in set(folder.glob("*-*")) - before if len(f.name) > 36 and f.name[-32:].isalnum()}
+    assert names <= {"copies", "settled"} and {(r.doc_id, r.line) for r in found.collect()} == plain_lines(rows)
+
+
+def test_sketches_rule_out_only_pairs_that_are_not_similar(spark):
+    rng = random.Random(5)
+    keys = [sorted(rng.sample(range(1 << 49), 80))]
+    for i in range(1, 60):  # half of them similar to the first, half not
+        keys.append(sorted({*rng.sample(keys[0], 80 - i), *rng.sample(range(1 << 49), i)}))
+    bodies = line_dedup.written(spark.createDataFrame(list(enumerate(keys)), "ord long, keys array<long>"), "bodies")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 60)], "x long, y long")
+    thin = line_dedup._thinned(pairs, bodies)
+    similar = {tuple(r) for r in line_dedup._verified(pairs, bodies).collect()}
+    assert similar == {tuple(r) for r in line_dedup._verified(thin, bodies).collect()} and len(similar) == 11
+    assert {tuple(r) for r in thin.collect()} >= similar and thin.count() < 30
+
+
+def test_rarity_is_counted_in_compiled_code(spark):
+    text = prose(9, 400).replace("\n", " ").lower()
+    lines = spark.createDataFrame([(i, text) for i in range(3)] + [(3, "a b"), (4, None), (5, "")], "ord long, line string")
+    old = lines.select(F.explode(line_dedup._runs(line_dedup._words(F.col("line")))).alias("h"))
+    want = {r.k: r["count"] for r in old.groupBy(line_dedup._class(F.col("h")).alias("k")).count().collect()}
+    assert line_dedup._rarity(lines) == bytes(want.get(k, 0).bit_length() for k in range(1 << line_dedup.RARITY_BITS))
+    plan = line_dedup._tokens(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "*(1) Generate" in plan
