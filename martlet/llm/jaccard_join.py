@@ -7,8 +7,9 @@ by size are skipped, and entries whose position leaves too few shingles behind a
 
 A set is first compared with one representative of each of its lists. Sets that are linked with it are settled together. For
 the members behind a representative v an upper bound follows from its computed answers (overlap of x and y <= overlap of v
-and y + shingles of x outside v); members of different groups are compared one by one only where blocks, positions and that
-bound leave the link possible.
+and y + shingles of x outside v). Members of different groups meet twice: first within small parts of their lists, which puts
+most of a large group together, then those outside a list's largest group meet the rest of it, where blocks, positions,
+sketches and that bound leave the link possible.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from martlet.session import stable
 WORDS, PERCENT = 5, 75
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket; both bound memory.
 DEALT, BUCKET = 500_000, 1_000_000
+#: Entries of a list that meet each other before the whole list does, on average, and longs of a set's sketch.
+MEETING, SKETCH = 8, 8
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
 
@@ -155,10 +158,11 @@ def _shared_rows(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
-    """Sets that can have a partner: (sid, n, prefix: shingles, places: their places in the set, body: sorted shared shingles)."""
+    """Sets that can have a partner: (sid, n, prefix: shingles, places: their places in the set, body: sorted shared shingles,
+    alone: how many shingles are in no other set, sketch: longs in which every shared shingle turned one bit)."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("body", pa.binary())])
+        schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("body", pa.binary()), ("alone", pa.int64()), ("sketch", pa.list_(pa.int64()))])
         size = dict(zip(right["sid"].to_pylist(), right["n"].to_pylist()))
         sids = np.frombuffer(b"".join(left["sids"].to_pylist()), np.int64)
         shingles = np.frombuffer(b"".join(left["shingles"].to_pylist()), np.uint64)
@@ -176,16 +180,22 @@ def _candidates(shared: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
                 prefix = n - -(-PERCENT * n // 100) + 1 - alone
                 if prefix > 0:
                     prefix = min(prefix, j - i)
-                    out.append((int(sids[i]), n, shingles[i : i + prefix].view(np.int64), np.arange(alone, alone + prefix), np.sort(shingles[i:j]).tobytes()))
-        columns = zip(*out) if out else [[]] * 5
+                    out.append((int(sids[i]), n, shingles[i : i + prefix].view(np.int64), np.arange(alone, alone + prefix), np.sort(shingles[i:j]).tobytes(), alone, _sketch(shingles[i:j])))
+        columns = zip(*out) if out else [[]] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     keyed = sets.select(F.pmod("sid", F.lit(groups)).alias("part"), "sid", "n")
     return shared.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(
-        run, "sid long, n long, prefix array<long>, places array<long>, body binary"
+        run, "sid long, n long, prefix array<long>, places array<long>, body binary, alone long, sketch array<long>"
     )
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH longs in which every shingle turns one bit: at most as many bits differ between two sets as shingles."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _overlaps(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs (a, b) with their sizes and the size of their intersection."""
 
@@ -221,10 +231,59 @@ def _in_reach(x: str, y: str) -> Column:
     return sizes & (100 * most >= PERCENT * (nx + ny - most))
 
 
+def _sketches_allow(x: str, y: str) -> Column:
+    """Whether two sets may differ in few enough shingles: those of no other set, and one at least for each bit of the sketches."""
+    differ = [F.bit_count(F.get(f"s{x}", F.lit(j)).bitwiseXOR(F.get(f"s{y}", F.lit(j)))) for j in range(SKETCH)]
+    return (100 + PERCENT) * sum(differ, F.col(f"a{x}") + F.col(f"a{y}")) <= (100 - PERCENT) * (F.col(f"n{x}") + F.col(f"n{y}"))
+
+
+def _open_entries(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Entries, with label and sketch, of the lists whose sets are not known to belong together, and the label ``main`` that
+    most of the list has."""
+    own = labels.withColumnsRenamed({"node": "sid"})
+    marked = entries.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    sizes = marked.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("_c"))
+    mixed = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("_c", "label")).alias("main"), F.count(F.lit(1)).alias("_labels"))
+    open_ = marked.join(mixed.filter("_labels > 1").drop("_labels"), "shingle")
+    return stable(open_.join(sketches, "sid"))
+
+
+def _side(entries: DataFrame, x: str, *more: str) -> DataFrame:
+    """``entries`` with columns named after one side of a pair."""
+    named = {"sid": x, "n": f"n{x}", "place": f"p{x}", "label": f"l{x}", "alone": f"a{x}", "sketch": f"s{x}"}
+    return entries.select("shingle", "block", *more, *[F.col(c).alias(name) for c, name in named.items()])
+
+
+def _meetings(open_: DataFrame) -> DataFrame:
+    """(x, y) of different labels that may be linked, from parts of about MEETING entries of one block of a list."""
+    counts = open_.groupBy("shingle", "block").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    dealt = open_.join(counts, ["shingle", "block"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_c") / MEETING)))
+    x, y = _side(dealt, "x", "part"), _side(dealt, "y", "part").withColumnsRenamed({c: f"_{c}" for c in ("shingle", "block", "part")})
+    meet = (F.col("shingle") == F.col("_shingle")) & (F.col("block") == F.col("_block")) & (F.col("part") == F.col("_part"))
+    return x.join(y, meet & (F.col("lx") < F.col("ly")) & _in_reach("x", "y") & _sketches_allow("x", "y")).select("x", "y")
+
+
+def _remaining(open_: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, lx) of all pairs of different labels in a list that may be linked. One of the two is outside the list's
+    largest group, so only entries outside it look for others."""
+    blocks = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("_block")
+    x = _side(open_.filter("label <> main"), "x", "main").select("*", blocks).withColumnsRenamed({"shingle": "_shingle"}).drop("block")
+    meet = (F.col("shingle") == F.col("_shingle")) & (F.col("block") == F.col("_block"))
+    once = (F.col("ly") == F.col("main")) | (F.col("lx") < F.col("ly"))
+    return x.join(_side(open_, "y"), meet & once & _in_reach("x", "y") & _sketches_allow("x", "y")).select("x", "y", "nx", "ny", "lx").distinct()
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, overlap) links that hold all components together, and (node, label) of every set with a link."""
     entries = stable(_postings(candidates))
-    bodies = candidates.select("sid", "n", "body")
+    bodies, sketches = candidates.select("sid", "n", "body"), candidates.select("sid", "alone", "sketch")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stable(_overlaps(pairs, bodies).filter(_linked()).select("a", "b", "overlap"))
 
     # 1. Each set against the first set of each of its lists.
     first = entries.groupBy("shingle").agg(F.min("sid").alias("v"), F.max("sid").alias("_last")).filter("v < _last")
@@ -233,24 +292,23 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = star.filter(_linked()).select("a", "b", "overlap")
     labels = components(links)
 
-    # 2. Lists whose sets are not known to belong together: members behind different representatives, by blocks of the
-    # lists, where neither sizes and positions nor the bound from a representative's answer forbid a link.
-    own = labels.withColumnsRenamed({"node": "sid"})
-    marked = entries.join(own, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = marked.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("shingle")
-    open_ = stable(marked.join(mixed, "shingle", "left_semi"))
-    x = open_.select("shingle", "block", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
-    y = open_.select(F.col("shingle").alias("_shingle"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("_block"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
-    meet = (F.col("shingle") == F.col("_shingle")) & (F.col("block") == F.col("_block")) & (F.col("lx") < F.col("ly")) & _in_reach("x", "y")
-    rest = x.join(y, meet).select("x", "y", "nx", "ny", "lx", "ly").distinct()
+    # 2. Lists whose sets are not known to belong together, in small parts.
+    open_ = _open_entries(entries, labels, sketches)
+    found = linked(_pairs(_meetings(open_)))
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = components(links)
+        open_ = _open_entries(open_.select(*entries.columns), labels, sketches)
+
+    # 3. Those lists as wholes: what neither sizes and positions nor sketches nor the bound from a representative's answer rule out.
+    rest = _remaining(open_)
     both = star.select("a", "b", "overlap").union(star.select(F.col("b"), F.col("a"), F.col("overlap"))).distinct()
     to_own = both.select(F.col("a").alias("lx"), F.col("b").alias("x"), F.col("overlap").alias("own"))
     to_other = both.select(F.col("a").alias("lx"), F.col("b").alias("y"), F.col("overlap").alias("other"))
     bound = F.coalesce(F.col("other") + F.col("nx") - F.when(F.col("x") == F.col("lx"), F.col("nx")).otherwise(F.col("own")), F.least("nx", "ny"))
     rest = rest.join(to_own, ["lx", "x"], "left").join(to_other, ["lx", "y"], "left")
     rest = rest.filter(100 * bound >= PERCENT * (F.col("nx") + F.col("ny") - bound))
-    asked = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = stable(_overlaps(asked, bodies).filter(_linked()).select("a", "b", "overlap"))
+    found = linked(_pairs(rest))
     if found.isEmpty():
         return links, labels
     links = links.union(found)

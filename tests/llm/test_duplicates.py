@@ -4,6 +4,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from martlet.llm import decontaminate, jaccard_join, line_dedup, sparse_suffix
@@ -70,6 +71,31 @@ def test_join_does_not_depend_on_how_rows_are_dealt(spark, documents, monkeypatc
     assert got == plain_components(rows)
 
 
+def test_a_large_group_of_near_copies_meets_in_parts(spark):
+    schema = "shingle long, block int, sid long, n long, place long, label long, alone long, sketch array<long>, main long"
+    own = [int(v) for v in jaccard_join._sketch(np.arange(60, dtype=np.uint64))]
+    apart = spark.createDataFrame([(1, 3, i, 60, 0, i, 0, own, 0) for i in range(400)], schema)
+    met = jaccard_join._meetings(apart).collect()
+    assert len({s for r in met for s in r}) > 390 and len(met) < 8 * 400  # 79,800 pairs of all with all
+    together = spark.createDataFrame([(1, 3, i, 60, 0, 0 if i >= 5 else i, 0, own, 0) for i in range(400)], schema)
+    left = {(min(r.x, r.y), max(r.x, r.y)) for r in jaccard_join._remaining(together).collect()}
+    assert left == {(min(a, b), max(a, b)) for a in range(1, 5) for b in range(400) if a != b}
+
+
+def test_sketches_and_main_groups_lose_no_pair(spark):
+    rng = random.Random(7)
+    sets = [set(rng.sample(range(1 << 40), 60))]
+    for i in range(1, 80):
+        sets.append({*rng.sample(sorted(sets[0]), 60 - i % 20), *rng.sample(range(1 << 40), i % 20)})
+    sketches = [[int(v) for v in jaccard_join._sketch(np.array(sorted(s), np.uint64))] for s in sets]
+    row = [(1, 3, i, 60, 0, i % 5, 0, sketches[i], 2) for i in range(80)]
+    entries = spark.createDataFrame(row, "shingle long, block int, sid long, n long, place long, label long, alone long, sketch array<long>, main long")
+    found = {(min(r.x, r.y), max(r.x, r.y)) for r in jaccard_join._remaining(entries).collect()}
+    similar = {(a, b) for a in range(80) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    similar = {(min(p), max(p)) for p in similar if p[0] % 5 != p[1] % 5}
+    assert similar and similar <= found and len(found) < 4 * len(similar)
+
+
 def test_join_on_odd_rows(spark, edge, nothing):
     rows = [tuple(r) for r in jaccard_join.join_documents(edge).collect()]
     assert len(rows) == 10 and sorted(r for r in rows if r[0] == 3) == [(3, 76, 3)] * 2
