@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import worker_state
+from martlet.llm.common import give_back, worker_state
 
 #: Fixed values of byte-level tokenizers: the pattern that splits a text, with Unicode's White_Space spelled out.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -30,7 +30,7 @@ _OTHER_WHITE = re.compile(rf"[{_WHITE}]".replace(" ", "").replace(r"\t-\r", r"\t
 #: Words and fragments that a worker keeps encoded before it starts anew; it bounds memory, not results.
 STORED_RUNS = 400_000
 #: Bytes of text that are handled together in a task.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 #: Fragments up to this many bytes are merged in a list, longer ones with a heap.
 SHORT = 96
 _NEVER = 1 << 30
@@ -333,6 +333,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
                     columns.append(pa.array(coder.decode_batch(numbers, begins), pa.string()))
                 parts.append(pa.StructArray.from_arrays(columns, ["ids", "decoded"][: len(columns)]))
             yield pa.concat_arrays(parts)
+        give_back()
 
     coded = F.arrow_udf(run, "ids binary" + ", decoded string" * again)(F.col(text))
     kept = [c for c in df.columns if c not in (ids, n, decoded)]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import small_batches
+from martlet.llm.common import give_back, small_batches
 from martlet.llm.components import components
 from martlet.llm.shingles import parts, shingle_sets
 from martlet.session import stable
@@ -49,6 +49,7 @@ def _dealt(batches: Iterator[pa.Array], k: int) -> Iterator[list[tuple[int, np.n
                     held, size = [], 0
     if held:
         yield held
+    give_back()
 
 
 def _set_ids(held: list[tuple[int, np.ndarray]]) -> list[int]:

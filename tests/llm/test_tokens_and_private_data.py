@@ -152,3 +152,20 @@ def test_surrogates_on_odd_rows(spark, edge, nothing):
     key = lambda r: (r.doc_id or 0, r.text or "")
     assert sorted(out.collect(), key=key) == sorted(edge.collect(), key=key)
     assert surrogates.replace_entities(nothing, "k").count() == 0
+
+
+def test_pipeline_results_are_planned_with_small_batches(spark):
+    import corpus_pipeline
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = {name: spark.conf.get(name) for name in names}
+    sizes = []
+    try:
+        docs = spark.createDataFrame([(i, prose(i % 50, 20), "en", "s", 0) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        coded = corpus_pipeline.token_ids(spark, docs, "")
+        counted = coded.select(F.arrow_udf(lambda n: __import__("pyarrow").array([len(n)] * len(n)), "long")("n_tokens").alias("k"))
+        sizes = [r.k for r in counted.collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(sizes) == 3000 and max(sizes) <= 1000
