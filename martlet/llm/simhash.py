@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import join_classes, written
+from martlet.llm.common import join_classes, join_counted, written
 from martlet.llm.components import components
 
 #: Words of a shingle; bits of a fingerprint.
@@ -102,7 +102,7 @@ def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
         F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((F.col("low"), middle), (middle, F.col("high")), (F.col("low"), F.col("high")))])
     )
     pairs = met.filter("n <= 3").select(F.inline(sides)).filter(distance("a", "b") <= DISTANCE)
-    members = written(_variants(distinct).join(met.filter("n > 3").select("variant", "n"), "variant"), "members")
+    members = written(join_counted(_variants(distinct), met.filter("n > 3").select("variant", "n"), ["variant"]), "members")
     lists = members.filter(F.col("n") <= few).groupBy("variant").agg(F.collect_list("fp").alias("fps"))  # few fingerprints at most
     of_lists = (
         lists.select("fps", F.explode("fps").alias("a"))
@@ -111,7 +111,8 @@ def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
     )
     crowded = members.filter(F.col("n") > few).select("fp").distinct()
     shared = _patterns(crowded).groupBy("place", "pattern").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    starred = _patterns(crowded).join(shared, ["place", "pattern"]).filter("a < fp").select("a", F.col("fp").alias("b"))
+    # By key: Spark takes the 2,016 patterns of a fingerprint for one row, and would send them all to the driver.
+    starred = _patterns(crowded).hint("merge").join(shared, ["place", "pattern"]).filter("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(of_lists).unionByName(starred)
 
 

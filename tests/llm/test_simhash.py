@@ -97,3 +97,23 @@ def test_a_class_of_most_rows_is_not_joined_by_key(spark, documents):
 def test_native(spark, documents):
     plan = simhash.fingerprints(documents([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_patterns_are_never_sent_to_the_driver(spark):
+    rng = random.Random(9)
+    middle = rng.getrandbits(48)
+    prints = sorted({middle ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)})  # crowded variants
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), few=4)
+    found.collect()
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_a_table_is_broadcast_by_its_counted_rows(spark):
+    from martlet.llm.common import join_counted
+
+    rows, some = spark.range(50), spark.range(10).selectExpr("id", "2 * id AS twice")
+    for most, sent in ((10, True), (9, False)):
+        joined = join_counted(rows, some, ["id"], most)
+        assert sorted(map(tuple, joined.collect())) == [(i, 2 * i) for i in range(10)]
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == sent
