@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import give_back, small_batches
+from martlet.llm.common import give_back, small_batches, tidied
 from martlet.llm.components import components
 from martlet.llm.shingles import parts, shingle_sets
 from martlet.session import stable
@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 75
 DEALT, BUCKET = 500_000, 1_000_000
 #: Entries of a list that meet each other before the whole list does, on average, and longs of a set's sketch.
 MEETING, SKETCH = 8, 8
+#: Links that one task settles, so that the driver has few jobs to plan and to remember.
+LINKS_AT_ONCE = 500_000
 _PACKED = 5  # bytes kept of a shingle inside its bucket
 
 
@@ -280,6 +282,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, overlap) links that hold all components together, and (node, label) of every set with a link."""
+    spark = candidates.sparkSession
     entries = stable(_postings(candidates))
     bodies, sketches = candidates.select("sid", "n", "body"), candidates.select("sid", "alone", "sketch")
 
@@ -291,15 +294,17 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = entries.join(first, "shingle").filter("sid <> v").select(F.col("v").alias("a"), F.col("sid").alias("b")).distinct()
     star = stable(_overlaps(pairs, bodies))
     links = star.filter(_linked()).select("a", "b", "overlap")
-    labels = components(links)
+    labels = components(links, at_once=LINKS_AT_ONCE)
+    tidied(spark)
 
     # 2. Lists whose sets are not known to belong together, in small parts.
     open_ = _open_entries(entries, labels, sketches)
     found = linked(_pairs(_meetings(open_)))
     if not found.isEmpty():
         links = links.union(found)
-        labels = components(links)
+        labels = components(links, at_once=LINKS_AT_ONCE)
         open_ = _open_entries(open_.select(*entries.columns), labels, sketches)
+    tidied(spark)
 
     # 3. Those lists as wholes: what neither sizes and positions nor sketches nor the bound from a representative's answer rule out.
     rest = _remaining(open_)
@@ -313,7 +318,9 @@ def links_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     if found.isEmpty():
         return links, labels
     links = links.union(found)
-    return links, components(links)
+    labels = components(links, at_once=LINKS_AT_ONCE)
+    tidied(spark)
+    return links, labels
 
 
 def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -333,6 +340,7 @@ def join_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
     shared = _shared_rows(_bucket_rows(docs, buckets, k), buckets, buckets)
     with small_batches(docs.sparkSession):
         candidates = stable(_candidates(shared, classes, buckets))
+    tidied(docs.sparkSession)
     with small_batches(docs.sparkSession):
         _, labels = links_of(candidates)
     grouped = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from martlet.llm import decontaminate, jaccard_join, line_dedup, sparse_suffix
@@ -316,3 +317,20 @@ def test_rarity_is_counted_in_compiled_code(spark):
     assert line_dedup._rarity(lines) == bytes(want.get(k, 0).bit_length() for k in range(1 << line_dedup.RARITY_BITS))
     plan = line_dedup._tokens(lines)._jdf.queryExecution().executedPlan().toString()
     assert "lambdafunction" not in plan and "*(1) Generate" in plan
+
+
+@pytest.mark.parametrize("at_once", [0, 25, 10_000])
+def test_links_settled_by_one_task_are_those_of_all_rounds(spark, at_once):
+    rng = random.Random(3)
+    order = rng.sample(range(1000), 120)
+    pairs = [*zip(order[:60], order[1:61]), *((rng.choice(order[61:]), rng.choice(order[61:])) for _ in range(40))]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    spark.sparkContext.setJobGroup(f"settled {at_once}", "")
+    got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long"), at_once=at_once).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"settled {at_once}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {x: m for x, m in label.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    assert at_once < 10_000 or jobs <= 8  # the driver remembers every job
