@@ -334,3 +334,22 @@ def test_links_settled_by_one_task_are_those_of_all_rounds(spark, at_once):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {x: m for x, m in label.items() if any(x in p and p[0] != p[1] for p in pairs)}
     assert at_once < 10_000 or jobs <= 8  # the driver remembers every job
+
+
+def test_entries_of_lines_in_rounds_give_the_same_lines(documents, monkeypatch):
+    base = [prose(s, 60).replace("\n", " ") for s in range(6)]
+    texts = [base[i % 6] + "\n" + " ".join(base[(i + 1) % 6].split(" ")[:-1] + [f"end{i}"]) for i in range(18)]
+    docs, made, write = documents(list(enumerate(texts))), [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: made.append(name) or write(df, name))
+    once = {(r["doc_id"], r["line"]) for r in line_dedup.duplicate_lines(docs).collect()}
+    assert len(once) > 12 and made.count("lists") == 1
+    monkeypatch.setattr(line_dedup, "ROUND", 50)
+    assert {(r["doc_id"], r["line"]) for r in line_dedup.duplicate_lines(docs).collect()} == once
+    assert made.count("lists") == 1 + line_dedup.ROUNDS
+
+
+def test_texts_are_not_sorted_to_lose_lines(documents):
+    kept = line_dedup.drop_duplicate_lines(documents([(1, "one two\nthree"), (2, "one two\nfour"), (None, "five"), (3, None)]))
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "one two\nthree"), (2, "four"), (None, "five"), (3, None)}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
