@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import give_back, small_batches, tidied
+from martlet.llm.common import give_back, small_batches
 from martlet.llm.components import components
 from martlet.llm.shingles import parts, shingle_sets
-from martlet.session import stable
+from martlet.session import stable, tidied
 
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 WORDS, PERCENT = 5, 75
