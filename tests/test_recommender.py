@@ -244,3 +244,26 @@ def test_a_vector_is_sent_to_bins_and_not_to_every_cell(spark, monkeypatch):
     assert sent[0].count() <= 400 * 7 < 400 * 20  # bins of up to a hundred vectors, twenty cells
     want = _brute_force(vectors, 5)
     assert all([got[i][k + 1] for k in range(5)] == [s for s, _ in want[i]] for i in want)
+
+
+def test_a_fitted_model_holds_no_shuffles_of_its_training(frame):
+    pairs = frame([(u, i, float(1 + (u * i) % 5)) for u in range(12) for i in range(9) if (u + i) % 3], "userId int, itemId int, rating double")
+    model = R.fit_als(pairs, rank=3, maxIter=2)
+    for factors in (model.userFactors, model.itemFactors):
+        assert not any(kind in factors._jdf.rdd().toDebugString() for kind in ("Shuffled", "CoGrouped"))
+    assert {u.userId: len(u.recommendations) for u in R.recommend(model, 4).collect()} == {u: 4 for u in range(12)}
+    unknown = frame([(99, 1, 1.0), (1, 2, 1.0)], "userId int, itemId int, rating double")
+    assert [(r["userId"], r["itemId"]) for r in R.predict(model, unknown).collect()] == [(1, 2)]
+
+
+def test_large_trials_do_not_train_side_by_side_and_drop_what_they_leave(frame, monkeypatch):
+    pairs = frame([(u, i, float(1 + (u * i) % 5)) for u in range(12) for i in range(9) if (u + i) % 3], "userId int, itemId int, rating double")
+    assert R._side_by_side(pairs, 4) == 4
+    monkeypatch.setattr(R, "PAIRS_SIDE_BY_SIDE", 2 * pairs.count())
+    assert R._side_by_side(pairs, 4) == 2 and R._side_by_side(pairs, 1) == 1
+    monkeypatch.setattr(R, "PAIRS_SIDE_BY_SIDE", 1)
+    assert R._side_by_side(pairs, 4) == 1
+    dropped, tidy = [], R.tidied
+    monkeypatch.setattr(R, "tidied", lambda spark: dropped.append(1) or tidy(spark))
+    trials = R.grid_search(pairs, {"rank": [2, 3]}, folds=2, maxIter=2)[1]
+    assert trials.count() == 2 and len(dropped) == 4  # after each fit of each fold
